@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import ngram_join, secret_ledger
+from barloom.llm import ngram_join, quality_net, secret_ledger
 from barloom.llm.shared import table
 
 
@@ -18,9 +18,14 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_net.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_join": op3_ngram_join,
     "op5_secret_ledger": op5_secret_ledger,
+    "op8_quality_net": op8_quality_net,
 }
 
 ORACLE_SQL: dict[str, str] = {}
