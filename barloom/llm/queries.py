@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import ngram_join, quality_net, secret_ledger
+from barloom.llm import decontaminate, ngram_join, quality_net, secret_ledger
 from barloom.llm.shared import table
 
 
@@ -14,6 +14,10 @@ def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_pigeonhole_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,7 @@ def op8_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pigeonhole_edit": op2_pigeonhole_edit,
     "op3_ngram_join": op3_ngram_join,
     "op5_secret_ledger": op5_secret_ledger,
     "op8_quality_net": op8_quality_net,
