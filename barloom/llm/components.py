@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.shared import cut_lineage
+from barloom.llm.shared import cut_lineage, forget
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -26,14 +26,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
         up = cut_lineage(low.select("id", F.least("low", mine)["to"].alias("up")))
         twice = up.join(up.select(F.col("id").alias("up"), F.col("up").alias("top")), "up").select("id", F.col("top").alias("up"))
         if labels is None:
-            labels = twice.select("id", F.col("up").alias("root"))
+            moved = twice.select("id", F.col("up").alias("root"))
         else:
-            labels = labels.join(twice.withColumnRenamed("id", "root"), "root", "left").select("id", F.coalesce("up", "root").alias("root"))
-        labels = cut_lineage(labels)
+            moved = labels.join(twice.withColumnRenamed("id", "root"), "root", "left").select("id", F.coalesce("up", "root").alias("root"))
+        old, labels = labels, cut_lineage(moved)
         ends_a = twice.select(F.col("id").alias("a"), F.col("up").alias("up_a"))
         ends_b = twice.select(F.col("id").alias("b"), F.col("up").alias("up_b"))
-        moved = edges.join(ends_a, "a").join(ends_b, "b").where("up_a <> up_b")
-        edges = cut_lineage(moved.select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct())
+        merged = edges.join(ends_a, "a").join(ends_b, "b").where("up_a <> up_b")
+        before, edges = edges, cut_lineage(merged.select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct())
+        forget(old, up, before)
         if edges.isEmpty():
+            forget(edges)
             smallest = labels.groupBy("root").agg(F.min("id").alias("component"))
             return labels.join(smallest, "root").select("id", "component")

@@ -11,12 +11,13 @@ Steps, each a Spark job over all rows:
    are sent to all tasks: they sort last, by count, and give the cost estimates. Any token order gives
    right results, so the bound on that list is no bound on the data.
 2. Postings of the chosen prefixes, packed in arrays by token bucket. Frequent tokens are salted.
-3. Bucket by bucket: short posting lists give all their pairs; long ones link every document to the
-   list's most central one and keep their postings for step 5.
+3. Bucket by bucket: short posting lists give all their pairs; long ones pair every document with the
+   list's most central one (the largest share of frequent tokens) and keep their postings for step 5.
 4. Pairs with enough shared tokens are verified on whole texts; links give components.
 5. Long lists whose documents are still in several components: first the components' central
    documents, then every remaining pair across components, are counted, filtered and verified. Pairs
-   inside a component need no check, since only components are asked for.
+   inside a component need no check, since only components are asked for. What step 3 counts for a
+   long list is a part of its pairs at most, so a pair that it misses is met here.
 
 Defined results: null and empty texts have no shingles and link with nothing; equal texts share a
 class whatever their number; rows that repeat a doc_id keep one output row each; an empty table gives
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import text_hash
@@ -41,11 +42,15 @@ PERCENT = 75
 #: Tokens in the list of frequent ones, sent to every task (16 bytes each), and the least count in it.
 FREQUENT = 1 << 17
 FREQUENT_LEAST = 8
+#: Expected other documents at a token that is not frequent, for the cost estimate.
+LIGHT_OTHERS = 0.05
 #: The largest l; posting lists up to SHORT_LIST long give all pairs; postings in a bucket; in a salt of a frequent token.
 MOST_MATCHES = 8
 SHORT_LIST = 5
 BUCKET_POSTINGS = 400_000
 SALT_POSTINGS = 2048
+#: Pairs across components, per posting in open lists, up to which all of them are counted at once.
+CROSS_PAIRS = 30
 #: Tokens held before they are counted, and rows of counts kept of each such lot, in one task.
 LOT = 1 << 22
 LOT_KEEPS = 1 << 15
@@ -106,8 +111,8 @@ SIZE_STEPS = 4
 
 def choose_matches(n: np.ndarray, light: np.ndarray, heavy_sums: np.ndarray, heavy_off: np.ndarray) -> np.ndarray:
     """l of each document: the least of (postings read + candidates times their verification), where
-    the frequent tokens among the first p + l - 1 have their estimated counts and all others one;
-    at least l of a candidate's postings are read, so candidates are at most the postings over l."""
+    the frequent tokens among the first p + l - 1 have their estimated counts and all others
+    LIGHT_OTHERS; l postings are read for each candidate, so candidates are the postings over l."""
     need = (n * PERCENT + 99) // 100
     p = n - need + 1
     best, least = np.ones(len(n), np.int64), np.full(len(n), np.inf)
@@ -115,7 +120,8 @@ def choose_matches(n: np.ndarray, light: np.ndarray, heavy_sums: np.ndarray, hea
         length = p + l - 1
         heavy = np.clip(length - light, 0, heavy_off[1:] - heavy_off[:-1])
         read = heavy_sums[heavy_off[:-1] + heavy] - heavy_sums[heavy_off[:-1]]
-        cost = np.where(l <= need, np.minimum(length, light) + read + read / l * n, np.inf)
+        others = np.minimum(length, light) * LIGHT_OTHERS + read
+        cost = np.where(l <= need, length + read + others / l * n, np.inf)
         better = cost < least
         best[better], least[better] = l, cost[better]
     return best
@@ -194,8 +200,8 @@ def _postings(frequent: np.ndarray, counts: np.ndarray, buckets: int):
 
 
 def _bucket_pairs(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-    """Rows of one bucket: kind 0, pairs of short lists (a, b, l needed, tokens shared); kind 1, links
-    to a long list's central document; kind 2, a long list's postings (list, document, marks)."""
+    """Rows of one bucket: kind 0, pairs of short lists (a, b, l needed, tokens shared); kind 1, the same
+    for a long list's documents with its central one; kind 2, a long list's postings (list, document, marks)."""
     bucket = key[0].as_py()
 
     def read(name: str, kind) -> np.ndarray:
@@ -235,10 +241,9 @@ def _bucket_pairs(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         heads = np.concatenate([[True], of[by][1:] != of[by][:-1]])
         pivot = by[heads][np.cumsum(heads) - 1]
         ok = (doc[by] != doc[pivot]) & (np.abs(size[by] - size[pivot]) <= SIZE_STEPS)
-        a, b = np.minimum(doc[by[ok]], doc[pivot[ok]]), np.maximum(doc[by[ok]], doc[pivot[ok]])
-        star = np.unique(np.stack([a, b], axis=1), axis=0)
-        zero = np.zeros(len(star), np.int64)
-        out.append((np.ones(len(star), np.int32), star[:, 0], star[:, 1], zero, zero))
+        u, v = by[ok], pivot[ok]
+        star, lists_shared = np.unique(np.stack([np.minimum(doc[u], doc[v]), np.maximum(doc[u], doc[v]), np.minimum(need[u], need[v])], axis=1), axis=0, return_counts=True)
+        out.append((np.ones(len(star), np.int32), star[:, 0], star[:, 1], star[:, 2], lists_shared))
         name = np.where(heavy[at] == 1, -1 - (lists[at] & np.uint64(0xFFFFFFFF)).astype(np.int64), (np.int64(bucket) << 32) + (lists[at] & np.uint64(0xFFFFFFFF)).astype(np.int64))
         out.append((np.full(len(at), 2, np.int32), name, doc[at], mark[at, 1].astype(np.int64), size[at] * 128 + share[at]))
     cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 5
@@ -276,6 +281,15 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(_verify, "a long, b long").distinct()
 
 
+def least_hits(l: Column | str, n_x: str, n_y: str) -> Column:
+    """Tokens that two linked sets must share in their l-prefixes: l, or more where the least overlap
+    of sets of these sizes exceeds what the longer rest of either set can hold."""
+    l, n_x, n_y = (F.col(c) if isinstance(c, str) else c for c in (l, n_x, n_y))
+    overlap = F.ceil(PERCENT * (n_x + n_y) / (100 + PERCENT))
+    rest = F.greatest(F.ceil(n_x * PERCENT / 100), F.ceil(n_y * PERCENT / 100)) - l
+    return F.greatest(l.cast("long"), overlap - rest)
+
+
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. Returns (doc_id, n_shingles, component_id) for each row."""
     spark = docs.sparkSession
@@ -292,32 +306,35 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     run = _postings(frequent[by], top["df"].to_numpy().astype(np.int64)[by], buckets)
     found = cut_lineage(texts.mapInArrow(run, _POSTINGS).groupBy("bucket").applyInArrow(_bucket_pairs, _PAIRS))
 
-    rep_of = sets.where("n > 0").join(reps, ["k1", "k2", "n"]).groupBy("doc_id").agg(F.min("rep").alias("rep"))
-    rep_of = cut_lineage(rep_of)
-    rep_a, rep_b = rep_of.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), rep_of.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb"))
-    raw = found.where("kind < 2").groupBy("a", "b").agg(F.max("kind").alias("star"), F.max("need").alias("need"), F.sum("hits").alias("hits"))
-    pairs = raw.join(rep_a, "a").join(rep_b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "star", "need", "hits")
-    pairs = cut_lineage(pairs.groupBy("a", "b").agg(F.max("star").alias("star"), F.max("need").alias("need"), F.max("hits").alias("hits")))
-    tried = pairs.where("star = 1 or hits >= need").select("a", "b")
+    rep_of = sets.where("n > 0").join(reps, ["k1", "k2", "n"]).groupBy("doc_id").agg(F.min(F.struct("rep", "n")).alias("own"))
+    rep_of = cut_lineage(rep_of.select("doc_id", "own.rep", "own.n"))
+    raw = found.where("kind < 2").groupBy("a", "b").agg(F.max("need").alias("l"), F.sum("hits").alias("hits"))
+    for side in "ab":
+        raw = raw.join(rep_of.select(F.col("doc_id").alias(side), F.col("rep").alias(f"rep_{side}"), F.col("n").alias(f"n_{side}")), side)
+    pairs = raw.where("rep_a <> rep_b").groupBy(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
+    pairs = cut_lineage(pairs.agg(F.max("hits").alias("hits"), F.min(least_hits("l", "n_a", "n_b")).alias("need")))
+    tried = pairs.where("hits >= need").select("a", "b")
     links = cut_lineage(verified(tried, texts))
     labels = connected_components(links)
 
     lists = found.where("kind = 2").select(
         F.col("a").alias("list"), F.col("b").alias("doc"), (F.col("need") / 16).cast("int").alias("level"), (F.col("need") % 16).alias("l"), (F.col("hits") / 128).cast("int").alias("size"), (F.col("hits") % 128).alias("share")
     )
-    lists = lists.join(rep_of.select(F.col("doc_id").alias("doc"), "rep"), "doc").groupBy("list", "rep").agg(*[F.min(c).alias(c) for c in ("level", "l", "size", "share")])
-    for last in (False, False, True):
+    lists = lists.join(rep_of.select(F.col("doc_id").alias("doc"), "rep", "n"), "doc").groupBy("list", "rep", "n").agg(*[F.min(c).alias(c) for c in ("level", "l", "size", "share")])
+    for turn in range(3):
         open_lists = lists.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         several = open_lists.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("list")
         lists = cut_lineage(open_lists.join(several, "list", "left_semi"))
-        if lists.isEmpty():
+        per = lists.groupBy("list", "component").agg(F.count("*").cast("double").alias("m")).groupBy("list").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("inside"))
+        size = per.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("inside")) / 2)).first()
+        if not size[0]:
             break
-        if last:
-            x, y = (lists.select("list", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "level", "l", "size")]) for s in "xy")
+        if last := turn == 2 or size[1] <= CROSS_PAIRS * size[0]:
+            x, y = (lists.select("list", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "component", "level", "l", "size")]) for s in "xy")
             l = F.least("l_x", "l_y")
             shared = x.join(y, "list").where((F.col("component_x") < F.col("component_y")) & (F.greatest("level_x", "level_y") <= l) & (F.abs(F.col("size_x") - F.col("size_y")) <= SIZE_STEPS))
-            more = shared.groupBy(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).agg(F.count("*").alias("long_hits"), F.max(l).alias("need"))
-            more = more.join(pairs.select("a", "b", "hits"), ["a", "b"], "left").where("long_hits + coalesce(hits, 0) >= need").select("a", "b")
+            more = shared.groupBy(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).agg(F.count("*").alias("long_hits"), F.max(least_hits(l, "n_x", "n_y")).alias("least"))
+            more = more.join(pairs.select("a", "b", "hits"), ["a", "b"], "left").where("long_hits + coalesce(hits, 0) >= least").select("a", "b")
         else:
             heads = lists.groupBy("list", "component").agg(F.min(F.struct("share", "rep", "size")).alias("head"))
             centre = heads.groupBy("list").agg(F.min("head").alias("centre"))
@@ -325,11 +342,12 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
             more = more.select(F.least("head.rep", "centre.rep").alias("a"), F.greatest("head.rep", "centre.rep").alias("b")).distinct()
         lists = lists.drop("component")
         more = cut_lineage(more.join(tried, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            continue
-        tried = tried.unionByName(more)
-        links = cut_lineage(links.unionByName(verified(more, texts)))
-        labels = connected_components(links)
+        if not more.isEmpty():
+            tried = tried.unionByName(more)
+            links = cut_lineage(links.unionByName(verified(more, texts)))
+            labels = connected_components(links)
+        if last:
+            break
 
     classes = reps.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
     return sets.join(classes, ["k1", "k2", "n"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,15 +19,29 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a folder is chosen here only where it is unset."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "barloom-checkpoints")).rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder, so that later steps neither recompute it nor
-    depend on one executor's disk. A folder is chosen here only where the session names none."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "barloom-checkpoints"))
-    return df.checkpoint(eager=True)
+    """df written as a table in the shared folder and read again: later steps neither recompute it
+    nor depend on one executor's disk. Unlike after checkpoint(), Spark then plans with the table's
+    true size; the size that it carries through checkpoints is squared by each join of a loop."""
+    path = f"{shared_folder(df.sparkSession)}/barloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete tables of cut_lineage() that nothing reads any more."""
+    for df in tables:
+        if df is not None:
+            sc = df.sparkSession.sparkContext
+            path = sc._jvm.org.apache.hadoop.fs.Path(df.table_path)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions_for(df: DataFrame) -> int:
