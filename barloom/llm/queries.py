@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontaminate, ngram_join, quality_net, secret_ledger, vector_packing
+from barloom.llm import decontaminate, ngram_join, quality_net, secret_ledger, token_packing, vector_packing
 from barloom.llm.shared import table
 
 
@@ -22,6 +22,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op6_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_packing.packed_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.pack(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pigeonhole_edit": op2_pigeonhole_edit,
     "op3_ngram_join": op3_ngram_join,
     "op5_secret_ledger": op5_secret_ledger,
+    "op6_token_packing": op6_token_packing,
     "op7_vector_packing": op7_vector_packing,
     "op8_quality_net": op8_quality_net,
 }
