@@ -52,9 +52,9 @@ SALT_POSTINGS = 2048
 #: Pairs across components, per posting in open lists, up to which all of them are counted at once.
 CROSS_PAIRS = 30
 #: Tokens held before they are counted, and rows of counts kept of each such lot, in one task.
-LOT = 1 << 22
+LOT = 1 << 21
 LOT_KEEPS = 1 << 15
-FLUSH = 1 << 22
+FLUSH = 1 << 20
 
 _PROFILE = "doc_id long, k1 long, k2 long, n int, token long, df long"
 _POSTINGS = "bucket int, token binary, doc binary, mark binary"
@@ -78,7 +78,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def counted() -> pa.RecordBatch:
         token, df = np.unique(np.concatenate(lot) if lot else np.zeros(0, np.uint64), return_counts=True)
         lot.clear()
-        often = np.flatnonzero(df >= 3)
+        often = np.flatnonzero(df >= 2)
         if len(often) > LOT_KEEPS:
             often = often[np.argsort(-df[often], kind="stable")[:LOT_KEEPS]]
         none = pa.nulls(len(often), pa.int64())
