@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontaminate, ngram_join, quality_net, secret_ledger, token_packing, vector_packing
+from barloom.llm import decontaminate, ngram_join, quality_net, secret_ledger, token_counts, token_packing, vector_packing
 from barloom.llm.shared import table
 
 
@@ -34,6 +34,10 @@ def op8_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_net.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pigeonhole_edit": op2_pigeonhole_edit,
     "op3_ngram_join": op3_ngram_join,
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_packing": op6_token_packing,
     "op7_vector_packing": op7_vector_packing,
     "op8_quality_net": op8_quality_net,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}
