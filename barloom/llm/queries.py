@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontaminate, ngram_join, quality_net, secret_ledger, token_counts, token_packing, vector_packing
+from barloom.llm import decontaminate, embedding_dedup, license_rules, ngram_join, pii_crf, quality_net, secret_ledger, token_counts, token_packing, vector_packing
 from barloom.llm.shared import table
 
 
+def op4_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_rules.find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op1_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op2_pigeonhole_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -34,17 +42,24 @@ def op8_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_net.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_crf": op1_pii_crf,
     "op2_pigeonhole_edit": op2_pigeonhole_edit,
     "op3_ngram_join": op3_ngram_join,
+    "op4_license_rules": op4_license_rules,
     "op5_secret_ledger": op5_secret_ledger,
     "op6_token_packing": op6_token_packing,
     "op7_vector_packing": op7_vector_packing,
     "op8_quality_net": op8_quality_net,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
