@@ -201,7 +201,8 @@ def _postings(frequent: np.ndarray, counts: np.ndarray, buckets: int):
 
 def _bucket_pairs(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
     """Rows of one bucket: kind 0, pairs of short lists (a, b, l needed, tokens shared); kind 1, the same
-    for a long list's documents with its central one; kind 2, a long list's postings (list, document, marks)."""
+    for a long list's documents with its central one; kind 2, a long list's postings (list, document, marks);
+    kind 3, each document's number of postings that are not its own alone."""
     bucket = key[0].as_py()
 
     def read(name: str, kind) -> np.ndarray:
@@ -218,8 +219,10 @@ def _bucket_pairs(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
     size, level, need, share = mark[:, 0].astype(np.int64), mark[:, 1] >> 4, mark[:, 1] & 15, mark[:, 2] & 127
     begin = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]])) if len(lists) else np.zeros(0, np.int64)
     count = np.diff(np.append(begin, len(lists)))
-    out: list[tuple[np.ndarray, ...]] = []
     whole = heavy[begin] == 1
+    holders, held = np.unique(doc[np.repeat((count > 1) | whole, count)], return_counts=True)
+    zero = np.zeros(len(holders), np.int64)
+    out: list[tuple[np.ndarray, ...]] = [(np.full(len(holders), 3, np.int32), holders, zero, zero, held)]
     pairs: list[np.ndarray] = []
     for s in range(2, SHORT_LIST + 1):
         starts = begin[(count == s) & ~whole]
@@ -246,7 +249,7 @@ def _bucket_pairs(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         out.append((np.ones(len(star), np.int32), star[:, 0], star[:, 1], star[:, 2], lists_shared))
         name = np.where(heavy[at] == 1, -1 - (lists[at] & np.uint64(0xFFFFFFFF)).astype(np.int64), (np.int64(bucket) << 32) + (lists[at] & np.uint64(0xFFFFFFFF)).astype(np.int64))
         out.append((np.full(len(at), 2, np.int32), name, doc[at], mark[at, 1].astype(np.int64), size[at] * 128 + share[at]))
-    cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 5
+    cols = [np.concatenate(x) for x in zip(*out)]
     return pa.table({"kind": cols[0].astype(np.int32), "a": cols[1].astype(np.int64), "b": cols[2].astype(np.int64), "need": cols[3].astype(np.int32), "hits": cols[4].astype(np.int32)})
 
 
@@ -290,6 +293,12 @@ def least_hits(l: Column | str, n_x: str, n_y: str) -> Column:
     return F.greatest(l.cast("long"), overlap - rest)
 
 
+def can_link(x: str, y: str) -> Column:
+    """Whether two sets can be similar enough, given how many tokens each has that no other set has."""
+    overlap = F.least(F.col(f"n_{x}") - F.col(f"lone_{x}"), F.col(f"n_{y}") - F.col(f"lone_{y}"))
+    return 100 * overlap >= PERCENT * (overlap + F.col(f"lone_{x}") + F.col(f"lone_{y}"))
+
+
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. Returns (doc_id, n_shingles, component_id) for each row."""
     spark = docs.sparkSession
@@ -306,12 +315,16 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     run = _postings(frequent[by], top["df"].to_numpy().astype(np.int64)[by], buckets)
     found = cut_lineage(texts.mapInArrow(run, _POSTINGS).groupBy("bucket").applyInArrow(_bucket_pairs, _PAIRS))
 
-    rep_of = sets.where("n > 0").join(reps, ["k1", "k2", "n"]).groupBy("doc_id").agg(F.min(F.struct("rep", "n")).alias("own"))
-    rep_of = cut_lineage(rep_of.select("doc_id", "own.rep", "own.n"))
+    shared = found.where("kind = 3").groupBy(F.col("a").alias("doc_id")).agg(F.sum("hits").alias("shared"))
+    own = sets.where("n > 0").join(reps, ["k1", "k2", "n"]).join(shared, "doc_id").groupBy("doc_id").agg(F.min(F.struct("rep", "n", "shared")).alias("own"))
+    # Tokens of the shortest prefix that no other document has in its own, so none shares.
+    lone = F.greatest(F.lit(0), F.col("own.n") - F.ceil(F.col("own.n") * PERCENT / 100) + 1 - F.col("own.shared"))
+    own = cut_lineage(own.select("doc_id", "own.rep", "own.n", lone.alias("lone")))
     raw = found.where("kind < 2").groupBy("a", "b").agg(F.max("need").alias("l"), F.sum("hits").alias("hits"))
     for side in "ab":
-        raw = raw.join(rep_of.select(F.col("doc_id").alias(side), F.col("rep").alias(f"rep_{side}"), F.col("n").alias(f"n_{side}")), side)
-    pairs = raw.where("rep_a <> rep_b").groupBy(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
+        raw = raw.join(own.select(F.col("doc_id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "n", "lone")]), side)
+    raw = raw.where(F.col("rep_a") != F.col("rep_b")).where(can_link("a", "b"))
+    pairs = raw.groupBy(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
     pairs = cut_lineage(pairs.agg(F.max("hits").alias("hits"), F.min(least_hits("l", "n_a", "n_b")).alias("need")))
     tried = pairs.where("hits >= need").select("a", "b")
     links = cut_lineage(verified(tried, texts))
@@ -320,7 +333,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     lists = found.where("kind = 2").select(
         F.col("a").alias("list"), F.col("b").alias("doc"), (F.col("need") / 16).cast("int").alias("level"), (F.col("need") % 16).alias("l"), (F.col("hits") / 128).cast("int").alias("size"), (F.col("hits") % 128).alias("share")
     )
-    lists = lists.join(rep_of.select(F.col("doc_id").alias("doc"), "rep", "n"), "doc").groupBy("list", "rep", "n").agg(*[F.min(c).alias(c) for c in ("level", "l", "size", "share")])
+    lists = lists.join(own.withColumnRenamed("doc_id", "doc"), "doc").groupBy("list", "rep", "n").agg(F.min("lone").alias("lone"), *[F.min(c).alias(c) for c in ("level", "l", "size", "share")])
     for turn in range(3):
         open_lists = lists.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         several = open_lists.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("list")
@@ -330,11 +343,16 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         if not size[0]:
             break
         if last := turn == 2 or size[1] <= CROSS_PAIRS * size[0]:
-            x, y = (lists.select("list", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "component", "level", "l", "size")]) for s in "xy")
+            x, y = (lists.select("list", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "lone", "component", "level", "l", "size")]) for s in "xy")
             l = F.least("l_x", "l_y")
-            shared = x.join(y, "list").where((F.col("component_x") < F.col("component_y")) & (F.greatest("level_x", "level_y") <= l) & (F.abs(F.col("size_x") - F.col("size_y")) <= SIZE_STEPS))
-            more = shared.groupBy(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).agg(F.count("*").alias("long_hits"), F.max(least_hits(l, "n_x", "n_y")).alias("least"))
-            more = more.join(pairs.select("a", "b", "hits"), ["a", "b"], "left").where("long_hits + coalesce(hits, 0) >= least").select("a", "b")
+            alike = (F.greatest("level_x", "level_y") <= l) & (F.abs(F.col("size_x") - F.col("size_y")) <= SIZE_STEPS) & can_link("x", "y")
+            met = x.join(y, (x["list"] == y["list"]) & (F.col("component_x") < F.col("component_y")) & alike)
+            more = met.groupBy(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).agg(F.count("*").alias("hits"), F.max(least_hits(l, "n_x", "n_y")).alias("need"))
+            # Tokens of short lists, or of a long list's central document, count as well.
+            some = pairs.where("hits < need")
+            for side in "ab":
+                some = some.join(lists.groupBy(F.col("rep").alias(side)).agg(F.min("component").alias(f"component_{side}")), side)
+            more = more.where("hits >= need").select("a", "b").unionByName(some.where("component_a <> component_b").select("a", "b")).distinct()
         else:
             heads = lists.groupBy("list", "component").agg(F.min(F.struct("share", "rep", "size")).alias("head"))
             centre = heads.groupBy("list").agg(F.min("head").alias("centre"))
@@ -351,3 +369,11 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
 
     classes = reps.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
     return sets.join(classes, ["k1", "k2", "n"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs, all columns, with one row of each near-duplicate class: the one with the smallest doc_id.
+    Rows without a doc_id belong to no class and stay."""
+    first = near_duplicate_classes(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))

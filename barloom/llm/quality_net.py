@@ -226,3 +226,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     scored = texts_of(docs).mapInArrow(_scorer(model), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """docs, all columns, without the rows that score below the threshold."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [model.value.scores(pooled(bucket, rows, j - i, model.value.vectors)) >= threshold for i, j, bucket, rows in _stream(batch.column(at))]
+            yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -133,3 +133,11 @@ def secret_digest(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame
         joined_spans(spans).alias("spans"),
         F.col("blob"),
     )
+
+
+def without_secrets(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """docs, all columns, without the rows whose text holds a secret. The rows travel as one struct, so
+    that no column's name can clash with the ledger's."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    found = scan_history(rows, ["row"], ledger=ledger).findings
+    return found.where(F.size("spans") == 0).select("row.*")
