@@ -14,10 +14,10 @@ Steps, each a Spark job over all rows:
 3. Bucket by bucket: short posting lists give all their pairs; long ones pair every document with the
    list's most central one (the largest share of frequent tokens) and keep their postings for step 5.
 4. Pairs with enough shared tokens are verified on whole texts; links give components.
-5. Long lists whose documents are still in several components: first the components' central
-   documents, then every remaining pair across components, are counted, filtered and verified. Pairs
-   inside a component need no check, since only components are asked for. What step 3 counts for a
-   long list is a part of its pairs at most, so a pair that it misses is met here.
+5. Long lists whose documents are still in several components: the shared lists of all pairs across
+   components are counted, block by block, and those with enough are verified. Pairs inside a component
+   need no check, since only components are asked for. What step 3 counts for a long list is a part of
+   its pairs at most, so a pair that it misses is met here.
 
 Defined results: null and empty texts have no shingles and link with nothing; equal texts share a
 class whatever their number; rows that repeat a doc_id keep one output row each; an empty table gives
@@ -49,8 +49,8 @@ MOST_MATCHES = 8
 SHORT_LIST = 5
 BUCKET_POSTINGS = 400_000
 SALT_POSTINGS = 2048
-#: Pairs across components, per posting in open lists, up to which all of them are counted at once.
-CROSS_PAIRS = 30
+#: Documents in a block of those that share long lists.
+BLOCK_DOCS = 2048
 #: Tokens held before they are counted, and rows of counts kept of each such lot, in one task.
 LOT = 1 << 21
 LOT_KEEPS = 1 << 15
@@ -296,7 +296,53 @@ def least_hits(l: Column | str, n_x: str, n_y: str) -> Column:
 def can_link(x: str, y: str) -> Column:
     """Whether two sets can be similar enough, given how many tokens each has that no other set has."""
     overlap = F.least(F.col(f"n_{x}") - F.col(f"lone_{x}"), F.col(f"n_{y}") - F.col(f"lone_{y}"))
-    return 100 * overlap >= PERCENT * (overlap + F.col(f"lone_{x}") + F.col(f"lone_{y}"))
+    return 100 * overlap >= PERCENT * (F.col(f"n_{x}") + F.col(f"n_{y}") - overlap)
+
+
+def across_components(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) of documents in different components that share enough of the open lists.
+
+    Documents are dealt into blocks of about BLOCK_DOCS by their smallest list, so that those with the same
+    lists come together; two blocks that meet in a list make one task, which counts the shared lists of all
+    their pairs in a matrix. A list goes to as many tasks as it has pairs of blocks, not of documents."""
+    anchors = lists.groupBy("rep").agg(F.min("list").alias("anchor"))
+    sizes = anchors.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK_DOCS).alias("pieces"))
+    blocks = anchors.join(sizes, "anchor").select("rep", F.xxhash64("anchor", F.pmod(F.xxhash64("rep"), F.col("pieces"))).alias("own"))
+    dealt = cut_lineage(lists.join(blocks, "rep"))
+    meets = dealt.select("list", F.col("own").alias("other")).distinct()
+    rows = dealt.join(meets, "list").select("list", "rep", "component", "n", "lone", "level", "l", "size", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    return rows.groupBy("low", "high").applyInArrow(_count_shared, "a long, b long")
+
+
+def _count_shared(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+    low, high = (k.as_py() for k in key)
+    column = {c: group.column(c).to_numpy() for c in group.column_names}
+    reps, first, at = np.unique(column["rep"], return_index=True, return_inverse=True)
+    of = {c: column[c][first].astype(np.int64) for c in ("component", "n", "lone", "l", "size", "own")}
+    sides = [np.flatnonzero(of["own"] == low), np.flatnonzero(of["own"] == high)]
+    place = np.zeros(len(reps), np.int64)
+    for side in sides:
+        place[side] = np.arange(len(side))
+    counts = np.zeros((len(sides[0]), len(sides[1])), np.int32)
+    by = np.argsort(column["list"], kind="stable")
+    for rows in np.split(by, np.flatnonzero(np.diff(column["list"][by])) + 1):
+        docs, level = at[rows], column["level"][rows]
+        left, right = of["own"][docs] == low, of["own"][docs] == high
+        x, y = docs[left], docs[right]
+        if len(x) and len(y):
+            shared = np.maximum.outer(level[left], level[right]) <= np.minimum.outer(of["l"][x], of["l"][y])
+            counts[np.ix_(place[x], place[y])] += shared
+    i, j = np.nonzero(counts)
+    x, y, hits = sides[0][i], sides[1][j], counts[i, j]
+    n, lone, l = of["n"], of["lone"], np.minimum(of["l"][x], of["l"][y])
+    overlap = np.minimum(n[x] - lone[x], n[y] - lone[y])
+    least = -(-PERCENT * (n[x] + n[y]) // (100 + PERCENT))
+    need = np.maximum(l, least - np.maximum(-(-PERCENT * n[x] // 100), -(-PERCENT * n[y] // 100)) + l)
+    ok = (of["component"][x] != of["component"][y]) & (np.abs(of["size"][x] - of["size"][y]) <= SIZE_STEPS) & (hits >= need) & (overlap >= least)
+    if low == high:
+        ok &= i < j
+    a, b = reps[x[ok]], reps[y[ok]]
+    return pa.table({"a": np.minimum(a, b).astype(np.int64), "b": np.maximum(a, b).astype(np.int64)})
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
@@ -334,38 +380,17 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         F.col("a").alias("list"), F.col("b").alias("doc"), (F.col("need") / 16).cast("int").alias("level"), (F.col("need") % 16).alias("l"), (F.col("hits") / 128).cast("int").alias("size"), (F.col("hits") % 128).alias("share")
     )
     lists = lists.join(own.withColumnRenamed("doc_id", "doc"), "doc").groupBy("list", "rep", "n").agg(F.min("lone").alias("lone"), *[F.min(c).alias(c) for c in ("level", "l", "size", "share")])
-    for turn in range(3):
-        open_lists = lists.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        several = open_lists.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("list")
-        lists = cut_lineage(open_lists.join(several, "list", "left_semi"))
-        per = lists.groupBy("list", "component").agg(F.count("*").cast("double").alias("m")).groupBy("list").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("inside"))
-        size = per.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("inside")) / 2)).first()
-        if not size[0]:
-            break
-        if last := turn == 2 or size[1] <= CROSS_PAIRS * size[0]:
-            x, y = (lists.select("list", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "lone", "component", "level", "l", "size")]) for s in "xy")
-            l = F.least("l_x", "l_y")
-            alike = (F.greatest("level_x", "level_y") <= l) & (F.abs(F.col("size_x") - F.col("size_y")) <= SIZE_STEPS) & can_link("x", "y")
-            met = x.join(y, (x["list"] == y["list"]) & (F.col("component_x") < F.col("component_y")) & alike)
-            more = met.groupBy(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).agg(F.count("*").alias("hits"), F.max(least_hits(l, "n_x", "n_y")).alias("need"))
-            # Tokens of short lists, or of a long list's central document, count as well.
-            some = pairs.where("hits < need")
-            for side in "ab":
-                some = some.join(lists.groupBy(F.col("rep").alias(side)).agg(F.min("component").alias(f"component_{side}")), side)
-            more = more.where("hits >= need").select("a", "b").unionByName(some.where("component_a <> component_b").select("a", "b")).distinct()
-        else:
-            heads = lists.groupBy("list", "component").agg(F.min(F.struct("share", "rep", "size")).alias("head"))
-            centre = heads.groupBy("list").agg(F.min("head").alias("centre"))
-            more = heads.join(centre, "list").where("head.rep <> centre.rep").where(F.abs(F.col("head.size") - F.col("centre.size")) <= SIZE_STEPS)
-            more = more.select(F.least("head.rep", "centre.rep").alias("a"), F.greatest("head.rep", "centre.rep").alias("b")).distinct()
-        lists = lists.drop("component")
-        more = cut_lineage(more.join(tried, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            tried = tried.unionByName(more)
-            links = cut_lineage(links.unionByName(verified(more, texts)))
-            labels = connected_components(links)
-        if last:
-            break
+    known = lists.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    several = known.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("list")
+    lists = cut_lineage(known.join(several, "list", "left_semi"))
+    # Tokens of short lists, or of a long list's central document, count as well.
+    some = pairs.where("hits < need")
+    for side in "ab":
+        some = some.join(lists.groupBy(F.col("rep").alias(side)).agg(F.min("component").alias(f"component_{side}")), side)
+    more = across_components(lists).unionByName(some.where("component_a <> component_b").select("a", "b")).distinct()
+    more = cut_lineage(more.join(tried, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        labels = connected_components(links.unionByName(verified(more, texts)))
 
     classes = reps.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
     return sets.join(classes, ["k1", "k2", "n"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
