@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 REQUIRED = ("date", "symbol", "open", "high", "low", "close", "volume")
@@ -50,9 +50,7 @@ def generated_ohlcv(spark: SparkSession, symbols: list[str], periods: int = 1400
     days = days.orderBy("day").limit(periods)
     walk = names.crossJoin(F.broadcast(days))
     shock = 0.0002 + F.col("k") * 0.00002 + (0.012 + (F.col("k") % 4) * 0.002) * F.randn(seed)
-    from barloom.functions.columns import by_symbol
-
-    path = F.sum("shock").over(by_symbol("symbol", "day").rowsBetween(-(1 << 31), 0))
+    path = F.sum("shock").over(Window.partitionBy("symbol").orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
     out = walk.withColumn("shock", shock).withColumn("close", (100 + 15 * F.col("k")) * F.exp(path))
     out = out.withColumn("open", F.col("close") * (1 + 0.002 * F.randn(seed + 1)))
     out = out.withColumn("high", F.greatest("open", "close") * (1 + 0.004 * F.rand(seed + 2))).withColumn("low", F.least("open", "close") * (1 - 0.004 * F.rand(seed + 3)))
