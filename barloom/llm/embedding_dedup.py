@@ -195,7 +195,7 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = THRESHOLD)
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = cut_lineage(rows.mapInArrow(_clean, "vec_id long, label long, vector binary"))
     valid = rows.where("vector is not null")
-    classes = cut_lineage(valid.groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("number")))
+    classes = cut_lineage(valid.groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("number")).where("id is not null"))
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     hashes, tables = table_sizes(most, threshold)
     dealt = classes.select("id", "label", "number", "vector").mapInArrow(_buckets(hashes, tables), "id long, number long, vector binary, signature binary, table int, bucket long")
@@ -212,4 +212,4 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = THRESHOLD)
     known = classes.join(links, "id", "left").join(components, "id", "left").select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("number") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
     component = F.coalesce("component", "vec_id")
     out = rows.join(known, ["label", "vector"], "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

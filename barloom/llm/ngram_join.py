@@ -20,8 +20,9 @@ Steps, each a Spark job over all rows:
    its pairs at most, so a pair that it misses is met here.
 
 Defined results: null and empty texts have no shingles and link with nothing; equal texts share a
-class whatever their number; rows that repeat a doc_id keep one output row each; an empty table gives
-an empty result; other columns are ignored.
+class whatever their number; rows that repeat a doc_id keep one output row each, and their texts count as
+that document's; a row without a doc_id takes the component of documents with the same shingles, or none;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -85,7 +86,6 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(often), pa.int32()), pa.array(token[often].view(np.int64)), pa.array(df[often].astype(np.int64))], schema=schema)
 
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
         for i, j, h, off in text_hash.shingle_sets(batch.column(1), WIDTH):
             k1, k2 = _set_keys(h, off)
             n = np.diff(off)
@@ -94,7 +94,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     seen.add(key)
                     lot.append(h[off[row] : off[row + 1]])
             none = pa.nulls(j - i, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i:j]), pa.array(k1), pa.array(k2), pa.array(n.astype(np.int32)), none, none], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(k1), pa.array(k2), pa.array(n.astype(np.int32)), none, none], schema=schema)
             if sum(map(len, lot)) > LOT:
                 yield counted()
     yield counted()
@@ -143,6 +143,8 @@ def _postings(frequent: np.ndarray, counts: np.ndarray, buckets: int):
                 return
             bucket, token, doc, mark = (np.concatenate(x) for x in zip(*held))
             held.clear()
+            if not len(bucket):
+                return
             by = np.argsort(bucket, kind="stable")
             bucket, token, doc, mark = bucket[by], token[by], doc[by], mark[by]
             cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
@@ -350,6 +352,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = texts_of(docs)
     profile = cut_lineage(texts.mapInArrow(_profile, _PROFILE))
+    texts = texts.where("doc_id is not null")
     sets = profile.where("token is null").select("doc_id", "k1", "k2", "n")
     reps = cut_lineage(sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")))
     # Bounded by FREQUENT rows.
@@ -362,7 +365,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     found = cut_lineage(texts.mapInArrow(run, _POSTINGS).groupBy("bucket").applyInArrow(_bucket_pairs, _PAIRS))
 
     shared = found.where("kind = 3").groupBy(F.col("a").alias("doc_id")).agg(F.sum("hits").alias("shared"))
-    own = sets.where("n > 0").join(reps, ["k1", "k2", "n"]).join(shared, "doc_id").groupBy("doc_id").agg(F.min(F.struct("rep", "n", "shared")).alias("own"))
+    own = sets.where("n > 0 and doc_id is not null").join(reps, ["k1", "k2", "n"]).join(shared, "doc_id").groupBy("doc_id").agg(F.min(F.struct("rep", "n", "shared")).alias("own"))
     # Tokens of the shortest prefix that no other document has in its own, so none shares.
     lone = F.greatest(F.lit(0), F.col("own.n") - F.ceil(F.col("own.n") * PERCENT / 100) + 1 - F.col("own.shared"))
     own = cut_lineage(own.select("doc_id", "own.rep", "own.n", lone.alias("lone")))

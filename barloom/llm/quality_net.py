@@ -12,7 +12,8 @@ characters, taken in hash order of the id. Scoring covers every whole text, in n
 
 Defined results: null and empty texts score as a document without tokens; rows of labels without a
 label or document are ignored; with one class or no labels, every score is the share of label 1
-(1.0 without labels). Repeated rows score alike; other columns are never read.
+(1.0 without labels). Repeated rows score alike; a row without a doc_id is
+scored and counts as not held out; other columns are never read.
 """
 
 from __future__ import annotations
@@ -193,7 +194,7 @@ def train(texts: pa.Array, labels: np.ndarray) -> QualityModel:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
