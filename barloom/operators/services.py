@@ -163,6 +163,23 @@ def close_plan(open_orders: DataFrame, positions: DataFrame, symbol: str, mode:
     return cancel.unionByName(close)
 
 
+def panic_plan(brokers: DataFrame, open_orders: DataFrame, positions: DataFrame) -> DataFrame:
+    """What closing everything would do for each broker that can: cancel its open orders, then sell what it
+    holds; brokers that cannot are named as such."""
+    able = brokers.where("close").select("adapter")
+    cancel = open_orders.where(F.lower("state").isin(*OPEN_STATES)).join(able, "adapter", "left_semi").select("adapter", F.lit(1).alias("step"), F.lit("cancel").alias("action"), F.col("order_id").cast("string").alias("target"), F.lit(None).cast("double").alias("quantity"))
+    close = positions.where("quantity > 0").join(able, "adapter", "left_semi").select("adapter", F.lit(2).alias("step"), F.lit("sell").alias("action"), F.col("symbol").alias("target"), "quantity")
+    unable = brokers.where("not close").select("adapter", F.lit(0).alias("step"), F.lit("not_supported").alias("action"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("double").alias("quantity"))
+    return cancel.unionByName(close).unionByName(unable)
+
+
+def routed(intents: DataFrame, brokers: DataFrame) -> DataFrame:
+    """Order intents (adapter, ...) with the route that the broker takes them by, and whether it takes them
+    and can cancel them; an unknown broker takes none."""
+    known = brokers.select("adapter", "route", F.col("submit").alias("accepted"), F.col("cancel").alias("cancellable"))
+    return intents.join(known, "adapter", "left").na.fill(False, ["accepted", "cancellable"])
+
+
 def terminate(runs: DataFrame, run_id: str) -> DataFrame:
     """The set of terminated runs with one more; adding one twice changes nothing."""
     new = runs.sparkSession.createDataFrame([(run_id,)], "run_id string")

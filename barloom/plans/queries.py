@@ -453,6 +453,39 @@ def order_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", "adapter", services.order_payload(F.col("adapter"), F.col("symbol"), F.col("side"), F.col("quantity"), F.lit("market"), F.lit(None).cast("double")).alias("payload"))
 
 
+@registered(
+    """SELECT e.event_id, e.event_type AS adapter_kind, b.route, coalesce(b.submit, false) AS accepted, coalesce(b.cancel, false) AS cancellable
+FROM (SELECT *, CASE event_id % 3 WHEN 0 THEN 'gemini' WHEN 1 THEN 'tradingview' ELSE 'nobody' END AS adapter FROM events) e
+LEFT JOIN (VALUES ('tradingview', 'webhook', true, false), ('gemini', 'rest', true, true)) b(adapter, route, submit, cancel) ON e.adapter = b.adapter"""
+)
+def routed_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    third = F.col("event_id") % 3
+    intents = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("adapter_kind"), F.when(third == 0, "gemini").when(third == 1, "tradingview").otherwise("nobody").alias("adapter"))
+    return services.routed(intents, services.capabilities(spark)).drop("adapter")
+
+
+@registered(
+    """SELECT event_type AS adapter, 1 AS step, 'cancel' AS action, CAST(event_id AS VARCHAR) AS target, CAST(NULL AS DOUBLE) AS quantity FROM events WHERE event_id % 2 = 0 AND event_type <> 'click'
+UNION ALL SELECT event_type, 2, 'sell', CAST(user_id AS VARCHAR), floor(sum(value) * 1e6 + 5e-1) / 1e6 FROM events WHERE event_type <> 'click' GROUP BY event_type, user_id HAVING sum(value) > 0
+UNION ALL SELECT 'click', 0, 'not_supported', NULL, NULL"""
+)
+def panic_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    brokers = e.select(F.col("event_type").alias("adapter")).distinct().withColumn("close", F.col("adapter") != "click")
+    orders = e.select(F.col("event_type").alias("adapter"), F.col("event_id").alias("order_id"), F.when(F.col("event_id") % 2 == 0, "OPEN").otherwise("filled").alias("state"))
+    held = e.groupBy(F.col("event_type").alias("adapter"), F.col("user_id").cast("string").alias("symbol")).agg(f6(F.sum("value")).alias("quantity"))
+    return services.panic_plan(brokers, orders, held)
+
+
+@registered(
+    f"""WITH {FEATURES} SELECT symbol, sum(volume) AS volume, {s6("median(abs(log_return))")} AS typical_move, {s6("avg(CASE WHEN log_return >= 0 THEN 1e0 ELSE 0e0 END)")} AS up_share, count(log_return) AS n FROM feats WHERE log_return IS NOT NULL GROUP BY symbol"""
+)
+def symbol_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = bars_features(spark, sf_dir).where("log_return is not null")
+    out = df.groupBy("symbol").agg(F.sum("volume").alias("volume"), F.median(F.abs("log_return")).alias("typical_move"), F.avg((F.col("log_return") >= 0).cast("double")).alias("up_share"), F.count("log_return").alias("n"))
+    return rounded(out, ("symbol", "volume", "n"), ("typical_move", "up_share"))
+
+
 @registered()
 def discovered_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = features.robust_scale(features.preprocess(weekly_bars(spark, sf_dir), 12), ["log_return", "realized_vol", "dollar_volume"])
