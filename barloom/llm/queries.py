@@ -63,4 +63,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _secret_sql() -> str:
+    """All rules by splitting at the matches; offsets are sums of what lies before."""
+    spans = []
+    for rank, rule in enumerate(secret_ledger.RULES):
+        p = rule.pattern.replace('\\"', '"').replace("\\'", "'").replace("'", "''")
+        gaps, found = f"string_split_regex(t, '{p}')", f"regexp_extract_all(t, '{p}', 0)"
+        spans.append(
+            f"""SELECT doc_id, n, {rank} AS rank, '{rule.kind}' AS kind, i, s AS b, s + length(m) AS e, length(z) AS z FROM (SELECT doc_id, n, i, m[i] AS m, z[i] AS z,
+ list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s
+ FROM (SELECT doc_id, n, {gaps} AS g, {found} AS m, regexp_extract_all(t, '{p}', {rule.group}) AS z, unnest(range(1, len({found}) + 1)) AS i FROM d)) WHERE z >= {rule.least}"""
+        )
+    spans = [s.replace("WHERE z >=", "WHERE length(z) >=") for s in spans]
+    joined = "coalesce(string_agg(kind || ':' || CAST(b AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY b, rank)"
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secret_ledger.RULES if r.base)
+    base = sum(r.base for r in secret_ledger.RULES)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS n FROM documents), s AS ({" UNION ALL ".join(spans)})
+SELECT d.doc_id, {counts}, sha256({joined} FILTER (rank < {base}), '')) AS base_sha256, {joined}, '') AS spans, sha256(any_value(t)) AS blob FROM d LEFT JOIN s ON d.n = s.n GROUP BY d.n, d.doc_id"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_secret_ledger": _secret_sql(),
+    "op3_ngram_join": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM w),
+s AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT g.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, c.component_id FROM g JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON g.doc_id = c.a""",
+}
