@@ -52,6 +52,8 @@ BUCKET_POSTINGS = 400_000
 SALT_POSTINGS = 2048
 #: Documents in a block of those that share long lists.
 BLOCK_DOCS = 2048
+#: Postings in open lists for each task that counts them.
+DEAL_ROWS = 20_000
 #: Tokens held before they are counted, and rows of counts kept of each such lot, in one task.
 LOT = 1 << 21
 LOT_KEEPS = 1 << 15
@@ -301,24 +303,48 @@ def can_link(x: str, y: str) -> Column:
     return 100 * overlap >= PERCENT * (F.col(f"n_{x}") + F.col(f"n_{y}") - overlap)
 
 
+def reachable(lists: DataFrame) -> DataFrame:
+    """The postings of documents that can still reach the tokens that a link takes: at least the smaller l of
+    the two, among documents of about their size in one of their lists. Lists of one document go as well."""
+    band = F.floor(F.col("size") / SIZE_STEPS)
+    least = lists.select("list", F.explode(F.array(band - 1, band, band + 1)).alias("band"), "l").groupBy("list", "band").agg(F.min("l").alias("least"))
+    able = lists.withColumn("band", band).join(least, ["list", "band"]).groupBy("rep").agg(F.count("*").alias("reach"), F.min("l").alias("l"), F.min("least").alias("least"))
+    kept = lists.join(able.where(F.col("reach") >= F.least("l", "least")).select("rep"), "rep", "left_semi")
+    return kept.join(kept.groupBy("list").count().where("count > 1").select("list"), "list", "left_semi")
+
+
 def across_components(lists: DataFrame) -> DataFrame:
     """Pairs (a, b) of documents in different components that share enough of the open lists.
 
     Documents are dealt into blocks of about BLOCK_DOCS by their smallest list, so that those with the same
-    lists come together; two blocks that meet in a list make one task, which counts the shared lists of all
-    their pairs in a matrix. A list goes to as many tasks as it has pairs of blocks, not of documents."""
+    lists come together; two blocks that meet in a list are compared in one task, which counts the shared
+    lists of all their pairs in a matrix. A list goes to as many tasks as it has pairs of blocks, not of
+    documents."""
+    lists = cut_lineage(reachable(lists))
     anchors = lists.groupBy("rep").agg(F.min("list").alias("anchor"))
     sizes = anchors.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK_DOCS).alias("pieces"))
     blocks = anchors.join(sizes, "anchor").select("rep", F.xxhash64("anchor", F.pmod(F.xxhash64("rep"), F.col("pieces"))).alias("own"))
     dealt = cut_lineage(lists.join(blocks, "rep"))
     meets = dealt.select("list", F.col("own").alias("other")).distinct()
-    rows = dealt.join(meets, "list").select("list", "rep", "component", "n", "lone", "level", "l", "size", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    return rows.groupBy("low", "high").applyInArrow(_count_shared, "a long, b long")
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    rows = dealt.join(meets, "list").select("list", "rep", "component", "n", "lone", "level", "l", "size", "own", low.alias("low"), high.alias("high"))
+    groups = max(partitions_for(lists), dealt.count() // DEAL_ROWS)
+    return rows.groupBy(F.pmod(F.xxhash64("low", "high"), F.lit(groups)).alias("deal")).applyInArrow(_count_dealt, "a long, b long")
 
 
-def _count_shared(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-    low, high = (k.as_py() for k in key)
+def _count_dealt(group: pa.Table) -> pa.Table:
     column = {c: group.column(c).to_numpy() for c in group.column_names}
+    by = np.lexsort((column["list"], column["high"], column["low"]))
+    column = {c: v[by] for c, v in column.items()}
+    cuts = np.flatnonzero((column["low"][1:] != column["low"][:-1]) | (column["high"][1:] != column["high"][:-1])) + 1
+    found = [_count_shared({c: v[x:y] for c, v in column.items()}) for x, y in zip(np.append(0, cuts), np.append(cuts, len(by)))]
+    a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    return pa.table({"a": a, "b": b})
+
+
+def _count_shared(column: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """One pair of blocks, its postings in the order of their lists."""
+    low, high = column["low"][0], column["high"][0]
     reps, first, at = np.unique(column["rep"], return_index=True, return_inverse=True)
     of = {c: column[c][first].astype(np.int64) for c in ("component", "n", "lone", "l", "size", "own")}
     sides = [np.flatnonzero(of["own"] == low), np.flatnonzero(of["own"] == high)]
@@ -326,14 +352,17 @@ def _count_shared(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
     for side in sides:
         place[side] = np.arange(len(side))
     counts = np.zeros((len(sides[0]), len(sides[1])), np.int32)
-    by = np.argsort(column["list"], kind="stable")
-    for rows in np.split(by, np.flatnonzero(np.diff(column["list"][by])) + 1):
-        docs, level = at[rows], column["level"][rows]
-        left, right = of["own"][docs] == low, of["own"][docs] == high
-        x, y = docs[left], docs[right]
-        if len(x) and len(y):
-            shared = np.maximum.outer(level[left], level[right]) <= np.minimum.outer(of["l"][x], of["l"][y])
-            counts[np.ix_(place[x], place[y])] += shared
+    left, level, l = column["own"] == low, column["level"], of["l"]
+    cuts = np.append(np.flatnonzero(np.concatenate([[True], column["list"][1:] != column["list"][:-1]])), len(at))
+    for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if low == high:
+            u = v = np.arange(begin, end)
+        else:
+            inside = left[begin:end]
+            u, v = begin + np.flatnonzero(inside), begin + np.flatnonzero(~inside)
+        if len(u) and len(v):
+            shared = np.maximum.outer(level[u], level[v]) <= np.minimum.outer(l[at[u]], l[at[v]])
+            counts[place[at[u]][:, None], place[at[v]]] += shared
     i, j = np.nonzero(counts)
     x, y, hits = sides[0][i], sides[1][j], counts[i, j]
     n, lone, l = of["n"], of["lone"], np.minimum(of["l"][x], of["l"][y])
@@ -343,8 +372,8 @@ def _count_shared(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
     ok = (of["component"][x] != of["component"][y]) & (np.abs(of["size"][x] - of["size"][y]) <= SIZE_STEPS) & (hits >= need) & (overlap >= least)
     if low == high:
         ok &= i < j
-    a, b = reps[x[ok]], reps[y[ok]]
-    return pa.table({"a": np.minimum(a, b).astype(np.int64), "b": np.maximum(a, b).astype(np.int64)})
+    a, b = reps[x[ok]].astype(np.int64), reps[y[ok]].astype(np.int64)
+    return np.minimum(a, b), np.maximum(a, b)
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
