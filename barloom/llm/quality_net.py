@@ -146,7 +146,7 @@ class QualityModel:
 
 
 def _stream(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    for i, j, data, offsets in text_hash.byte_slices(text, 1 << 20):
+    for i, j, data, offsets in text_hash.byte_slices(text):
         yield i, j, *tokens_of(data, offsets)
 
 
