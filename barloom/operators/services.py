@@ -205,7 +205,32 @@ def headlines(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "position", F.regexp_extract("a", r'(?is)href="([^"]*)"', 1).alias("url"), F.trim(F.regexp_replace("a", r"(?s)<[^>]*>", "")).alias("headline"))
 
 
+def news_rows(pages: DataFrame) -> DataFrame:
+    """(ticker, position, datetime_text, headline, url) of the rows with two cells or more in a page's table
+    whose id is news-table; headline and url are the row's first link's."""
+    body = F.regexp_extract("html", r'(?is)<table\b[^>]*\bid="news-table"[^>]*>(.*?)</table>', 1)
+    rows = pages.select("ticker", F.posexplode(F.regexp_extract_all(body, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))).alias("position", "row"))
+    cells = rows.withColumn("cells", F.regexp_extract_all("row", F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1))).where("size(cells) >= 2")
+
+    def plain(c: Column) -> Column:
+        return F.trim(F.regexp_replace(c, r"(?s)<[^>]*>", ""))
+
+    link = F.regexp_extract(F.col("cells")[1], r"(?is)<a\b[^>]*>(.*?)</a>", 1)
+    return cells.select("ticker", "position", plain(F.col("cells")[0]).alias("datetime_text"), plain(link).alias("headline"), F.regexp_extract(F.col("cells")[1], r'(?is)<a\b[^>]*?href="([^"]*)"', 1).alias("url"))
+
+
+def equity_rows(series: DataFrame) -> DataFrame:
+    """The bars of a series that is held as one JSON array a column."""
+    names = ("open", "high", "low", "close")
+    zipped = F.arrays_zip(*[F.from_json(c, "array<double>").alias(c) for c in names])
+    return series.select(F.posexplode(zipped).alias("place", "bar")).select("place", *[f"bar.{c}" for c in names])
+
+
 def mock_equity(spark: SparkSession, periods: int = 30, seed: int = 42) -> DataFrame:
     """A made-up series of bars, one JSON array a column."""
     day = spark.range(periods).select("id", (100 + F.rand(seed)).alias("open"), (101 + F.rand(seed + 1)).alias("high"), (99 + F.rand(seed + 2)).alias("low"), (100 + F.rand(seed + 3)).alias("close"))
-    return day.agg(*[F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("id", c))), lambda s, c=c: s[c])).alias(c) for c in ("open", "high", "low", "close")])
+
+    def in_order(c: str) -> Column:
+        return F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("id", c))), lambda s: s[c])).alias(c)
+
+    return day.agg(*[in_order(c) for c in ("open", "high", "low", "close")])

@@ -33,8 +33,7 @@ def shortfall_bps(size: Column, vol: Column, pofi: Column, side: Column, variant
 
 def execution_filter(orders: DataFrame, cap_bps: float = 20.0, variant: str = "rust") -> DataFrame:
     """Decides every order: approved if the predicted shortfall exceeds neither the expected edge (0 at
-    least) nor the cap. order_id is the place in (date, symbol) order, numbered per range partition, so no
-    task sees all rows. A missing volatility is never approved."""
+    least) nor the cap. A missing volatility is never approved."""
     rows = orders.withColumns({"side": F.when(F.col("position") >= 0, "BUY").otherwise("SELL"), "size": F.abs("position"), "pofi": F.sum("position").over(cross_section())})
     edge, vol = clip(F.col("expected_edge_bps"), low=0.0), clip(F.col("vol_forecast"), low=1e-6)
     rows = rows.withColumn("predicted_shortfall_bps", F.when(vol.isNotNull(), shortfall_bps(F.col("size"), vol, F.col("pofi"), F.col("side"), variant)))

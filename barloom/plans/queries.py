@@ -13,6 +13,7 @@ from barloom.functions.columns import by_symbol, cross_section, linear_fill, rol
 from barloom.operators import features, joins, regimes, services, sizing, volatility
 from barloom.operators.forecast import walk_forward
 from barloom.plans.pipeline import MARKETS, run_pipeline
+from barloom.streaming import live
 from barloom.sources.panel import generated_ohlcv, hourly_bars, table, user_days, weekly_bars
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -486,6 +487,21 @@ def symbol_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, ("symbol", "volume", "n"), ("typical_move", "up_share"))
 
 
+@registered(f"WITH {BARS} SELECT * FROM bars WHERE date + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+def streamed_hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars from a file stream; those that the watermark has not passed are not final yet."""
+    bars = live.run_once(live.streamed_bars(live.event_ticks(spark, sf_dir)), "bars")
+    return bars.withColumn("date", F.col("date").cast("timestamp_ntz"))
+
+
+@registered()
+def streamed_order_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order state machine over a stream of moves."""
+    state = F.element_at(F.array(*[F.lit(s) for s in services.STATES]), (F.col("event_id") % 7 + 1).cast("int"))
+    moves = live.event_ticks(spark, sf_dir).select(F.col("user_id").alias("order_id"), "ts", state.alias("state"))
+    return live.run_once(live.order_lifecycle(moves), "orders")
+
+
 @registered()
 def discovered_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = features.robust_scale(features.preprocess(weekly_bars(spark, sf_dir), 12), ["log_return", "realized_vol", "dollar_volume"])

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators.services import STATES
@@ -24,6 +27,24 @@ def streamed_sessions(ticks: DataFrame, gap: str = "30 minutes", late: str = "1
     return made.select("symbol", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n", "total")
 
 
+def run_once(stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream over what its source holds now, into a Parquet sink with its own checkpoint, exactly
+    once; both lie in the folder that spark.checkpoint.dir names, which all executors share."""
+    spark = stream.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "barloom-streams")
+    base = f"{shared.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+
+
+def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as a file stream of ticks."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return raw.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "value", "user_id", "event_id")
+
+
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     at = state.get[0] if state.exists else -1
     moves = pd.concat(frames).sort_values("ts")

@@ -151,6 +151,13 @@ def test_close_plan_and_registry(spark):
     assert services.greek_combinations(spark).count() == 10 and services.mock_surface(spark, True).count() == 0
 
 
+def test_news_rows_and_equity_json(spark):
+    html = '<table id="x"><tr><td>a</td><td>b</td></tr></table><table class="t" id="news-table"><tr><td>Jan-01 <b>09:00</b></td><td><a href="http://n/1">Up &amp; <i>away</i></a></td></tr><tr><td>one cell</td></tr></table>'
+    got = services.news_rows(spark.createDataFrame([("AAPL", html), ("MSFT", "<p>none</p>"), ("X", None)], "ticker string, html string")).collect()
+    assert [(r.ticker, r.datetime_text, r.headline, r.url) for r in got] == [("AAPL", "Jan-01 09:00", "Up &amp; away", "http://n/1")]
+    assert services.equity_rows(services.mock_equity(spark, 30)).count() == 30
+
+
 def test_sources(spark, tmp_path):
     df = generated_ohlcv(spark, ["A", "B"], 30)
     write_parquet(df, str(tmp_path / "p.parquet"))
