@@ -18,6 +18,7 @@ the one with the least distance, then the earliest, is reported, as offsets in t
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -173,7 +174,7 @@ def benchmark_blocks(benchmark: DataFrame) -> Iterator[tuple[str, object]]:
         block = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).toArrow()
         items = sorted((i, normal(t)) for i, t in zip(block["item_id"].to_pylist(), block["text"].to_pylist()) if i is not None)
         held = spark.sparkContext.broadcast(items)
-        yield f"{spark.sparkContext.applicationId}-{held._jbroadcast.id()}", held
+        yield uuid.uuid4().hex, held
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
