@@ -54,7 +54,7 @@ def test_ngram_classes(spark, sf_dir, texts):
 def test_ngram_classes_of_many_edits(spark, monkeypatch):
     """Large groups of near copies, frequent tokens and long lists, with limits low enough to take every path."""
     monkeypatch.setattr(ngram_join, "FREQUENT", 40)
-    monkeypatch.setattr(ngram_join, "SHORT_LIST", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 8)
     rng = random.Random(7)
     words = [f"w{k}" for k in range(400)]
     bases = [[rng.choice(words) for _ in range(rng.randrange(12, 90))] for _ in range(6)]
