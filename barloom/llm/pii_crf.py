@@ -7,10 +7,10 @@ shapes of a word and of its two neighbours, and pairs of neighbouring labels. It
 driver from a small labelled table (labelled_table(), or rows of the caller's) by gradient ascent on the
 penalised conditional likelihood, and decoded by Viterbi in numpy batches.
 
-Decoding covers every word. A word at which no label path can beat "outside", whatever its neighbours'
-labels (its emission lead exceeds the most that transitions can give), is outside in every best path;
-the stretches between such words are the chains that Viterbi decodes, many at a time. That cut is exact
-and leaves few words in ordinary prose.
+Decoding covers every word. A span of the best path gains at least as much as the same words would
+outside; a bound on each word's share of such a gain is summed over stretches, and a word that lies in no
+stretch with a sum of zero or more is outside in every best path. The stretches between such words are the
+chains that Viterbi decodes, many at a time. That cut is exact and leaves few words in ordinary prose.
 
 Spans are code-point offsets, end exclusive. Added spans have the same kinds as the base ones; one that
 meets a base span is dropped, so the base spans stay as they are.
@@ -233,6 +233,18 @@ class Field:
         f = shape_features(key)
         return self.own[f].sum(1), self.before[f].sum(1), self.after[f].sum(1)
 
+    def gains(self) -> np.ndarray:
+        """Of each label, the most that transitions give its word, against "outside", in a span (a first label and
+        the inner ones of its kind): on entering and leaving the span, or from the span's word before it."""
+        m, inner = self.moves, [LABELS.index(f"I-{label[2:]}") if k else 0 for k, label in enumerate(LABELS)]
+        leave = max((m[y, q] - m[0, q] for y in range(1, len(LABELS)) for q in range(len(LABELS)) if q != inner[y]), default=0.0)
+        enter = (m - m[:, :1]).max(0) + leave
+        for y in range(1, len(LABELS)):
+            if y == inner[y]:
+                enter[y] = max((m[p, y] - m[p, 0] + leave for p in range(len(LABELS)) if inner[p] != y), default=0.0)
+                enter[y] = max(enter[y], *(m[p, y] - m[0, 0] for p in range(1, len(LABELS)) if inner[p] == y))
+        return enter
+
     def emissions(self, key: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         kinds, at = np.unique(key, return_inverse=True)
         own, before, after = self.tables(kinds)
@@ -350,10 +362,12 @@ def decode(field: Field, data: np.ndarray, offsets: np.ndarray) -> Iterator[tupl
     triple, of = np.unique((prev * (none + 1) + at) * (none + 1) + following, return_inverse=True)
     e = before[triple // (none + 1) ** 2] + own[triple // (none + 1) % (none + 1)] + after[triple % (none + 1)]
     moves = field.moves
-    # What label y can gain over "outside" from the labels on its two sides, at most.
-    gain = (moves - moves[:, :1]).max(0) + (moves - moves[:1, :]).max(1)
-    safe = (e[:, :1] > e[:, 1:] + gain[1:]).all(1)[of]
-    hard = np.flatnonzero(~safe)
+    share = (e[:, 1:] - e[:, :1] + field.gains()[1:]).max(1)[of]
+    # Of all stretches that hold a word, the largest sum; some may cross texts, which marks more words only.
+    sums = np.concatenate([[0.0], np.cumsum(share)])
+    until = sums[1:] - np.minimum.accumulate(sums[:-1])
+    since = np.maximum.accumulate(sums[:0:-1])[::-1] - sums[:-1]
+    hard = np.flatnonzero(until + since - share >= -1e-6)
     if not len(hard):
         return
     new = np.concatenate([[True], (hard[1:] != hard[:-1] + 1) | first[hard[1:]]])
