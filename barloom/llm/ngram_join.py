@@ -298,9 +298,17 @@ def least_hits(l: Column | str, n_x: str, n_y: str) -> Column:
 
 
 def can_link(x: str, y: str) -> Column:
-    """Whether two sets can be similar enough, given how many tokens each has that no other set has."""
-    overlap = F.least(F.col(f"n_{x}") - F.col(f"lone_{x}"), F.col(f"n_{y}") - F.col(f"lone_{y}"))
-    return 100 * overlap >= PERCENT * (F.col(f"n_{x}") + F.col(f"n_{y}") - overlap)
+    """Whether two sets can be similar enough, given the larger one's lone tokens: those of its shortest prefix
+    that no other document posts.
+
+    The smaller set's lone tokens say nothing, since the larger one can hold them behind its own prefix. For the
+    larger set y of a linked pair with overlap o, n_y - lone_y >= o holds: either the smaller set x holds none of
+    y's lone tokens; or it holds one behind its own prefix, so that x's whole prefix comes before that token, and
+    all of it but n_x - o tokens at most is in y's shortest prefix and posted by both: lone_y is then at most
+    p_y - (p_x - (n_x - o)) = (n_y - ceil(t n_y)) + ceil(t n_x) - o, no more than n_y - o."""
+    n_x, n_y = F.col(f"n_{x}"), F.col(f"n_{y}")
+    overlap = F.least(n_x, n_y, F.when(n_x >= n_y, n_x - F.col(f"lone_{x}")), F.when(n_y >= n_x, n_y - F.col(f"lone_{y}")))
+    return 100 * overlap >= PERCENT * (n_x + n_y - overlap)
 
 
 def reachable(lists: DataFrame) -> DataFrame:
@@ -366,7 +374,8 @@ def _count_shared(column: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray
     i, j = np.nonzero(counts)
     x, y, hits = sides[0][i], sides[1][j], counts[i, j]
     n, lone, l = of["n"], of["lone"], np.minimum(of["l"][x], of["l"][y])
-    overlap = np.minimum(n[x] - lone[x], n[y] - lone[y])
+    # As in can_link().
+    overlap = np.minimum(n[x] - np.where(n[x] >= n[y], lone[x], 0), n[y] - np.where(n[y] >= n[x], lone[y], 0))
     least = -(-PERCENT * (n[x] + n[y]) // (100 + PERCENT))
     need = np.maximum(l, least - np.maximum(-(-PERCENT * n[x] // 100), -(-PERCENT * n[y] // 100)) + l)
     ok = (of["component"][x] != of["component"][y]) & (np.abs(of["size"][x] - of["size"][y]) <= SIZE_STEPS) & (hits >= need) & (overlap >= least)
@@ -395,7 +404,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
 
     shared = found.where("kind = 3").groupBy(F.col("a").alias("doc_id")).agg(F.sum("hits").alias("shared"))
     own = sets.where("n > 0 and doc_id is not null").join(reps, ["k1", "k2", "n"]).join(shared, "doc_id").groupBy("doc_id").agg(F.min(F.struct("rep", "n", "shared")).alias("own"))
-    # Tokens of the shortest prefix that no other document has in its own, so none shares.
+    # Tokens of the shortest prefix that no other document posts; a larger one may hold them all the same.
     lone = F.greatest(F.lit(0), F.col("own.n") - F.ceil(F.col("own.n") * PERCENT / 100) + 1 - F.col("own.shared"))
     own = cut_lineage(own.select("doc_id", "own.rep", "own.n", lone.alias("lone")))
     raw = found.where("kind < 2").groupBy("a", "b").agg(F.max("need").alias("l"), F.sum("hits").alias("hits"))

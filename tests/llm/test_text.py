@@ -72,6 +72,20 @@ def test_ngram_classes_of_many_edits(spark, monkeypatch):
     assert got == classes_of(texts)
 
 
+def test_ngram_classes_of_parts(spark):
+    """Texts that lie inside larger ones, at the threshold itself and a little above."""
+    rng, made = random.Random(11), {}
+    for size, number in ((100, 20), (1000, 20), (3000, 15), (10_000, 12)):
+        for _ in range(number):
+            words = [f"{rng.getrandbits(48):x}" for _ in range(size + 4)]
+            part = -(-size * rng.choice((75, 75, 75, 76, 77)) // 100)
+            made[len(made)] = " ".join(words)
+            made[len(made)] = " ".join(words[: part + 4])
+    got = ngram_join.near_duplicate_classes(spark.createDataFrame(list(made.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i // 2 * 2 for i in made}
+    assert all(100 * len(a & b) >= 75 * len(a | b) for a, b in ((shingle_set(made[i]), shingle_set(made[i + 1])) for i in range(0, len(made), 2)))
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(140)] + [(500 + k, 501 + k) for k in range(40)] + [(900, 901 + k) for k in range(50)]
