@@ -5,8 +5,9 @@ compared in normal form, lower case with one space for every run of other signs
 digits. Known licence sentences map to identifiers: a text becomes the sequence of its known sentences'
 identifiers with their places. Rules are ordered sequences of identifiers; at each place the longest
 rule that fits is taken (of equally long ones the first listed), and the search goes on behind it. Up to
-GAP unknown sentences may lie between two of a rule's sentences. A sentence may be wrapped over up to
-WRAP lines and may follow a line that has no full stop.
+GAP unknown sentences may lie between two of a rule's sentences. A sentence may be wrapped over any
+number of lines, and may follow a line that has no full stop: lines are joined as long as they are the
+beginning of a known sentence.
 
 Each document is read alone, in Python on Arrow batches; nothing is shuffled. The tables below are
 fixed and small.
@@ -26,7 +27,6 @@ from pyspark.sql import DataFrame
 from barloom.llm.shared import texts_of
 
 GAP = 2
-WRAP = 8
 MATCHES = "doc_id long, license string, rule string, first_sentence int, last_sentence int, n_sentences int"
 
 # Known licence sentences by identifier, and the rules over them in their order.
@@ -124,7 +124,7 @@ class Recogniser:
         for x in spdx:
             self.ids.setdefault(normal(x), f"spdx_{x}")
             parts[f"spdx_{x}"] = ("spdx", self.ids[normal(x)])
-        self.first_words = frozenset(s.split(" ", 1)[0] for s in self.ids)
+        self.beginnings = frozenset(" ".join(w[:k]) for w in (s.split(" ") for s in self.ids) for k in range(1, len(w) + 1))
         self.rules: dict[str, list[tuple[str, str, tuple[str, ...]]]] = {}
         for order, (rule, license_, names) in enumerate(rules):
             row = tuple(p for n in names for p in parts[n])
@@ -140,13 +140,15 @@ class Recogniser:
             k = 0
             while k < len(lines):
                 step = 1
-                if lines[k].split(" ", 1)[0] in self.first_words:
-                    for end in range(min(len(lines), k + WRAP), k, -1):
-                        found = self.ids.get(" ".join(lines[k:end]))
-                        if found:
-                            out.append((number, found))
-                            step = end - k
-                            break
+                joined, end, found = lines[k], k + 1, None
+                while joined in self.beginnings:
+                    if joined in self.ids:
+                        found, step = self.ids[joined], end - k
+                    if end == len(lines):
+                        break
+                    joined, end = f"{joined} {lines[end]}", end + 1
+                if found:
+                    out.append((number, found))
                 number += 1
                 k += step
         return out

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -263,6 +264,14 @@ def test_license_rules_in_order():
     assert match(f"{s['gpl_free']}. {far}. {s['gpl3_later']}.") == []
 
 
+@pytest.mark.parametrize("width", [1, 20, 40, 56, 200])
+def test_licenses_at_any_width(width):
+    s, match = license_rules.SENTENCES, license_rules.Recogniser().matches
+    parts = [f"{s['mit_grant']}:", f"{s['mit_notice']}.", f"{s['mit_warranty']}. {s['mit_liability']}."]
+    box = "\n *\n".join("\n".join(f" * {line}" for line in textwrap.wrap(p, width, break_long_words=False)) for p in parts)
+    assert [m[1] for m in match(f"/*\n{box}\n */\nint x;")] == ["mit_full"]
+
+
 def plain_ids(text, end):
     import public_tokenizers
     from tokenizers import Tokenizer
