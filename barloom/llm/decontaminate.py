@@ -10,8 +10,10 @@ Documents are read in place and never shuffled. Items are sent to the tasks in b
 BLOCK_CHARS characters; a larger benchmark is matched block after block, each over all documents.
 
 Defined results: null and empty texts match nothing; an item of fewer than LEAST_ITEM normal
-characters matches only a document that is equal to it as a whole, an item without letters or digits
-none; equal items each match; repeated document rows match alike; of an item's occurrences in a document
+characters matches without edits and between word bounds only (any place beside a sign of a script
+without spaces is one), so an item of one common word matches all documents with that word; an item
+without letters or digits matches none; an item without an item_id matches like all others and is reported
+with a null item_id; equal items each match; repeated document rows match alike; of an item's occurrences in a document
 the one with the least distance, then the earliest, is reported, as offsets in the normal form.
 """
 
@@ -34,6 +36,8 @@ LEAST_ITEM = 20
 BLOCK_CHARS = 4_000_000
 
 _SIGNS = re.compile(r"[\W_]+")
+#: Signs of scripts without spaces: Thai, Lao, Burmese, Khmer, kana, Han.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 HITS = "doc_id long, item_id long, distance int, span_start int, span_end int"
 
 
@@ -76,20 +80,24 @@ def myers(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
     return best, end
 
 
+def is_bound(text: str, at: int) -> bool:
+    """Whether a word can begin or end at that place of the normal text."""
+    if at in (0, len(text)) or " " in text[at - 1 : at + 1]:
+        return True
+    return _UNSPACED.search(text, at - 1, at + 1) is not None
+
+
 class Matcher:
     """The items of one block, ready for matching."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int | None, str]]) -> None:
         self.items = items
         self.masks: dict[int, dict[str, int]] = {}
-        self.short: dict[str, list[int]] = {}
         found: dict[str, list[tuple[int, int]]] = {}
         for n, (_, item) in enumerate(items):
-            if len(item) >= LEAST_ITEM:
+            if item:
                 for offset, piece in pieces(item):
                     found.setdefault(piece, []).append((n, offset))
-            elif item:
-                self.short.setdefault(item, []).append(n)
         self.automaton = ahocorasick.Automaton()
         for piece, places in found.items():
             self.automaton.add_word(piece, (len(piece), places))
@@ -105,6 +113,11 @@ class Matcher:
                 m = len(self.items[n][1])
                 k = budget(m)
                 begin = end + 1 - size - offset
+                if m < LEAST_ITEM:
+                    # The piece is the whole item; its first place is the result.
+                    if n not in out and is_bound(text, begin) and is_bound(text, end + 1):
+                        out[n] = [[begin, end + 1]]
+                    continue
                 a, b = max(0, begin - k), min(len(text), begin + m + k)
                 spans = out.setdefault(n, [])
                 if spans and a <= spans[-1][1] and b >= spans[-1][0]:
@@ -113,13 +126,16 @@ class Matcher:
                     spans.append([a, b])
         return out
 
-    def hits(self, text: str) -> list[tuple[int, int, int, int]]:
+    def hits(self, text: str) -> list[tuple[int | None, int, int, int]]:
         """(item id, distance, start, end) of each item that occurs in the normal text."""
-        out = [(self.items[n][0], 0, 0, len(text)) for n in self.short.get(text, ())]
+        out: list[tuple[int | None, int, int, int]] = []
         if self.empty:
             return out
         for n, spans in self.windows(text).items():
             item_id, item = self.items[n]
+            if len(item) < LEAST_ITEM:
+                out.append((item_id, 0, *spans[0]))
+                continue
             masks = self.masks.get(n)
             if masks is None:
                 masks = self.masks[n] = masks_of(item)
@@ -172,7 +188,8 @@ def benchmark_blocks(benchmark: DataFrame) -> Iterator[tuple[str, object]]:
     n = chars // BLOCK_CHARS + 1
     for k in range(n):
         block = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).toArrow()
-        items = sorted((i, normal(t)) for i, t in zip(block["item_id"].to_pylist(), block["text"].to_pylist()) if i is not None)
+        items = [(i, normal(t)) for i, t in zip(block["item_id"].to_pylist(), block["text"].to_pylist())]
+        items.sort(key=lambda item: (item[0] is None, item[0] or 0, item[1]))
         held = spark.sparkContext.broadcast(items)
         yield uuid.uuid4().hex, held
 

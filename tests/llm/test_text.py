@@ -244,6 +244,15 @@ def test_leaks(spark, sf_dir, texts, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in QUERIES["op2_pigeonhole_edit"](spark, sf_dir).collect()} == got
 
 
+def test_short_items_inside_documents(spark):
+    bench = spark.createDataFrame([(1, "What is 2+2?"), (2, "日本の首都はどこですか"), (3, "cat"), (None, "An item of twenty signs or more")], "item_id long, text string")
+    texts = {1: "Q: what is 2 + 2? A: 4", 2: "what is 2 + 22", 3: "問題日本の首都はどこですか答え", 4: "concatenate cats", 5: "bobcat, cat, cat", 6: "here: an item of twenty signs or more.", 7: "nothing"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.distance, r.span_start, r.span_end) for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert got == {(1, 1): (0, 2, 13), (3, 2): (0, 2, 13), (5, 3): (0, 7, 10), (6, None): (0, 5, 36)}
+    assert sorted(r.doc_id for r in decontaminate.without_leaks(docs, bench).collect()) == [2, 4, 7]
+
+
 def test_licenses(spark, sf_dir, texts):
     # The licence lines in the table.
     lines = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT"}
