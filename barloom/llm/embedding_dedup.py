@@ -204,7 +204,9 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = THRESHOLD)
     pieces = F.ceil(F.col("mates") / BLOCK)
     shared = dealt.join(sizes, ["table", "bucket"]).withColumn("own", F.pmod(F.xxhash64("id"), pieces)).withColumn("mate", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
     blocks = shared.select("id", "number", "vector", "signature", F.col("table").cast("long").alias("table"), "bucket", "own", F.least("own", "mate").alias("low"), F.greatest("own", "mate").alias("high"))
-    groups = max(partitions_for(embeddings), most * tables // GROUP_ROWS)
+    # Every row of a bucket goes to each of the bucket's pieces.
+    rows_out = sizes.agg(F.sum(F.col("mates") * pieces)).first()[0] or 0
+    groups = max(partitions_for(embeddings), rows_out // GROUP_ROWS)
     compared = blocks.groupBy(F.pmod(F.xxhash64("table", "bucket", "low", "high"), F.lit(groups)).alias("deal")).applyInArrow(_compare(threshold), "id long, links long, other long")
     compared = cut_lineage(compared)
     links = compared.where("other is null").groupBy("id").agg(F.sum("links").alias("links"))

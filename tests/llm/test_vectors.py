@@ -48,6 +48,30 @@ def test_links_and_components(spark, rows, monkeypatch, block):
     assert sum(got[i][1] != component[i] for i in got) <= 0.1 * len(got)
 
 
+def test_groups_of_many_labels(spark, monkeypatch):
+    """Groups stay near GROUP_ROWS when many labels of like size share them."""
+    compare = embedding_dedup._compare
+
+    def watched(threshold):
+        run = compare(threshold)
+
+        def small(group):
+            assert group.num_rows <= 200, group.num_rows
+            return run(group)
+
+        return small
+
+    monkeypatch.setattr(embedding_dedup, "GROUP_ROWS", 50)
+    monkeypatch.setattr(embedding_dedup, "_compare", watched)
+    rng = np.random.default_rng(3)
+    made = []
+    for label in range(400):
+        base = rng.normal(size=16)
+        made += [(label * 6 + k, (base + rng.normal(size=16) * 1e-6).tolist(), label) for k in range(6)]
+    got = embedding_dedup.near_duplicate_vectors(spark.createDataFrame(made, "vec_id long, embedding array<double>, label long")).collect()
+    assert all(r.component_id == r.vec_id // 6 * 6 and r.n_links == 5 for r in got) and len(got) == len(made)
+
+
 def test_empty_and_null_ids(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert embedding_dedup.near_duplicate_vectors(spark.createDataFrame([], schema)).collect() == []
