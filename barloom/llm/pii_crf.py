@@ -36,8 +36,9 @@ from barloom.llm.shared import texts_of
 # The base patterns, in their given order.
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+#: A match that begins inside a run of digits exists only where one begins at the run's first digit, so only
+#: those places are tried: a long run is read once.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -53,6 +54,11 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def in_byte(digits: str) -> bool:
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or 0) <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base patterns' leftmost non-overlapping matches that pass, by start, then kind.
     An address is found from its @: the local part is the run of its signs before, back to the last match."""
@@ -67,7 +73,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             out.append((start, 0, done))
         at = text.find("@", max(at + 1, done))
     for m in _IP.finditer(text):
-        if all(len(part.lstrip("0")) <= 3 and int(part.lstrip("0") or 0) <= 255 for part in m[0].split(".")):
+        if all(map(in_byte, m[0].split("."))):
             out.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -108,7 +114,9 @@ def shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     """One number for each word's shape."""
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_ONE[data])])
     total = sums[ends] - sums[starts]
-    total[ends - starts > 1000] = 1000 << 50  # counters might run over: a shape of other signs only
+    for k in np.flatnonzero(ends - starts > 1000).tolist():  # the counters would run over
+        many = np.minimum(np.bincount(_COUNT[data[starts[k] : ends[k]]].astype(np.int64), minlength=_SORTS), 1023)
+        total[k] = sum(int(n) << 10 * sort for sort, n in enumerate(many))
     count = [(total >> np.uint64(10 * k) & np.uint64(1023)).astype(np.int64) for k in range(_SORTS)]
     parts = (_DIGITS[count[0]], np.minimum(count[1], 3), _FEW[count[2]], np.minimum(count[3], 3), np.minimum(count[4], 2), _FEW[count[5]], _END[data[starts]], _END[data[ends - 1]])
     key = np.zeros(len(starts), np.int64)
@@ -138,7 +146,7 @@ TEMPLATES = (
     "contact : {email:$$.##@mail#.example.com}",
     "her address is <{email:$$$_$$$@$$$.$$$.org}> .",
     "send it to ({email:$$$@$$$$$$.net})",
-    "end of text.{email:##@mail#.example.com} goes on",
+    "and so it ends.{email:##@mail#.example.com} is the address",
     "the {email:$$$+$$$@$$.io}, then",
     "call {phone:(###) 555-####} after noon",
     "my number : {phone:###-###-####} .",
@@ -148,16 +156,21 @@ TEMPLATES = (
     "dial {phone:+###########} now",
     "phone {phone:(###)###-####}, fax",
     "ring {phone:+##-###-###-####} at once",
+    "my phone is {phone:###-###-####}.",
+    "fax {phone:###.###.####}; or ring {phone:###-###-####}.",
+    "they answer at {phone:(###) ###-####}, as ever",
     "card {card:################} was charged",
+    "the card is {card:####-####-####-####}.",
+    "it says {card:#### #### #### ####}.",
     "paid with {card:#### #### #### ####} yesterday",
     "number {card:####-####-####-####} expires",
     "the {card:###############} amex card",
-    "and that {card:################} of the",
+    "use {card:################} for the order",
     "host {ip:##.##.###.##} is down",
     "from {ip:###.##.#.#} to {ip:10.#.#.##}",
     "ping {ip:192.168.#.##}, then wait",
     "server ({ip:###.###.##.##}) replied",
-    "| {ip:###.##.##.###} | the |",
+    "| {ip:###.##.##.###} | up |",
     "Licensed under the Apache License , Version 2.0.",
     "Licensed under CC BY-NC 4.0.",
     "in #### there were ### people and ## cars",
@@ -165,7 +178,7 @@ TEMPLATES = (
     "on 20##-##-## the price was $#,###.##",
     "it costs #.## or ##,### in all",
     "see section #.#.# and page ##-##",
-    "token = \"##$$##$$####$$$$##$$##$$##$$##$$########\" the",
+    "checksum = \"##$$##$$####$$$$##$$##$$##$$##$$########\" of it",
     "password : $$$##$$##",
     "isbn 978-#-##-######-# of the book",
     "order ######## shipped in # boxes",
@@ -175,11 +188,11 @@ TEMPLATES = (
     "version #.##.#-$$## of it",
     "the model $$$-#### and $##",
     "rows ##x## with #% loss and ##%",
-    "!!! *** %%% &&& the end ###",
-    "THE OLD MAN!! AND!! THE!! SEA!!",
-    "ered*** reed*** ndsh&&& the### of%%%",
-    "that | eresan | these | heention. |",
-    "ofanth inble, thatio. Erth on @ night",
+    "--- === ~~~ ^^^ a line ///",
+    "STOP!! READ!! THIS!! FIRST!!",
+    "very*** loud*** signs&&& all### round%%%",
+    "name | colour | price | weight. |",
+    "apples , pears. Plums at @ each",
     "Is @home or @$$$$ there ?",
     "the well-known e-mail and co-op (see below) :",
     "von dem schön und über geht's nicht",
@@ -384,13 +397,13 @@ def decode(field: Field, data: np.ndarray, offsets: np.ndarray) -> Iterator[tupl
         k += step
 
 
-_EDGE = re.compile(r"[\s<>\"'(\[]*(?P<body>.*?)[\s<>\"'\].,;:!?|]*\Z", re.S)
+_WHITE = "".join(sign for sign in map(chr, range(0x3001)) if sign.isspace())
 
 
 def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
     """The span without surrounding quotes, brackets and stops; a bracket that is closed inside stays."""
-    m = _EDGE.match(text[start:end])
-    a, b = start + m.start("body"), start + m.end("body")
+    word = text[start:end].lstrip(_WHITE + "<>\"'([")
+    a, b = end - len(word), end - len(word) + len(word.rstrip(_WHITE + "<>\"'].,;:!?|"))
     if a > start and text[a - 1] == "(" and ")" in text[a:b]:
         a -= 1
     if b > a and text[b - 1] == ")" and "(" not in text[a:b]:
@@ -399,9 +412,15 @@ def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
 
 
 def plausible(kind: int, text: str) -> bool:
-    """What an added span must have: an address its sign, digits as many as the kind takes, a card's check sum."""
-    digits = "".join(s for s in text if "0" <= s <= "9")
-    return ("@" in text, text.count(".") == 3 and len(digits) >= 4, 12 <= len(digits) <= 19 and luhn(digits), 7 <= len(digits) <= 15)[kind]
+    """What an added span must have: an address its sign, an ip four parts of at most 255, digits as many as the
+    kind takes, a card's check sum."""
+    numbers = re.findall("[0-9]+", text)
+    digits = "".join(numbers)
+    if kind == 0:
+        return "@" in text
+    if kind == 1:
+        return text.count(".") == 3 and len(numbers) == 4 and all(in_byte(x) for x in numbers)
+    return 12 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 7 <= len(digits) <= 15
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
