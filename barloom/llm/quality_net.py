@@ -8,7 +8,8 @@ of its distinct tokens, the log of its length and its share of distinct tokens.
 hidden tanh layer; its logit is divided by a temperature fitted on a fifth of the sample.
 
 Training reads a bounded sample of labelled rows: at most SAMPLE_ROWS rows and SAMPLE_CHARS
-characters, taken in hash order of the id. Scoring covers every whole text, in numpy on Arrow bytes.
+characters of whole texts, chosen in hash order of the id by numbers alone; a text that does not fit is passed
+over. Scoring covers every whole text, in numpy on Arrow bytes.
 
 Defined results: null and empty texts score as a document without tokens; rows of labels without a
 label or document are ignored; with one class or no labels, every score is the share of label 1
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import text_hash
@@ -31,6 +32,8 @@ from barloom.llm.shared import texts_of
 
 SAMPLE_ROWS = 6000
 SAMPLE_CHARS = 30_000_000
+#: Longer texts are learned from only where shorter ones leave room.
+SAMPLE_TEXT = 300_000
 VOCABULARY = 1 << 14
 DIMS = 48
 NONZERO = 4
@@ -197,18 +200,35 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def chosen_rows(rows: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
+    """(doc_id, quality, text hash) of the sample's rows, from (doc_id, quality, text hash, characters) in hash
+    order: texts of up to SAMPLE_TEXT characters first, then longer ones, shortest first; a text that no longer
+    fits in SAMPLE_CHARS is passed over, so that no long text keeps the ones behind it out."""
+    usual = [r for r in rows if r[3] <= SAMPLE_TEXT]
+    longer = sorted((r for r in rows if r[3] > SAMPLE_TEXT), key=lambda r: r[3])
+    left, out = SAMPLE_CHARS, []
+    for doc_id, quality, text, chars in usual + longer:
+        if chars <= left:
+            left -= chars
+            out.append((doc_id, quality, text))
+    return out
+
+
 def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, quality) of the bounded sample, in hash order of doc_id; no held-out row."""
+    """(doc_id, text, quality) of the bounded sample; no held-out row. Rows are chosen by numbers alone, and
+    only the texts of chosen rows travel."""
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
-    # SAMPLE_ROWS rows of two numbers, so the broadcast and the window below have a fixed bound.
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(SAMPLE_ROWS)
-    rows = texts_of(docs).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", F.xxhash64("text")).limit(SAMPLE_ROWS)
-    so_far = F.sum(F.char_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_CHARS).select("doc_id", "text", "quality")
+    # SAMPLE_ROWS rows of two numbers, and then of four: the broadcasts and the list have fixed bounds.
+    chosen = chosen.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(SAMPLE_ROWS)
+    texts = texts_of(docs).withColumn("h", F.xxhash64("text"))
+    sizes = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "h", F.char_length("text").alias("chars")).distinct()
+    sizes = sizes.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "h").limit(SAMPLE_ROWS)
+    rows = docs.sparkSession.createDataFrame(chosen_rows([tuple(r) for r in sizes.collect()]), "doc_id long, quality int, h long")
+    return texts.join(F.broadcast(rows), ["doc_id", "h"]).groupBy("doc_id", "h", "quality").agg(F.first("text").alias("text")).select("doc_id", "text", "quality")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
-    sample = training_sample(docs, labels).toArrow()
+    sample = training_sample(docs, labels).orderBy(F.xxhash64("doc_id"), "doc_id", "quality", F.xxhash64("text")).toArrow()
     return train(sample["text"].combine_chunks(), sample["quality"].to_numpy().astype(np.int64))
 
 
