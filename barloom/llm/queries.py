@@ -38,6 +38,11 @@ def op7_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.pack(table(spark, sf_dir, "documents"))
 
 
+def vector_packing_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op7, with capacities for documents and attention that bind, chosen by dot product."""
+    return vector_packing.pack(table(spark, sf_dir, "documents"), vector_packing.BINDING)
+
+
 def op8_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_net.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -61,27 +66,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_net": op8_quality_net,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_token_counts": op10_token_counts,
+    "vector_packing_limits": vector_packing_limits,
 }
 
 
+# Written out, not taken from the implementation: kind, pattern, group whose length counts, least length.
+SECRET_PATTERNS = (
+    ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", r"[0-9a-f]+", 0, 24),
+    ("pem", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----", 0, 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,512}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 1),
+    ("hub", r"gh[opsur]_[0-9A-Za-z]{36,}", 0, 1),
+)
+
 
 def _secret_sql() -> str:
-    """All rules by splitting at the matches; offsets are sums of what lies before."""
+    """Spans by splitting at the matches; offsets are sums of what lies before."""
     spans = []
-    for rank, rule in enumerate(secret_ledger.RULES):
-        p = rule.pattern.replace('\\"', '"').replace("\\'", "'").replace("'", "''")
+    for rank, (kind, pattern, group, least) in enumerate(SECRET_PATTERNS):
+        p = pattern.replace("'", "''")
         gaps, found = f"string_split_regex(t, '{p}')", f"regexp_extract_all(t, '{p}', 0)"
         spans.append(
-            f"""SELECT doc_id, n, {rank} AS rank, '{rule.kind}' AS kind, i, s AS b, s + length(m) AS e, length(z) AS z FROM (SELECT doc_id, n, i, m[i] AS m, z[i] AS z,
+            f"""SELECT doc_id, n, {rank} AS rank, '{kind}' AS kind, i, s AS b, s + length(m) AS e FROM (SELECT doc_id, n, i, m[i] AS m, z[i] AS z,
  list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s
- FROM (SELECT doc_id, n, {gaps} AS g, {found} AS m, regexp_extract_all(t, '{p}', {rule.group}) AS z, unnest(range(1, len({found}) + 1)) AS i FROM d)) WHERE z >= {rule.least}"""
+ FROM (SELECT doc_id, n, {gaps} AS g, {found} AS m, regexp_extract_all(t, '{p}', {group}) AS z, unnest(range(1, len({found}) + 1)) AS i FROM d)) WHERE length(z) >= {least}"""
         )
-    spans = [s.replace("WHERE z >=", "WHERE length(z) >=") for s in spans]
     joined = "coalesce(string_agg(kind || ':' || CAST(b AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY b, rank)"
-    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secret_ledger.RULES if r.base)
-    base = sum(r.base for r in secret_ledger.RULES)
+    counts = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in ("assign", "access", "hex"))
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS n FROM documents), s AS ({" UNION ALL ".join(spans)})
-SELECT d.doc_id, {counts}, sha256({joined} FILTER (rank < {base}), '')) AS base_sha256, {joined}, '') AS spans, sha256(any_value(t)) AS blob FROM d LEFT JOIN s ON d.n = s.n GROUP BY d.n, d.doc_id"""
+SELECT d.doc_id, {counts}, sha256({joined} FILTER (rank < 3), '')) AS base_sha256, {joined}, '') AS spans, sha256(any_value(t)) AS blob FROM d LEFT JOIN s ON d.n = s.n GROUP BY d.n, d.doc_id"""
 
 
 ORACLE_SQL: dict[str, str] = {

@@ -1,23 +1,27 @@
 """Secret scan over every historical version of a set of paths, by an incremental blob ledger.
 
 Each version's text is content-addressed by its SHA-256. The ledger holds one row for each
-(blob, rule version) pair that was ever scanned, with the spans found in it. A run scans only the
-pairs the ledger lacks, each distinct blob once, and joins the spans back to every path that holds
-the blob. All of it is DataFrame expressions; no row leaves the JVM.
+(blob, rule version) pair that was ever scanned, with the spans found in it; the rule version is a digest of
+the rules themselves, so changed rules never meet old findings. A run scans only the pairs the ledger lacks,
+each distinct blob once, and joins the spans back to every path that holds the blob; of the ledger, only rows
+of blobs at hand go on. All of it is DataFrame expressions; no row leaves the JVM.
 
 Defined results: a null text counts as the empty blob; equal texts share one blob, repeated rows
-stay repeated in the findings; an empty table gives empty findings; columns beside the named ones
-are ignored, whatever their names. Spans are code-point offsets, end exclusive.
+stay repeated in the findings; repeated ledger rows, as a run that was written twice leaves, count once; an
+empty table gives empty findings; columns beside the named ones are ignored, whatever their names. Spans are
+code-point offsets, end exclusive.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+from dataclasses import astuple, dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RULE_VERSION = "1"
+#: Matches whose places are summed in one go.
+CHUNK = 256
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
@@ -40,11 +44,16 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, True, "AKIA"),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24, True),
     Rule("pem", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----", 0, 0, False, "PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 0, False, ".eyJ"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,512}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 0, False, ".eyJ"),
     Rule("hub", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0, False, "gh"),
 )
 
 
+def version_of(rules: tuple[Rule, ...]) -> str:
+    """A digest of the rules in their order."""
+    return hashlib.sha256(repr([astuple(rule) for rule in rules]).encode()).hexdigest()[:16]
+
+
 def blob_id(text: Column) -> Column:
     return F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256)
 
@@ -60,8 +69,6 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
         F.transform(whole, F.char_length).alias("match"),
         F.transform(sized, F.char_length).alias("size"),
     )
-    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
-
     def step(acc: Column, part: Column) -> Column:
         begin = acc["at"] + part["gap"]
         end = begin + F.coalesce(part["match"], F.lit(0))
@@ -69,7 +76,21 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
         keep = part["match"].isNotNull() & (part["size"] >= rule.least)
         return F.struct(end.alias("at"), F.when(keep, F.array_append(acc["found"], span)).otherwise(acc["found"]).cast(SPANS).alias("found"))
 
-    found = F.aggregate(parts, start, step, lambda acc: acc["found"])
+    def width(chunk: Column) -> Column:
+        return F.aggregate(chunk, F.lit(0), lambda total, part: total + part["gap"] + F.coalesce(part["match"], F.lit(0)))
+
+    # An appended array is a copied one, so sums run inside chunks and over the chunks' widths. What a lambda
+    # names from outside is computed again at each call; parts and chunks are bound as arguments instead.
+    def in_chunks(parts: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / CHUNK).cast("int")), lambda k: F.slice(parts, k * CHUNK + 1, CHUNK))
+
+    def placed(chunks: Column) -> Column:
+        starts = F.aggregate(F.transform(chunks, width), F.array(F.lit(0)), lambda at, w: F.array_append(at, F.element_at(at, -1) + w))
+        spans = F.zip_with(chunks, F.slice(starts, 1, F.size(chunks)), lambda chunk, at: F.aggregate(chunk, F.struct(at.alias("at"), empty.alias("found")), step, lambda acc: acc["found"]))
+        return F.flatten(spans)
+
+    chunks = F.transform(F.array(parts), in_chunks)
+    found = F.transform(chunks, placed)[0]
     has = text.rlike(rule.pattern)
     if rule.hint:
         has = text.contains(rule.hint) & has
@@ -78,7 +99,7 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
 
 def find_spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """Spans of all rules, by start, then by the rules' order."""
-    return F.array_sort(F.concat(*[_spans(text, rule, rank) for rank, rule in enumerate(rules)]))
+    return F.sort_array(F.concat(*[_spans(text, rule, rank) for rank, rule in enumerate(rules)]))
 
 
 @dataclass
@@ -93,25 +114,44 @@ def scan_history(
     text_col: str = "text",
     ledger: DataFrame | None = None,
     rules: tuple[Rule, ...] = RULES,
-    rule_version: str = RULE_VERSION,
 ) -> LedgerScan:
     """versions: one row for each path and historical version. ledger: (blob, rule_version, spans)
     of earlier runs. Returns findings (path columns, blob, spans) for every row of versions, and
-    the ledger's new rows, to be appended once the findings are written."""
+    the ledger's new rows, to be appended (append_ledger) once the findings are written."""
+    version = version_of(rules)
     text = F.coalesce(F.col(text_col), F.lit(""))
+    # (blob, body) is the key of a hash aggregate, so that no text is sorted; equal blobs have equal bodies.
     blobs = versions.select(blob_id(text).alias("blob"), text.alias("body"))
     if ledger is not None:
-        seen = ledger.where(F.col("rule_version") == rule_version).select("blob", F.col("spans").cast(SPANS).alias("spans"))
+        at_hand = versions.select(blob_id(text).alias("blob")).distinct()
+        seen = ledger.where(F.col("rule_version") == version).select("blob", F.col("spans").cast(SPANS).alias("spans"))
+        seen = seen.join(at_hand, "blob", "left_semi").groupBy("blob").agg(F.first("spans").alias("spans"))
         blobs = blobs.join(seen.select("blob"), "blob", "left_anti")
     fresh = blobs.distinct().select("blob", find_spans(F.col("body"), rules).alias("spans"))
     known = fresh.unionByName(seen) if ledger is not None else fresh
     paths = versions.select(*path_cols, blob_id(text).alias("blob"))
     return LedgerScan(
         paths.join(known, "blob", "left").select(*path_cols, "blob", "spans"),
-        fresh.select("blob", F.lit(rule_version).alias("rule_version"), "spans"),
+        fresh.select("blob", F.lit(version).alias("rule_version"), "spans"),
     )
 
 
+LEDGER = f"blob string, rule_version string, spans {SPANS}"
+
+
+def append_ledger(scan: LedgerScan, path: str) -> None:
+    """Add a scan's new rows to the ledger at path, a Parquet table with a folder for each rule version."""
+    scan.ledger.write.mode("append").partitionBy("rule_version").parquet(path)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger at path; empty before the first run."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
 def joined_spans(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

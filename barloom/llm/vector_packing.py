@@ -3,21 +3,23 @@
 Every bin (sequence) has three capacities: tokens, documents and attention cost (the sum of squared
 lengths). Items are placed longest first; each goes to the bin that leaves the smallest weighted
 residual norm (or has the largest weighted dot product with the item), among the bins that hold it
-under every capacity. Items of one length are alike, so the plan is made for lengths and their counts:
-its input has at most max_tokens rows and it moves runs of equal bins at once. It gives what placing
-the items one by one would give, whatever their number.
+under every capacity; of equally good ones, to one with the least in it. Items of one length are alike, so
+the plan is made for lengths and their counts: its input has at most max_tokens rows and it moves runs of
+equal bins at once. It gives what placing the items one by one would give, whatever their number.
 
 Spark jobs: texts are tokenised once, cut into pieces and numbered within (partition, length); a
 window over the partitions' counts turns those numbers into ranks within each length; each piece looks
 its sequence and offset up in the plan. No task gathers the pieces of a length.
 
 Defined results: a null text is empty and becomes one piece with the end token alone; only documents
-longer than max_tokens are cut, the first piece being the shorter one; repeated rows are packed as
+longer than a bin's tokens (or than the root of its attention capacity, where that is less) are cut, the
+first piece being the shorter one; repeated rows are packed as
 often as they occur; an empty table packs to nothing; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -46,6 +48,14 @@ class Limits:
     weights: tuple[float, float, float] = (1.0, 0.01, 0.01)
     rule: str = "norm"
 
+    def longest(self) -> int:
+        """Tokens of the longest piece that a bin holds under every capacity."""
+        return min(self.tokens, math.isqrt(self.attention))
+
+
+#: Capacities of which each binds on ordinary documents.
+BINDING = Limits(1024, 4, 500_000, (1.0, 1.0, 1.0), "dot")
+
 
 @dataclass
 class Plan:
@@ -63,7 +73,12 @@ _RANKS = 1 << 44
 
 
 def plan_bins(counts: dict[int, int], limits: Limits = Limits()) -> Plan:
-    """counts: items of each length, 1 to limits.tokens."""
+    """counts: items of each length, 1 to limits.longest().
+
+    By the norm, the bin that took an item is the best one for the next of that length, as its residual is
+    smaller still, so a bin is filled before the next is touched. By the dot product it is a worse one than
+    before, so every bin of a run takes one item first. A new bin is opened where no other holds the item;
+    it takes all that it can."""
     capacity = np.array([limits.tokens, limits.documents, limits.attention], float)
     weight = np.array(limits.weights)
     plan = Plan()
@@ -82,11 +97,11 @@ def plan_bins(counts: dict[int, int], limits: Limits = Limits()) -> Plan:
                     score = -(weight * ((rest[fits] - item) / capacity) ** 2).sum(axis=1)
                 else:
                     score = (weight * (rest[fits] / capacity) * (item / capacity)).sum(axis=1)
-                state = tuple(int(x) for x in used[fits[int(np.argmax(score))]])
+                state = min(tuple(int(x) for x in used[fits[k]]) for k in np.flatnonzero(score == score.max()))
                 runs = states[state]
             else:
                 state, runs = (0, 0, 0), []
-            each = int(((capacity - state) // item).min())
+            each = 1 if runs and limits.rule == "dot" else int(((capacity - state) // item).min())
             if runs:
                 first, bins = runs.pop()
             else:
@@ -143,11 +158,11 @@ def pack(docs: DataFrame, limits: Limits = Limits(), end_id: int = END_ID, files
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
     # Written down first: ranks must not change if a task runs again.
-    pieces = cut_lineage(texts_of(docs).mapInArrow(_tokenised(files or default_files(), end_id, limits.tokens), PIECES))
+    pieces = cut_lineage(texts_of(docs).mapInArrow(_tokenised(files or default_files(), end_id, limits.longest()), PIECES))
     parts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = parts.select("length", "part", before.alias("base"))
-    # At most limits.tokens rows.
+    # At most limits.longest() rows.
     counts = {row["length"]: row["n"] for row in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = plan_bins(counts, limits)
     table = spark.sparkContext.broadcast(tuple(np.array(x, np.int64) for x in (plan.key, plan.first_bin, plan.each_bin, plan.offset)))
