@@ -36,6 +36,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before, edges = edges, cut_lineage(merged.select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct())
         forget(old, up, before)
         if edges.isEmpty():
-            forget(edges)
             smallest = labels.groupBy("root").agg(F.min("id").alias("component"))
-            return labels.join(smallest, "root").select("id", "component")
+            out = cut_lineage(labels.join(smallest, "root").select("id", "component"))
+            forget(edges, labels)
+            return out

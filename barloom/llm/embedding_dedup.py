@@ -12,7 +12,8 @@ return sums of links and a spanning set of edges, never all pairs.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows with a null
 label, link with nothing and are their own components; vectors of different lengths never link; repeated
-rows are vectors of their own; an empty table gives an empty result; other columns are ignored.
+rows, and different vectors under one vec_id, are vectors of their own; a vector whose vec_id is null counts
+for nothing; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.components import connected_components
-from barloom.llm.shared import cut_lineage, partitions_for
+from barloom.llm.shared import cut_lineage, forget, partitions_for
 
 THRESHOLD = 0.93
 WIDTH = 2.0
@@ -195,7 +196,9 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = THRESHOLD)
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = cut_lineage(rows.mapInArrow(_clean, "vec_id long, label long, vector binary"))
     valid = rows.where("vector is not null")
-    classes = cut_lineage(valid.groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("number")).where("id is not null"))
+    # Written down, so that a class keeps its number.
+    classes = valid.groupBy("label", "vector").agg(F.min("vec_id").alias("first"), F.count("vec_id").alias("number")).where("first is not null")
+    classes = cut_lineage(classes.withColumn("id", F.monotonically_increasing_id()))
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     hashes, tables = table_sizes(most, threshold)
     dealt = classes.select("id", "label", "number", "vector").mapInArrow(_buckets(hashes, tables), "id long, number long, vector binary, signature binary, table int, bucket long")
@@ -211,7 +214,12 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = THRESHOLD)
     compared = cut_lineage(compared)
     links = compared.where("other is null").groupBy("id").agg(F.sum("links").alias("links"))
     components = connected_components(compared.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    known = classes.join(links, "id", "left").join(components, "id", "left").select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("number") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
+    named = components.join(classes.select("id", "first"), "id")
+    named = named.join(named.groupBy("component").agg(F.min("first").alias("smallest")), "component").select("id", "smallest")
+    known = classes.join(links, "id", "left").join(named, "id", "left").select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("number") - 1).alias("n_links"), F.coalesce("smallest", "first").alias("component"))
     component = F.coalesce("component", "vec_id")
-    out = rows.join(known, ["label", "vector"], "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    known = rows.where("vec_id is not null").join(known, ["label", "vector"], "left").unionByName(rows.where("vec_id is null").withColumns({"n_links": F.lit(0).cast("long"), "component": F.lit(None).cast("long")}))
+    out = known.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    out = cut_lineage(out)
+    forget(rows, classes, dealt, compared, components)
+    return out

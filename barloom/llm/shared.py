@@ -20,15 +20,32 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a folder is chosen here only where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "barloom-checkpoints")).rstrip("/")
+    """This application's folder under the one that spark.checkpoint.dir names, which all executors share. Where
+    that is unset, a local session, whose one machine sees all its files, uses a temporary folder; any other
+    session must set it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "barloom-checkpoints")
+    return f"{folder.rstrip('/')}/barloom-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that cut_lineage() has written in this application; results that still read them fail."""
+    delete(spark, shared_folder(spark))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """df written as a table in the shared folder and read again: later steps neither recompute it
     nor depend on one executor's disk. Unlike after checkpoint(), Spark then plans with the table's
     true size; the size that it carries through checkpoints is squared by each join of a loop."""
-    path = f"{shared_folder(df.sparkSession)}/barloom-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.table_path = path
@@ -39,9 +56,7 @@ def forget(*tables: DataFrame | None) -> None:
     """Delete tables of cut_lineage() that nothing reads any more."""
     for df in tables:
         if df is not None:
-            sc = df.sparkSession.sparkContext
-            path = sc._jvm.org.apache.hadoop.fs.Path(df.table_path)
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+            delete(df.sparkSession, df.table_path)
 
 
 def partitions_for(df: DataFrame) -> int:
