@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import by_symbol, clip, ewm_mean, linear_fill, rolling_std, safe_log, true_range
+from barloom.functions.columns import by_symbol, clip, ewm_mean, exact_quantiles, linear_fill, rolling_std, safe_log, true_range
 
 INDICATORS = ("rsi_14", "atr_14", "macd_line", "macd_signal", "macd_hist")
 PRICES = ["open", "high", "low", "close", "volume"]
@@ -59,8 +59,7 @@ def add_indicators(df: DataFrame, enabled: bool = True, columns: tuple[str, ...]
 def robust_scale(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x - median) / interquartile range over all rows; a range that is not finite or tiny counts as 1.
     The statistics are one row, so the join below is a one-row broadcast."""
-    quartiles = [F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{c}") for c in columns]
-    stats = df.agg(*quartiles)
+    stats = exact_quantiles(df, columns, (0.25, 0.5, 0.75), "_q")
 
     def scaled(c: str) -> Column:
         q = F.col(f"_q_{c}")
