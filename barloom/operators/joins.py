@@ -35,18 +35,13 @@ def lookback(panel: DataFrame, days: int, every: int) -> DataFrame:
     return near.where((F.col("date") <= F.col("rebalance_date")) & (F.col("date") >= F.col("rebalance_date") - F.expr(f"INTERVAL {days} DAYS")))
 
 
-def walk_forward_folds(rows: DataFrame, train_min: int, step: int) -> DataFrame:
-    """Fold bounds in ranks of distinct dates: training ends before the first test rank; a tail shorter than
-    a step gets no fold."""
-    dates = rows.select("date").distinct().withColumn("rank", F.row_number().over(Window.orderBy("date")) - 1)
-    last = dates.agg(F.max("rank").alias("last"))
-    folds = dates.crossJoin(F.broadcast(last)).where((F.col("rank") >= train_min) & ((F.col("rank") - train_min) % step == 0) & (F.col("rank") + step <= F.col("last") + 1))
-    return folds.select(((F.col("rank") - train_min) / step).cast("int").alias("fold"), F.col("rank").alias("first_rank"), F.col("date").alias("cutoff"))
-
-
 def fold_rows(rows: DataFrame, train_min: int, step: int) -> DataFrame:
-    """Rows of every fold with is_test: an expanding training part, then `step` dates. Folds are few rows
-    (dates over step), checked small by Spark's own threshold before it broadcasts them."""
+    """Rows of every fold with is_test: an expanding training part, then `step` dates. A row's folds follow from
+    its date's rank alone (all from the first whose test part ends behind it), so they are generated, not joined."""
     dates = rows.select("date").distinct().withColumn("rank", F.row_number().over(Window.orderBy("date")) - 1)
-    ranked = rows.join(dates, "date")
-    return ranked.join(walk_forward_folds(rows, train_min, step), F.col("rank") < F.col("first_rank") + step).withColumn("is_test", F.col("rank") >= F.col("first_rank"))
+    last = dates.agg((F.floor((F.max("rank") + 1 - train_min) / step) - 1).cast("int")).scalar()
+    first = F.greatest(F.lit(0), F.floor((F.col("rank") - train_min) / step).cast("int"))
+    ranked = rows.join(dates, "date").withColumns({"_first": first, "_last": last}).where(F.col("_first") <= F.col("_last"))
+    out = ranked.withColumn("fold", F.explode(F.sequence("_first", "_last"))).drop("_first", "_last")
+    first_rank = F.col("fold") * step + train_min
+    return out.withColumns({"first_rank": first_rank, "is_test": F.col("rank") >= first_rank})

@@ -57,25 +57,47 @@ def independent_axes(x: np.ndarray, k: int, seed: int = 42, rounds: int = 600, t
     return (w @ white).T
 
 
-def density_labels(x: np.ndarray, radius: float, least: int) -> np.ndarray:
+def density_labels(x: np.ndarray, radius: float, least: int, chunk: int = 256) -> np.ndarray:
     """Density clusters: points with at least `least` points (themselves included) within the radius are
-    cores; cores within the radius of each other share a label, others take a near core's, the rest -1."""
-    near = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1) <= radius * radius
-    core = near.sum(1) >= least
-    labels = np.full(len(x), UNKNOWN)
-    label = 0
-    for first in np.flatnonzero(core):
-        if labels[first] != UNKNOWN:
-            continue
-        front = np.zeros(len(x), bool)
-        front[first] = True
-        reached = front.copy()
-        while front.any():
-            new = near[front & core].any(0) & ~reached if (front & core).any() else np.zeros(len(x), bool)
-            reached |= new
-            front = new
-        labels[reached & (labels == UNKNOWN)] = label
-        label += 1
+    cores; cores within the radius of each other share a label, others take a near core's, the rest -1.
+
+    Points are put in order of the first axis and compared, a chunk at a time, with those within the radius on
+    that axis only, so memory is a chunk times its neighbourhood. Labels count up by each cluster's first core."""
+    n = len(x)
+    by = np.argsort(x[:, 0], kind="stable")
+    z = x[by]
+    low, high = np.searchsorted(z[:, 0], z[:, 0] - radius, "left"), np.searchsorted(z[:, 0], z[:, 0] + radius, "right")
+
+    def chunks():
+        for a in range(0, n, chunk):
+            b = min(n, a + chunk)
+            c, d = int(low[a]), int(high[b - 1])
+            yield a, c, ((z[a:b, None, :] - z[None, c:d, :]) ** 2).sum(-1) <= radius * radius
+
+    core = np.concatenate([near.sum(1) >= least for _, _, near in chunks()]) if n else np.zeros(0, bool)
+    parent, reach = np.arange(n), np.full(n, -1)
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    for a, c, near in chunks():
+        for i, j in zip(*np.nonzero(near & core[None, c : c + near.shape[1]])):
+            i, j = a + i, c + j
+            if core[i]:
+                p, q = root(i), root(j)
+                parent[max(p, q)] = min(p, q)
+            elif reach[i] < 0 or by[j] < by[reach[i]]:
+                reach[i] = j
+    roots = np.array([root(k) if core[k] else (root(reach[k]) if reach[k] >= 0 else -1) for k in range(n)], int)
+    first = {}
+    for k in np.argsort(by, kind="stable"):  # in the order of the points as they came
+        if core[k]:
+            first.setdefault(roots[k], len(first))
+    labels = np.full(n, UNKNOWN)
+    labels[by] = [first[r] if r >= 0 else UNKNOWN for r in roots]
     return labels
 
 

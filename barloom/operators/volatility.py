@@ -32,56 +32,82 @@ def ewma_of(x: np.ndarray, decay: float, horizon: int) -> float:
     return float(np.sqrt((decay ** len(x) * x.var() + (1 - decay) * (weights * x * x).sum()) * horizon))
 
 
+def garch_fit(r2: np.ndarray) -> tuple[float, float, float, float]:
+    """(omega, alpha, beta, next variance) of the zero-mean GARCH(1,1) of greatest Gaussian likelihood, from squared
+    returns. The recursion starts at a decaying mean of the first 75. All candidates of a grid over the long-run
+    variance, alpha and alpha + beta run through the recursion together; the grid is drawn in on the best again
+    and again, its bounds kept."""
+    first = r2[:75]
+    decay = 0.94 ** np.arange(len(first))
+    start, level = float((first * decay).sum() / decay.sum()), float(r2.mean())
+    if not level > 0:
+        return 0.0, 0.0, 0.0, 0.0
+
+    def run(scale: np.ndarray, alpha: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        omega, beta = level * np.exp(scale) * (1 - total), total - alpha
+        v, loss = np.full(len(scale), max(start, 1e-12)), np.zeros(len(scale))
+        for x in r2:
+            loss += np.log(v) + x / v
+            v = np.maximum(omega + alpha * x + beta * v, 1e-12)
+        return loss, v
+
+    # log of the long-run variance over the sample's, alpha as a share of alpha + beta, log of 1 - alpha - beta
+    low, high = np.array([-3.0, 0.0, -9.0]), np.array([3.0, 1.0, 0.0])
+    centre, reach = (low + high) / 2, (high - low) / 2
+    for _ in range(20):
+        axes = [np.clip(c + h * np.linspace(-1, 1, 7), a, b) for c, h, a, b in zip(centre, reach, low, high)]
+        scale, share, rest = (g.ravel() for g in np.meshgrid(*axes, indexing="ij"))
+        total = 1 - np.exp(rest)
+        loss, v = run(scale, share * total, total)
+        k = int(loss.argmin())
+        centre, reach = np.array([scale[k], share[k], rest[k]]), reach * 0.7
+    scale, share, total = scale[k], share[k], total[k]
+    return float(level * np.exp(scale) * (1 - total)), float(share * total), float(total * (1 - share)), float(v[k])
+
+
 def garch_of(x: np.ndarray, decay: float, horizon: int) -> float:
-    """Mean variance over the horizon of a zero-mean GARCH(1,1) fitted on percent returns, as a per-step
-    deviation. A coarse grid over (alpha, beta) with the variance level tied to the sample, refined twice."""
+    """The mean variance over the horizon of a GARCH(1,1) fitted on percent returns, as a per-step deviation; the
+    exponential forecast with too few returns."""
+    x = x[np.isfinite(x)]
     if len(x) < GARCH_LEAST:
         return ewma_of(x, decay, horizon)
-    r2 = (x * 100) ** 2
-    level = r2.mean()
-
-    def path(alpha: float, beta: float) -> np.ndarray:
-        v, out = level, np.empty(len(r2) + 1)
-        for t in range(len(r2)):
-            out[t] = v
-            v = level * (1 - alpha - beta) + alpha * r2[t] + beta * v
-        out[-1] = v
-        return out
-
-    def loss(ab: tuple[float, float]) -> float:
-        v = np.maximum(path(*ab)[:-1], 1e-12)
-        return float((np.log(v) + r2 / v).sum())
-
-    best = min(((a, b) for a in (0.02, 0.05, 0.1, 0.2) for b in (0.5, 0.7, 0.8, 0.9) if a + b < 0.999), key=loss)
-    for step in (0.03, 0.01):
-        near = [(best[0] + i * step, best[1] + j * step) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-        best = min((ab for ab in near if ab[0] > 0 and ab[1] > 0 and sum(ab) < 0.999), key=loss)
-    v, total = path(*best)[-1], 0.0
+    omega, alpha, beta, v = garch_fit((x * 100) ** 2)
+    total = 0.0
     for _ in range(horizon):
         total += v
-        v = level * (1 - sum(best)) + sum(best) * v
+        v = omega + (alpha + beta) * v
     return float(np.sqrt(total / horizon) / 100)
 
 
+def lookback_members(panel: DataFrame, members: DataFrame, days: int) -> DataFrame:
+    """Panel rows (date, symbol, log_return) of each member (on, symbol, regime) in the `days` days up to `on`, both
+    ends included. Both sides are cut into buckets of `days` days, so a row meets the members of two buckets only."""
+    width = days * 86400
+    at = F.floor(F.unix_timestamp(F.col("on").cast("timestamp")) / width)
+    spread = members.withColumn("_b", F.explode(F.array(at - 1, at)))
+    rows = panel.select("date", "symbol", "log_return").withColumn("_b", F.floor(F.unix_timestamp(F.col("date").cast("timestamp")) / width))
+    near = rows.join(spread, ["symbol", "_b"]).drop("_b")
+    return near.where((F.col("date") <= F.col("on")) & (F.col("date") >= F.col("on") - F.expr(f"INTERVAL {days} DAYS")))
+
+
 def cluster_volatility(panel: DataFrame, assignments: DataFrame, lookback_days: int = 252, horizon: int = 10, model: str = "ewma", decay: float = 0.94) -> DataFrame:
     """(date, symbol, vol_forecast, regime): per assignment date and regime, the volatility of the members'
-    common factor (a lone member's own returns) over the lookback. -1 is a regime like any other."""
+    common factor (a lone member's own returns) over the lookback; every member has it, those without returns
+    too. A group without any known return has no rows. -1 is a regime like any other."""
     members = assignments.select(F.col("date").alias("on"), "symbol", "regime")
-    rows = panel.select("date", "symbol", "log_return").join(members, "symbol")
-    rows = rows.where((F.col("date") <= F.col("on")) & (F.col("date") >= F.col("on") - F.expr(f"INTERVAL {lookback_days} DAYS")))
+    rows = lookback_members(panel, members, lookback_days)
     forecast = {"ewma": ewma_of, "garch": garch_of}[model]
 
     def factor(frame: pd.DataFrame) -> pd.DataFrame:
-        wide = frame.pivot_table(index="date", columns="symbol", values="log_return", aggfunc="first", dropna=False).sort_index().dropna(axis=1, how="all").fillna(0.0)
-        if wide.shape[1] > 1:
-            series = principal_axes(wide.to_numpy(float), 1)[:, 0]
-        else:
-            series = wide.to_numpy(float)[:, 0] if wide.shape[1] else np.zeros(0)
-        symbols = sorted(frame["symbol"].unique())
-        value = forecast(series, decay, horizon)
-        return pd.DataFrame({"date": frame["on"].iloc[0], "symbol": symbols, "vol_forecast": value, "regime": np.int32(frame["regime"].iloc[0])})
-
-    return rows.groupBy("on", "regime").applyInPandas(factor, "date timestamp_ntz, symbol string, vol_forecast double, regime int")
+        wide = frame.pivot_table(index="date", columns="symbol", values="log_return", aggfunc="first", dropna=False).sort_index().dropna(axis=1, how="all").fillna(0.0).to_numpy(float)
+        one = pd.DataFrame({"on": frame["on"].iloc[:1], "regime": np.int32(frame["regime"].iloc[0])})
+        if not wide.shape[1]:
+            return one.assign(vol_forecast=0.0).iloc[:0]
+        series = principal_axes(wide, 1)[:, 0] if wide.shape[1] > 1 else wide[:, 0]
+        return one.assign(vol_forecast=forecast(series, decay, horizon))
+
+    found = rows.groupBy("on", "regime").applyInPandas(factor, "on timestamp_ntz, regime int, vol_forecast double")
+    return members.join(found, ["on", "regime"]).select(F.col("on").alias("date"), "symbol", "vol_forecast", "regime")
 
 
 def align_volatility(predictions: DataFrame, vol: DataFrame) -> DataFrame:
