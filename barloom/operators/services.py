@@ -7,15 +7,16 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import first_truthy
+from barloom.functions.columns import exact_quantiles, first_truthy
+from barloom.operators.sizing import shortfall_bps
 
 # The strategy registry.
 REGISTRY = (
-    ("stocks_regime_momentum", "stocks", "momentum", "balanced", "log_return,regime,vol_forecast", "daylight_hours,max_slippage_guard"),
-    ("stocks_mean_reversion", "stocks", "mean_reversion", "conservative", "z_score,regime,realized_vol", "max_position_cap"),
-    ("forex_session_breakout", "forex", "breakout", "balanced", "session_overlap,macro_event_flag,vol_forecast", "spread_guard,max_slippage_guard"),
-    ("crypto_24x7_trend", "crypto", "trend", "aggressive", "funding_bias,liquidity_score,regime", "always_on_risk_checks,max_drawdown_stop"),
-    ("intl_fx_neutral_momentum", "intl_stocks", "momentum", "balanced", "exchange_calendar,fx_decomposition,regime", "session_alignment,fx_hedge_required"),
+    ("stocks_regime_momentum", "stocks", "momentum", "balanced", ("log_return", "regime", "vol_forecast"), ("daylight_hours", "max_slippage_guard")),
+    ("stocks_mean_reversion", "stocks", "mean_reversion", "conservative", ("z_score", "regime", "realized_vol"), ("max_position_cap",)),
+    ("forex_session_breakout", "forex", "breakout", "balanced", ("session_overlap", "macro_event_flag", "vol_forecast"), ("spread_guard", "max_slippage_guard")),
+    ("crypto_24x7_trend", "crypto", "trend", "aggressive", ("funding_bias", "liquidity_score", "regime"), ("always_on_risk_checks", "max_drawdown_stop")),
+    ("intl_fx_neutral_momentum", "intl_stocks", "momentum", "balanced", ("exchange_calendar", "fx_decomposition", "regime"), ("session_alignment", "fx_hedge_required")),
 )
 # The life of an order, the open and filled states, the brokers and what each can do.
 STATES = ("DRAFT", "CALCULATING", "READY_FOR_REVIEW", "COUNTDOWN", "CONFIRMED", "SUBMITTED", "ACKED")
@@ -41,25 +42,33 @@ GREEKS = ("delta", "gamma", "theta", "vega", "rho")
 
 
 def registry(spark: SparkSession, market: str | None = None) -> DataFrame:
-    df = spark.createDataFrame(list(enumerate(REGISTRY)), "place int, row struct<strategy_id string, market string, family string, risk_profile string, required_features string, constraints string>").select("place", "row.*")
+    df = spark.createDataFrame([(k, tuple(list(x) if isinstance(x, tuple) else x for x in row)) for k, row in enumerate(REGISTRY)], "place int, row struct<strategy_id string, market string, family string, risk_profile string, required_features array<string>, constraints array<string>>").select("place", "row.*")
     return df if market is None else df.where(F.lower(F.trim("market")) == market.strip().lower())
 
 
-def rank_strategies(spark: SparkSession, market: str, predictions: DataFrame, vol: DataFrame, vi: DataFrame, cap_bps: float = 20.0) -> DataFrame:
-    """Registry rows of the market scored by realised edge, stability and feasibility, best first."""
-    edge = predictions.agg(F.coalesce(F.median(F.abs("target")), F.lit(0.0)).alias("e")).select((F.col("e") * 10000).alias("edge_bps"))
-    level = vol.agg(F.coalesce(F.median("vol_forecast"), F.lit(0.01)).alias("vol"))
+def rank_strategies(spark: SparkSession, market: str, predictions: DataFrame, vol: DataFrame, vi: DataFrame, cap_bps: float = 20.0, n: int | None = None) -> DataFrame:
+    """Registry rows of the market scored by realised edge, stability and feasibility, best first; the first n of
+    them where n is given. One pass over predictions and vol each, or one over both if they are one table."""
+    moves = predictions.withColumn("_move", F.abs("target"))
+    if vol is predictions:
+        middle = exact_quantiles(moves, ["_move", "vol_forecast"], (0.5,), "_m")
+    else:
+        middle = exact_quantiles(moves, ["_move"], (0.5,), "_m").crossJoin(exact_quantiles(vol, ["vol_forecast"], (0.5,), "_m"))
     steady = vi.agg(F.coalesce(F.avg("vi"), F.lit(1.0)).alias("vi"))
-    support = F.lit(0.0)
-    if "regime" in predictions.columns:
-        edge = predictions.agg((F.coalesce(F.median(F.abs("target")), F.lit(0.0)) * 10000).alias("edge_bps"), F.coalesce(F.avg((F.col("regime") >= 0).cast("double")), F.lit(0.0)).alias("support"))
-        support = F.col("support")
-    rows = registry(spark, market).crossJoin(F.broadcast(edge.crossJoin(level).crossJoin(steady)))
+    support = F.coalesce(F.avg((F.col("regime") >= 0).cast("double")), F.lit(0.0)) if "regime" in predictions.columns else F.lit(0.0)
+    figures = middle.select((F.coalesce(F.col("_m__move")[0], F.lit(0.0)) * 10000).alias("edge_bps"), F.coalesce(F.col("_m_vol_forecast")[0], F.lit(0.01)).alias("vol")).crossJoin(steady)
+    figures = figures.crossJoin(predictions.agg(support.alias("support"))) if "regime" in predictions.columns else figures.withColumn("support", support)
+    rows = registry(spark, market).crossJoin(F.broadcast(figures))
+    cap = max(cap_bps, 1e-6)
     mult = F.when(F.col("risk_profile") == "conservative", 0.85).when(F.col("risk_profile") == "aggressive", 1.15).otherwise(1.0)
-    rows = rows.withColumns({"stability": 1 / (1 + F.greatest("vi", F.lit(0.0))), "feasibility": F.greatest(F.lit(0.0), 1 - F.least(F.col("vol") * 5000 / cap_bps, F.lit(1.0)))})
-    score = (F.least(F.col("edge_bps") / cap_bps, F.lit(1.0)) * 0.4 + F.col("stability") * 0.2 + F.col("feasibility") * 0.3 + support * 0.1) * mult
-    rows = rows.withColumn("score", score).withColumns({"confidence": F.greatest(F.lit(0.0), F.least(F.col("score"), F.lit(1.0))), "expected_edge_bps": F.col("edge_bps") * mult * F.col("feasibility")})
-    return rows.orderBy(F.desc("score"), F.desc("expected_edge_bps"), "place").select("strategy_id", "family", "risk_profile", "score", "confidence", "expected_edge_bps", "stability", "feasibility")
+    rows = rows.withColumns({"stability": 1 / (1 + F.greatest("vi", F.lit(0.0))), "feasibility": F.greatest(F.lit(0.0), 1 - F.least(F.col("vol") * 5000 / cap, F.lit(1.0)))})
+    score = (F.least(F.col("edge_bps") / cap, F.lit(1.0)) * 0.4 + F.col("stability") * 0.2 + F.col("feasibility") * 0.3 + F.col("support") * 0.1) * mult
+    reasons = F.array(
+        F.format_string("edge_bps=%.2f", "edge_bps"), F.format_string("stability=%.3f", "stability"), F.format_string("execution_feasibility=%.3f", "feasibility"), F.concat(F.lit("risk_profile="), "risk_profile")
+    )
+    rows = rows.withColumns({"score": score, "reasons": reasons}).withColumns({"confidence": F.greatest(F.lit(0.0), F.least(F.col("score"), F.lit(1.0))), "expected_edge_bps": F.col("edge_bps") * mult * F.col("feasibility")})
+    best = rows.orderBy(F.desc("score"), F.desc("expected_edge_bps"), "place").select("strategy_id", "market", "family", "risk_profile", "score", "confidence", "expected_edge_bps", "stability", "feasibility", "reasons")
+    return best if n is None else best.limit(n)
 
 
 def top_symbols(executed: DataFrame, n: int = 5) -> DataFrame:
@@ -67,19 +76,38 @@ def top_symbols(executed: DataFrame, n: int = 5) -> DataFrame:
 
 
 def review(orders: DataFrame, executed: DataFrame, min_approval: float = 0.6, max_shortfall: float = 20.0, max_daily_loss: float = 0.03, max_exposure: float = 0.25, require_orders: bool = True) -> DataFrame:
-    """One row: the decision, its breached checks in order, and the figures behind them."""
-    n = orders.agg(F.count("*").alias("n_orders"))
-    whole = executed.agg(F.coalesce(F.avg(F.col("approve").cast("double")), F.lit(0.0)).alias("approval_rate"), F.coalesce(F.max("predicted_shortfall_bps"), F.lit(0.0)).alias("max_shortfall_bps"), F.count("*").alias("n_executed"))
-    worst = executed.groupBy(F.to_date("date").alias("day")).agg(F.sum("executed_pnl").alias("pnl")).agg(F.coalesce(F.min("pnl"), F.lit(0.0)).alias("worst_day"))
-    exposure = executed.groupBy("symbol").agg(F.max(F.abs("exec_position")).alias("exposure")).agg(F.coalesce(F.max("exposure"), F.lit(0.0)).alias("max_exposure"))
-    row = n.crossJoin(whole).crossJoin(worst).crossJoin(exposure)
+    """One row: the decision, its breached checks in order, and the figures behind them. Days are summed once, and
+    all figures follow from them; orders are counted apart unless they are the executed ones. Without executed
+    columns the orders' own PnL and position are looked at; a check whose column is absent is not made."""
+    have = executed.columns
+
+    def pick(*names: str) -> str | None:
+        return next((name for name in names if name in have), None)
+
+    pnl, position = pick("executed_pnl", "realized_pnl"), pick("exec_position", "position")
+    none = F.lit(None).cast("double")
+    days = executed.groupBy(F.to_date("date").alias("day")).agg(
+        F.count("*").alias("n"),
+        (F.sum(F.col("approve").cast("double")) if "approve" in have else none).alias("approved"),
+        (F.max("predicted_shortfall_bps") if "predicted_shortfall_bps" in have else none).alias("shortfall"),
+        (F.sum(pnl) if pnl else none).alias("pnl"),
+        (F.max(F.abs(position)) if position else none).alias("exposure"),
+    )
+    row = days.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_executed"),
+        F.coalesce(F.sum("approved") / F.sum("n"), F.lit(0.0)).alias("approval_rate"),
+        F.coalesce(F.max("shortfall"), F.lit(0.0)).alias("max_shortfall_bps"),
+        F.coalesce(F.min("pnl"), F.lit(0.0)).alias("worst_day"),
+        F.coalesce(F.max("exposure"), F.lit(0.0)).alias("max_exposure"),
+    )
+    row = row.withColumn("n_orders", F.col("n_executed")) if orders is executed else row.crossJoin(orders.agg(F.count("*").alias("n_orders")))
     some = F.col("n_executed") > 0
     tests = dict(
         zip(
             MITIGATIONS,
             (
                 F.lit(require_orders) & (F.col("n_orders") == 0),
-                some & (F.col("approval_rate") < min_approval),
+                some & F.lit("approve" in have) & (F.col("approval_rate") < min_approval),
                 some & (F.col("max_shortfall_bps") > max_shortfall),
                 some & (F.col("worst_day") < -abs(max_daily_loss)),
                 some & (F.col("max_exposure") > max_exposure),
@@ -111,19 +139,18 @@ def position_rows(payload: DataFrame, json: str = "payload") -> DataFrame:
 
 
 def pnl_snapshot(executed: DataFrame, positions: DataFrame, as_of: str, fee_bps: float = 1.0) -> DataFrame:
-    """One row: realised, unrealised and daily PnL, fees, net, and maps by symbol."""
-    whole = executed.agg(
-        F.coalesce(F.sum("executed_pnl"), F.lit(0.0)).alias("realized_pnl"),
-        F.coalesce(F.sum(F.when(F.to_date("date") == F.lit(as_of).cast("date"), F.col("executed_pnl"))), F.lit(0.0)).alias("daily_pnl"),
-        (F.coalesce(F.sum(F.abs("exec_position")), F.lit(0.0)) * (fee_bps / 10000)).alias("fees"),
-    )
-
-    def as_map(df: DataFrame, value: Column, name: str) -> DataFrame:
-        # One entry for each symbol: the map is as large as the symbol list.
-        return df.groupBy("symbol").agg(value.alias("v")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("symbol", "v")))).alias(name))
-
-    held = positions.agg(F.coalesce(F.sum("unrealized_pnl"), F.lit(0.0)).alias("unrealized_pnl"))
-    row = whole.crossJoin(held).crossJoin(as_map(executed, F.sum("executed_pnl"), "by_symbol")).crossJoin(as_map(positions, F.sum("exposure"), "exposure_by_symbol"))
+    """One row: realised, unrealised and daily PnL, fees, net, and maps by symbol. Each table is summed by symbol
+    once; totals and map come from those sums, and the maps are as large as the symbol list."""
+    today = F.to_date("date") == F.lit(as_of).cast("date")
+    by_symbol = executed.groupBy("symbol").agg(F.sum("executed_pnl").alias("v"), F.sum(F.when(today, F.col("executed_pnl"))).alias("day"), F.sum(F.abs("exec_position")).alias("size"))
+    held = positions.groupBy("symbol").agg(F.sum("exposure").alias("v"), F.sum("unrealized_pnl").alias("u"))
+    as_map = F.map_from_entries(F.sort_array(F.collect_list(F.struct("symbol", "v"))))
+
+    def total(name: str) -> Column:
+        return F.coalesce(F.sum(name), F.lit(0.0))
+
+    row = by_symbol.agg(total("v").alias("realized_pnl"), total("day").alias("daily_pnl"), (total("size") * (fee_bps / 10000)).alias("fees"), as_map.alias("by_symbol"))
+    row = row.crossJoin(held.agg(total("u").alias("unrealized_pnl"), as_map.alias("exposure_by_symbol")))
     return row.withColumn("net_pnl", F.col("realized_pnl") + F.col("unrealized_pnl") - F.col("fees"))
 
 
@@ -180,6 +207,59 @@ def routed(intents: DataFrame, brokers: DataFrame) -> DataFrame:
     return intents.join(known, "adapter", "left").na.fill(False, ["accepted", "cancellable"])
 
 
+def router_results(brokers: DataFrame, intents: DataFrame) -> DataFrame:
+    """What each intent (adapter, action, target) comes to: its status and the route it takes. Actions: ping (read
+    access), submit_order, cancel_order, close_position. An adapter that is not registered knows no action."""
+    able = brokers.select("adapter", "route", "submit", "cancel", "close", F.coalesce(F.col("route") != "webhook", F.lit(False)).alias("ping"))
+    rows = intents.select("adapter", "action", "target").join(able, "adapter", "left")
+    can = F.when(F.col("action") == "ping", F.col("ping")).when(F.col("action") == "submit_order", F.col("submit")).when(F.col("action") == "cancel_order", F.col("cancel")).when(F.col("action") == "close_position", F.col("close"))
+    status = F.when(F.col("route").isNull(), "not_registered").when(can, "ok").otherwise(F.concat("action", F.lit("_not_supported")))
+    return rows.select("adapter", "action", "target", "route", status.alias("status"))
+
+
+def router_counts(results: DataFrame) -> DataFrame:
+    """(adapter, action, ok_count, refused_count, targets_count): what a router reports of its results."""
+    ok = F.col("status") == "ok"
+    return results.groupBy("adapter", "action").agg(F.count_if(ok).alias("ok_count"), F.count_if(~ok).alias("refused_count"), F.count_distinct(F.when(ok, F.col("target"))).alias("targets_count"))
+
+
+def sellable(balances: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted: symbols to close. Each with the amount of the first of its adapter's balances (place, currency,
+    available, amount) whose currency is a part of the symbol and which has an amount; none: no_position."""
+    amount = F.coalesce("available", "amount")
+    rows = wanted.select("adapter", "symbol").join(balances.withColumn("_amount", amount).select("adapter", "place", "currency", "_amount"), "adapter", "left")
+    fits = F.upper("symbol").contains(F.upper("currency")) & F.col("_amount").isNotNull()
+    found = rows.groupBy("adapter", "symbol").agg(F.min(F.when(fits, F.struct("place", "_amount"))).alias("found"))
+    return found.select("adapter", "symbol", F.col("found._amount").alias("quantity"), F.when(F.col("found").isNull(), "no_position").otherwise("close_position").alias("action"))
+
+
+REQUEST = "struct<orders:array<struct<order_id:bigint,symbol:string,side:string,size:double,expected_edge_bps:double,forecast_vol:double,pofi:double>>,max_shortfall_bps:double>"
+
+
+def decode_requests(requests: DataFrame, json: str = "request") -> DataFrame:
+    """One row for each order of a JSON request {orders, max_shortfall_bps}; other columns stay. A request that is
+    no such JSON fails the job, as the decoder it stands for ends its run."""
+    keep = [c for c in requests.columns if c != json]
+    parsed = requests.select(*keep, F.from_json(json, REQUEST, {"mode": "FAILFAST"}).alias("r"))
+    return parsed.select(*keep, F.col("r.max_shortfall_bps").alias("max_shortfall_bps"), F.explode("r.orders").alias("o")).select(*keep, "max_shortfall_bps", "o.*")
+
+
+def decide(orders: DataFrame) -> DataFrame:
+    """The decision of each decoded order; sign and flow come with the order, so nothing is shuffled."""
+    rows = orders.withColumn("predicted_shortfall_bps", shortfall_bps(F.col("size"), F.col("forecast_vol"), F.col("pofi"), F.col("side"), "rust"))
+    over_edge, over_cap = F.col("predicted_shortfall_bps") > F.col("expected_edge_bps"), F.col("predicted_shortfall_bps") > F.col("max_shortfall_bps")
+    reason = F.when(~over_edge & ~over_cap, "ok").when(over_edge, "predicted_shortfall_exceeds_expected_edge").otherwise("predicted_shortfall_exceeds_max_shortfall")
+    rows = rows.withColumns({"approve": ~over_edge & ~over_cap, "reason": reason})
+    return rows.withColumn("adjusted_size", F.when(F.col("approve"), F.col("size")).otherwise(0.0))
+
+
+def encode_decisions(decisions: DataFrame, *keys: str) -> DataFrame:
+    """One JSON response for each key: its decisions in the order of their numbers."""
+    fields = ("order_id", "symbol", "approve", "predicted_shortfall_bps", "reason", "adjusted_size")
+    made = F.transform(F.sort_array(F.collect_list(F.struct(*fields))), lambda d: F.struct(*[d[f].alias(f) for f in fields]))
+    return decisions.groupBy(*keys).agg(F.to_json(F.struct(made.alias("decisions"))).alias("response"))
+
+
 def terminate(runs: DataFrame, run_id: str) -> DataFrame:
     """The set of terminated runs with one more; adding one twice changes nothing."""
     new = runs.sparkSession.createDataFrame([(run_id,)], "run_id string")
@@ -198,11 +278,23 @@ def mock_surface(spark: SparkSession, has_chain: bool = False) -> DataFrame:
     return grid.where(F.lit(not has_chain))
 
 
+# The named HTML entities that news pages use, the ampersand's last.
+ENTITIES = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("#39", "'"), ("#x27", "'"), ("nbsp", " "), ("ndash", "\u2013"), ("mdash", "\u2014"), ("lsquo", "\u2018"), ("rsquo", "\u2019"), ("ldquo", "\u201c"), ("rdquo", "\u201d"), ("hellip", "\u2026"), ("amp", "&"))
+
+
+def plain_text(html: Column) -> Column:
+    """The text of a piece of HTML: no tags, entities decoded, no space around it."""
+    out = F.regexp_replace(html, r"(?s)<[^>]*>", "")
+    for name, sign in ENTITIES:
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(sign))
+    return F.trim(out)
+
+
 def headlines(pages: DataFrame) -> DataFrame:
     """(page_id, position, url, headline) of every link of a page, in page order."""
     links = F.regexp_extract_all("html", F.lit(r'(?is)<a\b[^>]*?href="[^"]*"[^>]*>.*?</a>'), F.lit(0))
     rows = pages.select("page_id", F.posexplode(links).alias("position", "a"))
-    return rows.select("page_id", "position", F.regexp_extract("a", r'(?is)href="([^"]*)"', 1).alias("url"), F.trim(F.regexp_replace("a", r"(?s)<[^>]*>", "")).alias("headline"))
+    return rows.select("page_id", "position", F.regexp_extract("a", r'(?is)href="([^"]*)"', 1).alias("url"), plain_text(F.col("a")).alias("headline"))
 
 
 def news_rows(pages: DataFrame) -> DataFrame:
@@ -211,12 +303,14 @@ def news_rows(pages: DataFrame) -> DataFrame:
     body = F.regexp_extract("html", r'(?is)<table\b[^>]*\bid="news-table"[^>]*>(.*?)</table>', 1)
     rows = pages.select("ticker", F.posexplode(F.regexp_extract_all(body, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))).alias("position", "row"))
     cells = rows.withColumn("cells", F.regexp_extract_all("row", F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1))).where("size(cells) >= 2")
+    link = F.regexp_extract(F.col("cells")[1], r"(?is)<a\b[^>]*>(.*?)</a>", 1)
+    return cells.select("ticker", "position", plain_text(F.col("cells")[0]).alias("datetime_text"), plain_text(link).alias("headline"), F.regexp_extract(F.col("cells")[1], r'(?is)<a\b[^>]*?href="([^"]*)"', 1).alias("url"))
 
-    def plain(c: Column) -> Column:
-        return F.trim(F.regexp_replace(c, r"(?s)<[^>]*>", ""))
 
-    link = F.regexp_extract(F.col("cells")[1], r"(?is)<a\b[^>]*>(.*?)</a>", 1)
-    return cells.select("ticker", "position", plain(F.col("cells")[0]).alias("datetime_text"), plain(link).alias("headline"), F.regexp_extract(F.col("cells")[1], r'(?is)<a\b[^>]*?href="([^"]*)"', 1).alias("url"))
+def write_news(pages: DataFrame, path: str) -> None:
+    """The raw pages as text, one file part each task, and the headlines as CSV."""
+    pages.select("ticker", "html").write.mode("overwrite").json(f"{path}/raw")
+    news_rows(pages).write.mode("overwrite").option("header", True).csv(f"{path}/headlines")
 
 
 def equity_rows(series: DataFrame) -> DataFrame:

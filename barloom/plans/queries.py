@@ -134,7 +134,7 @@ def rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     f"""WITH {BARS}, p AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS pc FROM bars),
-tr AS (SELECT symbol, date, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr FROM p), {ewm_sql("tr", "tr", "(1e0 / 14)", "atr", 14)}
+tr AS (SELECT symbol, date, greatest(abs(high - low), abs(high - pc), abs(low - pc)) AS tr FROM p), {ewm_sql("tr", "tr", "(1e0 / 14)", "atr", 14)}
 SELECT symbol, date, {s6("atr")} AS atr_14 FROM atr_t"""
 )
 def atr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,12 +312,14 @@ def top_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 k AS (SELECT edge, 1e0 / (1 + 1e0) AS stability, greatest(0e0, 1 - least(vol * 5000e0 / 20e0, 1e0)) AS feas FROM c),
 r AS (SELECT * FROM (VALUES ('stocks_regime_momentum', 'momentum', 'balanced', 1e0), ('stocks_mean_reversion', 'mean_reversion', 'conservative', 0.85e0)) v(strategy_id, family, risk_profile, mult))
 SELECT strategy_id, family, risk_profile, {s6("(least(edge / 20e0, 1e0) * 0.4e0 + stability * 0.2e0 + feas * 0.3e0) * mult")} AS score, {s6("greatest(0e0, least((least(edge / 20e0, 1e0) * 0.4e0 + stability * 0.2e0 + feas * 0.3e0) * mult, 1e0))")} AS confidence,
-{s6("edge * mult * feas")} AS expected_edge_bps, {s6("stability")} AS stability, {s6("feas")} AS feasibility FROM r, k"""
+{s6("edge * mult * feas")} AS expected_edge_bps, {s6("stability")} AS stability, {s6("feas")} AS feasibility, 'stocks' AS market,
+concat_ws(',', printf('edge_bps=%.2f', edge), printf('stability=%.3f', stability), printf('execution_feasibility=%.3f', feas), 'risk_profile=' || risk_profile) AS reasons FROM r, k"""
 )
 def rank_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = sized(spark, sf_dir)
     none = spark.createDataFrame([], "vi double")
-    return rounded(services.rank_strategies(spark, "Stocks ", df, df, none), ("strategy_id", "family", "risk_profile"), ("score", "confidence", "expected_edge_bps", "stability", "feasibility"))
+    ranked = services.rank_strategies(spark, "Stocks ", df, df, none).withColumn("reasons", F.array_join("reasons", ","))
+    return rounded(ranked, ("strategy_id", "market", "family", "risk_profile", "reasons"), ("score", "confidence", "expected_edge_bps", "stability", "feasibility"))
 
 
 @registered(
@@ -330,7 +332,7 @@ concat_ws(',', CASE WHEN n = 0 THEN 'no_orders' END, CASE WHEN rate < 0.6 THEN '
 )
 def review(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = executed(spark, sf_dir)
-    out = services.review(sized(spark, sf_dir), df).withColumn("breached", F.array_join("breached_checks", ","))
+    out = services.review(df, df).withColumn("breached", F.array_join("breached_checks", ","))
     return rounded(out, ("decision", "breached"), ("approval_rate", "max_shortfall_bps", "worst_day", "max_exposure"))
 
 
@@ -412,7 +414,7 @@ def greek_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a\b[^>]*?href="[^"]*"[^>]*>.*?</a>', 0, 'is')) AS a, generate_subscripts(regexp_extract_all(html, '<a\b[^>]*?href="[^"]*"[^>]*>.*?</a>', 0, 'is'), 1) - 1 AS position FROM pages)
-SELECT page_id, CAST(position AS INTEGER) AS position, regexp_extract(a, 'href="([^"]*)"', 1, 'is') AS url, trim(regexp_replace(a, '<[^>]*>', '', 'gs')) AS headline FROM l"""
+SELECT page_id, CAST(position AS INTEGER) AS position, regexp_extract(a, 'href="([^"]*)"', 1, 'is') AS url, trim(replace(replace(replace(replace(replace(regexp_replace(a, '<[^>]*>', '', 'gs'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&')) AS headline FROM l"""
 )
 def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return services.headlines(table(spark, sf_dir, "pages"))
@@ -446,7 +448,12 @@ def broker_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return services.capabilities(spark)
 
 
-@registered()
+@registered(
+    """SELECT o_orderkey, adapter, CASE WHEN adapter = 'gemini' THEN to_json(struct_pack(symbol := symbol, side := side, amount := quantity, order_type := 'exchange market'))
+ELSE to_json(struct_pack(symbol := symbol, side := side, quantity := quantity, order_type := 'market')) END::VARCHAR AS payload
+FROM (SELECT o_orderkey, o_orderpriority AS symbol, CASE WHEN o_orderkey % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, o_totalprice / 1000 AS quantity FROM orders),
+ (VALUES ('tradingview'), ('fidelity_active_trader'), ('robinhood_crypto'), ('gemini'), ('forex_com')) b(adapter)"""
+)
 def order_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dry-run payload of every order for each broker."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("symbol"), F.when(F.col("o_orderkey") % 2 == 0, "buy").otherwise("sell").alias("side"), (F.col("o_totalprice") / 1000).alias("quantity"))
@@ -494,12 +501,29 @@ def streamed_hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars.withColumn("date", F.col("date").cast("timestamp_ntz"))
 
 
-@registered()
+@registered(
+    """WITH RECURSIVE m AS (SELECT user_id AS order_id, ts, event_id % 7 AS place, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT order_id, ts, place, i, CAST(-1 AS BIGINT) AS before, place = 0 AS legal FROM m WHERE i = 1
+ UNION ALL SELECT m.order_id, m.ts, m.place, m.i, p.now, m.place = p.now + 1 FROM m JOIN (SELECT order_id, i, CASE WHEN NOT legal THEN before WHEN place = 6 THEN -1 ELSE place END AS now FROM r) p ON m.order_id = p.order_id AND m.i = p.i + 1),
+s AS (SELECT ['DRAFT', 'CALCULATING', 'READY_FOR_REVIEW', 'COUNTDOWN', 'CONFIRMED', 'SUBMITTED', 'ACKED'] AS names)
+SELECT order_id, ts, names[place + 1] AS state, CASE WHEN before >= 0 THEN names[before + 1] END AS previous, legal FROM r, s"""
+)
 def streamed_order_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order state machine over a stream of moves."""
     state = F.element_at(F.array(*[F.lit(s) for s in services.STATES]), (F.col("event_id") % 7 + 1).cast("int"))
     moves = live.event_ticks(spark, sf_dir).select(F.col("user_id").alias("order_id"), "ts", state.alias("state"))
-    return live.run_once(live.order_lifecycle(moves), "orders")
+    return live.run_once(live.order_lifecycle(moves), "orders").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@registered(
+    f"""WITH o AS (SELECT event_type AS symbol, ts, value, CASE WHEN ts > lag(ts) OVER w + INTERVAL 10 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+n AS (SELECT *, sum(new) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM o)
+SELECT symbol, min(ts) AS "start", max(ts) + INTERVAL 10 MINUTE AS "end", count(*) AS n, {s6("sum(value)")} AS total FROM n GROUP BY symbol, session HAVING max(ts) + INTERVAL 10 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+)
+def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of ticks less than ten minutes apart, from a file stream; those that the watermark has passed."""
+    made = live.run_once(live.streamed_sessions(live.event_ticks(spark, sf_dir), "10 minutes"), "sessions")
+    return made.select("symbol", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n", f6("total").alias("total"))
 
 
 @registered()
@@ -530,3 +554,97 @@ def research_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered()
 def generated_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generated_ohlcv(spark, ["AAPL", "MSFT", "NVDA", "AMZN", "GOOGL", "META", "TSLA", "AMD"])
+
+
+@registered(
+    r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a\b[^>]*?href="[^"]*"[^>]*>.*?</a>', 0, 'is')) AS a, generate_subscripts(regexp_extract_all(html, '<a\b[^>]*?href="[^"]*"[^>]*>.*?</a>', 0, 'is'), 1) - 1 AS position FROM pages)
+SELECT CAST(page_id AS VARCHAR) AS ticker, CAST(position AS INTEGER) AS position, 'Jan-01-24 & ' || position AS datetime_text, regexp_extract(a, 'href="([^"]*)"', 1, 'is') AS url,
+trim(replace(replace(replace(replace(replace(regexp_replace(a, '<[^>]*>', '', 'gs'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&')) AS headline FROM l"""
+)
+def news_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a news table; each page's links make up its table, with one row of a single cell that is no news."""
+    links = F.regexp_extract_all("html", F.lit(r'(?is)<a\b[^>]*?href="[^"]*"[^>]*>.*?</a>'), F.lit(0))
+    rows = F.transform(links, lambda a, k: F.concat(F.lit("<tr><td>Jan-01-24 &amp; "), k.cast("string"), F.lit("</td><td>"), a, F.lit("</td></tr>")))
+    html = F.concat(F.lit('<table class="x" id="news-table">'), F.array_join(rows, ""), F.lit("<tr><td>no news</td></tr></table>"))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("ticker"), html.alias("html"))
+    return services.news_rows(pages)
+
+
+@registered(
+    f"""SELECT {s6("(SELECT sum(value) / 1e4 FROM events)")} AS unrealized_pnl, {s6("(SELECT sum(abs(value * (user_id % 3))) FROM events)")} AS exposure,
+(SELECT string_agg(DISTINCT event_type, ',' ORDER BY event_type) FROM events) AS symbols"""
+)
+def pnl_of_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions in JSON, as lists and as objects that hold one under several names, into a PnL snapshot."""
+    row = F.struct(F.col("event_type").alias("symbol"), (F.col("value") / 1e4).alias("unrealized_pnl"), F.col("value").alias("quantity"), (F.col("user_id") % 3).cast("double").alias("mark_price"))
+    other = F.struct(F.col("event_type").alias("asset"), (F.col("value") / 1e4).alias("unrealizedPnL"), F.col("value").alias("qty"), (F.col("user_id") % 3).cast("double").alias("price"))
+    kind = F.col("event_id") % 4
+    payload = F.when(kind == 0, F.to_json(F.array(row))).when(kind == 1, F.to_json(F.struct(F.array(other).alias("holdings")))).when(kind == 2, F.to_json(F.struct(F.array(row).alias("positions")))).otherwise(F.to_json(other))
+    positions = services.position_rows(table(spark, sf_dir, "events").select(payload.alias("payload")))
+    out = services.pnl_snapshot(executed(spark, sf_dir), positions, "2024-01-15")
+    total = F.aggregate(F.map_values("exposure_by_symbol"), F.lit(0.0), lambda a, v: a + v)
+    out = out.withColumns({"symbols": F.array_join(F.array_sort(F.map_keys("exposure_by_symbol")), ","), "exposure": total})
+    return rounded(out, ("symbols",), ("unrealized_pnl", "exposure"))
+
+
+@registered(
+    f"""WITH {executed_sql('rust')}, ids AS (SELECT *, row_number() OVER (ORDER BY date, symbol) - 1 AS order_id FROM ex)
+SELECT order_id, date, symbol, cost <= expected_edge_bps AND cost <= 20e0 AS approve, {s6("cost")} AS predicted_shortfall_bps,
+CASE WHEN cost <= expected_edge_bps AND cost <= 20e0 THEN 'ok' WHEN cost > expected_edge_bps THEN 'predicted_shortfall_exceeds_expected_edge' ELSE 'predicted_shortfall_exceeds_max_shortfall' END AS reason,
+{s6("CASE WHEN cost <= expected_edge_bps AND cost <= 20e0 THEN size ELSE 0e0 END")} AS adjusted_size FROM ids"""
+)
+def request_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON requests, one a date, decoded, decided, encoded as responses and read again."""
+    rows = sizing.with_order_id(executed(spark, sf_dir))
+    order = F.struct("order_id", "symbol", "side", "size", "expected_edge_bps", F.col("vol_forecast").alias("forecast_vol"), "pofi")
+    requests = rows.groupBy("date").agg(F.to_json(F.struct(F.collect_list(order).alias("orders"), F.lit(20.0).alias("max_shortfall_bps"))).alias("request"))
+    responses = services.encode_decisions(services.decide(services.decode_requests(requests)), "date")
+    decision = "struct<decisions:array<struct<order_id:bigint,symbol:string,approve:boolean,predicted_shortfall_bps:double,reason:string,adjusted_size:double>>>"
+    read = responses.select("date", F.explode(F.from_json("response", decision)["decisions"]).alias("d")).select("date", "d.*")
+    return rounded(read, ("order_id", "date", "symbol", "approve", "reason"), ("predicted_shortfall_bps", "adjusted_size"))
+
+
+@registered(
+    """WITH i AS (SELECT ['tradingview', 'gemini', 'forex_com', 'nobody'][event_id % 4 + 1] AS adapter, ['ping', 'submit_order', 'cancel_order', 'close_position'][user_id % 4 + 1] AS action, user_id AS target FROM events),
+r AS (SELECT adapter, action, target, adapter <> 'nobody' AND (action = 'submit_order' OR adapter <> 'tradingview') AS ok FROM i)
+SELECT adapter, action, count(*) FILTER (ok) AS ok_count, count(*) FILTER (NOT ok) AS refused_count, count(DISTINCT CASE WHEN ok THEN target END) AS targets_count FROM r GROUP BY 1, 2"""
+)
+def router_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pings, submissions, cancellations and closings by adapter: how many went through and were refused."""
+    adapters, actions = ("tradingview", "gemini", "forex_com", "nobody"), ("ping", "submit_order", "cancel_order", "close_position")
+
+    def pick(names: tuple[str, ...], key: str) -> Column:
+        return F.element_at(F.array(*[F.lit(x) for x in names]), (F.col(key) % 4 + 1).cast("int"))
+
+    intents = table(spark, sf_dir, "events").select(pick(adapters, "event_id").alias("adapter"), pick(actions, "user_id").alias("action"), F.col("user_id").cast("string").alias("target"))
+    return services.router_counts(services.router_results(services.capabilities(spark), intents))
+
+
+@registered(
+    """SELECT event_type AS adapter, 1 AS step, 'cancel' AS action, CAST(event_id AS VARCHAR) AS target, CAST(NULL AS DOUBLE) AS quantity FROM events WHERE event_id % 3 = 0
+UNION ALL SELECT event_type, 2, CASE WHEN sum(value) > 100 THEN 'sell' ELSE 'no_position' END, '7', CASE WHEN sum(value) > 100 THEN floor((sum(value) - 100) * 1e6 + 5e-1) / 1e6 END FROM events WHERE user_id = 7 GROUP BY event_type"""
+)
+def close_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What closing one symbol does: all open orders of each adapter are cancelled, then its position is sold."""
+    e = table(spark, sf_dir, "events")
+    orders = e.select(F.col("event_type").alias("adapter"), F.col("event_id").alias("order_id"), F.when(F.col("event_id") % 3 == 0, "Working").otherwise("executed").alias("state"))
+    held = e.groupBy(F.col("event_type").alias("adapter"), F.col("user_id").cast("string").alias("symbol")).agg((f6(F.sum("value") - 100)).alias("quantity"))
+    return services.close_plan(orders, held, "7")
+
+
+@registered(
+    """WITH b AS (SELECT c_mktsegment AS adapter, c_custkey AS place, substr(n_name, 1, 3) AS currency, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal END AS available FROM customer JOIN nation ON n_nationkey = c_nationkey),
+w AS (SELECT DISTINCT c_mktsegment AS adapter, lower(n_name) || 'usd' AS symbol FROM customer, nation)
+SELECT w.adapter, w.symbol, arg_min(available, place) FILTER (contains(upper(w.symbol), upper(currency)) AND available IS NOT NULL) AS quantity,
+CASE WHEN count(*) FILTER (contains(upper(w.symbol), upper(currency)) AND available IS NOT NULL) = 0 THEN 'no_position' ELSE 'close_position' END AS action
+FROM w JOIN b ON w.adapter = b.adapter GROUP BY 1, 2"""
+)
+def sellable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The balance to sell for each symbol: the first one whose currency is a part of it."""
+    nation = table(spark, sf_dir, "nation")
+    held = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    balances = held.select(F.col("c_mktsegment").alias("adapter"), F.col("c_custkey").alias("place"), F.substring("n_name", 1, 3).alias("currency"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal")).alias("available"), F.lit(None).cast("double").alias("amount"))
+    segments = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("adapter")).distinct()
+    # 25 nations for each segment.
+    wanted = segments.crossJoin(F.broadcast(nation.select(F.concat(F.lower("n_name"), F.lit("usd")).alias("symbol"))))
+    return services.sellable(balances, wanted)

@@ -14,15 +14,15 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.sources.brokers import read_yaml
+
 AUDIT = "timestamp_utc string, action string, run_id string, order_id string, state string, detail string"
 
 
 def load_config(spark: SparkSession, path: str, kind: type):
     """A frozen settings object from a YAML file, found through Spark so that any store works; defaults for
     what the file lacks. A file with unknown keys is read for the known ones."""
-    import yaml
-
-    found = yaml.safe_load("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())) or {}
+    found = read_yaml(spark, path)
     names = {f.name for f in fields(kind)}
     return kind(**{k: tuple(v) if isinstance(v, list) else v for k, v in found.items() if k in names})
 
@@ -71,6 +71,34 @@ def write_tickets(orders: DataFrame, path: str) -> None:
     orders.withColumn("ticket_id", F.expr("uuid()")).write.mode("append").json(path)
 
 
+def read_tickets(spark: SparkSession, path: str) -> DataFrame:
+    """Tickets with what became of them: the files under path hold tickets and cancellations, both JSON lines."""
+    rows = spark.read.schema("ticket_id string, symbol string, side string, quantity double, cancels string").json(path)
+    gone = rows.where("cancels is not null").select(F.col("cancels").alias("ticket_id")).distinct().withColumn("_gone", F.lit(True))
+    status = F.when(F.col("_gone"), "cancelled").otherwise("pending_manual_submission")
+    return rows.where("ticket_id is not null").join(gone, "ticket_id", "left").select("ticket_id", "symbol", "side", "quantity", status.alias("status"))
+
+
+def cancel_ticket(spark: SparkSession, path: str, ticket_id: str) -> str:
+    """Append a cancellation; the ticket's row stays. Returns cancelled or not_found."""
+    if read_tickets(spark, path).where((F.col("ticket_id") == ticket_id) & (F.col("status") != "cancelled")).isEmpty():
+        return "not_found"
+    spark.createDataFrame([(ticket_id,)], "cancels string").coalesce(1).write.mode("append").json(path)
+    return "cancelled"
+
+
+def log_lines(events: DataFrame, path: str, level: str = "INFO", logger: str = "barloom") -> None:
+    """Events with a `message` as structured log lines: timestamp, level, logger, message and the other columns."""
+    extra = [c for c in events.columns if c not in ("timestamp", "level", "logger", "message")]
+    stamp = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    events.select(stamp.alias("timestamp"), F.lit(level).alias("level"), F.lit(logger).alias("logger"), "message", *extra).write.mode("append").json(path)
+
+
+def write_review(report: DataFrame, path: str) -> None:
+    """The one row of a review as JSON."""
+    report.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def write_error_report(spark: SparkSession, error: BaseException, path: str, command: str, run_id: str, keep_traceback: bool = True, **context: str) -> None:
     """One JSON row on a failure, written through Spark so that a cluster's store holds it."""
     text = "".join(traceback.format_exception(error)) if keep_traceback else ""

@@ -1,65 +1,63 @@
-"""A Spark data source of broker tables, from recorded (dry-run) responses.
+"""Broker tables from recorded (dry-run) responses, and sources named by a configuration.
 
-`spark.read.format("broker").option("path", ...).option("adapter", ...).option("kind", "positions")` reads the
-JSON lines of one table of one broker. Live network access is out of scope."""
+A broker's table lies in JSON lines under `<adapter>.<kind>.jsonl` in one folder of any store that Spark reads.
+Live network access is out of scope."""
 
 from __future__ import annotations
 
-import glob
-import json
-import os
-from collections.abc import Iterator
+import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource
 
-from barloom.operators.services import FILLED_STATES, OPEN_STATES
+from barloom.operators.services import FILLED_STATES, OPEN_STATES, capabilities
 
 KINDS = {
-    "positions": "adapter string, symbol string, quantity double, mark_price double, unrealized_pnl double",
-    "balances": "adapter string, currency string, amount double",
-    "orders": "adapter string, order_id string, symbol string, side string, quantity double, state string",
+    "positions": "symbol string, quantity double, mark_price double, unrealized_pnl double",
+    "balances": "currency string, amount double",
+    "orders": "order_id string, symbol string, side string, quantity double, state string",
 }
 
 
-class BrokerReader(DataSourceReader):
-    def __init__(self, adapter: str | None, kind: str, path: str) -> None:
-        self.adapter, self.kind, self.path = adapter, kind, path
+def read_broker(spark: SparkSession, path: str, kind: str, adapter: str | None = None) -> DataFrame:
+    """One kind of table of one broker, or of all that have it; `adapter` is the first part of the file's name."""
+    rows = spark.read.schema(KINDS[kind]).option("pathGlobFilter", f"{adapter or '*'}.{kind}.jsonl").json(path)
+    name = F.regexp_extract(F.input_file_name(), r"([^/.]+)\.[^/]*$", 1)
+    return rows.select(name.alias("adapter"), *rows.columns)
 
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(f) for f in sorted(glob.glob(os.path.join(self.path, f"{self.adapter or '*'}.{self.kind}.jsonl")))]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        adapter = os.path.basename(partition.value).split(".")[0]
-        names = [c.split()[0] for c in KINDS[self.kind].split(", ")][1:]
-        with open(partition.value) as lines:
-            for line in lines:
-                row = json.loads(line)
-                yield (adapter, *[float(row[n]) if n in ("quantity", "mark_price", "unrealized_pnl", "amount") and row.get(n) is not None else row.get(n) for n in names])
+def open_orders(orders: DataFrame) -> DataFrame:
+    return orders.where(F.lower("state").isin(*OPEN_STATES))
 
 
-class BrokerSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "broker"
+def recent_fills(orders: DataFrame) -> DataFrame:
+    return orders.where(F.lower("state").isin(*FILLED_STATES))
 
-    def schema(self) -> str:
-        return KINDS[self.options.get("kind", "positions")]
 
-    def reader(self, schema) -> DataSourceReader:
-        return BrokerReader(self.options.get("adapter"), self.options.get("kind", "positions"), self.options["path"])
+def read_yaml(spark: SparkSession, path: str) -> dict:
+    """A YAML file, found through Spark so that any store works."""
+    import yaml
 
+    return yaml.safe_load("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())) or {}
 
-def read_broker(spark: SparkSession, path: str, kind: str, adapter: str | None = None) -> DataFrame:
-    spark.dataSource.register(BrokerSource)
-    reader = spark.read.format("broker").option("path", path).option("kind", kind)
-    return (reader.option("adapter", adapter) if adapter else reader).load()
 
-
-def open_orders(orders: DataFrame) -> DataFrame:
-    return orders.where(F.lower("state").isin(*OPEN_STATES))
+def read_configured(spark: SparkSession, config_path: str) -> DataFrame:
+    """The table that a YAML file names: `format`, `path`, `options`, and `adapter_module`, a module whose data
+    sources are registered first so that `format` can be one of them."""
+    config = read_yaml(spark, config_path)
+    if config.get("adapter_module"):
+        for kind in vars(importlib.import_module(config["adapter_module"])).values():
+            if isinstance(kind, type) and issubclass(kind, DataSource) and kind is not DataSource:
+                spark.dataSource.register(kind)
+    reader = spark.read.format(config.get("format", "csv")).options(**(config.get("options") or {}))
+    reader = reader.schema(config["schema"]) if config.get("schema") else reader
+    return reader.load(config["path"]) if config.get("path") else reader.load()
 
 
-def recent_fills(orders: DataFrame) -> DataFrame:
-    return orders.where(F.lower("state").isin(*FILLED_STATES))
+def configured_brokers(spark: SparkSession, folder: str) -> DataFrame:
+    """The brokers that have a YAML file of their name in a folder, with what each can do and whether it is enabled
+    (not unless its file says so)."""
+    files = spark.read.option("pathGlobFilter", "*.yaml").option("wholetext", True).text(folder)
+    found = files.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.yaml$", 1).alias("adapter"), F.col("value").rlike(r"(?m)^enabled:\s*[Tt]rue\s*$").alias("enabled"))
+    return capabilities(spark).join(found, "adapter")

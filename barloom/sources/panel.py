@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom.errors import ValidationError
+
 REQUIRED = ("date", "symbol", "open", "high", "low", "close", "volume")
 NUMBERS = REQUIRED[2:]
 
@@ -17,7 +19,7 @@ def checked(df: DataFrame) -> DataFrame:
     """The panel with its types set: UTC dates without a zone, doubles, NaN as NULL. Further columns stay."""
     missing = sorted(set(REQUIRED) - set(df.columns))
     if missing:
-        raise ValueError(f"missing columns: {missing}")
+        raise ValidationError(f"missing columns: {missing}")
     typed = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in NUMBERS}
     return df.withColumns({"date": F.col("date").cast("timestamp").cast("timestamp_ntz")} | typed)
 

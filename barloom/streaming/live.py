@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.errors import ExecutionError
 from barloom.operators.services import STATES
 
 
@@ -31,7 +32,12 @@ def run_once(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over what its source holds now, into a Parquet sink with its own checkpoint, exactly
     once; both lie in the folder that spark.checkpoint.dir names, which all executors share."""
     spark = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "barloom-streams")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        # One machine sees all files of a local session; any other must name a shared folder.
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ExecutionError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = os.path.join(tempfile.gettempdir(), "barloom-streams")
     base = f"{shared.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
     q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
@@ -47,21 +53,23 @@ def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     at = state.get[0] if state.exists else -1
-    moves = pd.concat(frames).sort_values("ts")
+    moves = pd.concat(frames).sort_values("ts", kind="stable")
     rows = []
     for ts, name in zip(moves["ts"], moves["state"]):
         place = STATES.index(name) if name in STATES else -2
         legal = place == at + 1
         rows.append((key[0], ts, name, STATES[at] if at >= 0 else None, legal))
-        at = place if legal else at
-    if at == len(STATES) - 1:
-        state.remove()
-    else:
+        if legal:
+            at = place if place < len(STATES) - 1 else -1
+    if at >= 0:
         state.update((at,))
+    elif state.exists:
+        state.remove()
     yield pd.DataFrame(rows, columns=["order_id", "ts", "state", "previous", "legal"])
 
 
 def order_lifecycle(moves: DataFrame) -> DataFrame:
     """moves: order_id, ts, state. Each move with the state the order was in and whether it was legal; an
-    illegal one leaves the order where it was. An order's state is one number, dropped once acknowledged."""
+    illegal one leaves the order where it was. An acknowledged order's life is over: its state, one number, is
+    dropped, and a new life begins with its next first state, wherever the batches end."""
     return moves.groupBy("order_id").applyInPandasWithState(_advance, "order_id long, ts timestamp, state string, previous string, legal boolean", "at int", "append", "NoTimeout")

@@ -1,10 +1,12 @@
 import datetime as dt
+import json
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from barloom.functions import columns
 from barloom.operators import forecast, joins, regimes, services, sizing, volatility
 from barloom.plans.pipeline import MARKETS, Market, config_hash, export, run_pipeline
 from barloom.sources.panel import checked, generated_ohlcv, read_artifact, read_ohlcv, write_parquet
@@ -34,6 +36,19 @@ def test_folds_never_see_their_test_dates(spark):
     assert len(got) == 2 and all(r.train < r.test and r.n == 5 for r in got)
 
 
+def test_folds_are_generated_and_short_tails_dropped(spark):
+    data = rows(spark, [("a", day(k), float(k)) for k in range(23)], "symbol string, date timestamp_ntz, x double")
+    folds = joins.fold_rows(data, 10, 5)
+    assert "NestedLoop" not in plan_of(folds) and "Cartesian" not in plan_of(folds)
+    got = sorted((r.fold, r.rank, r.is_test) for r in folds.collect())
+    assert got == sorted((f, k, k >= 10 + 5 * f) for f in range(2) for k in range(15 + 5 * f))
+    assert joins.fold_rows(data, 20, 5).count() == 0 and joins.fold_rows(data.limit(0), 2, 1).count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lookback_is_calendar_days_both_ends_included(spark):
     data = rows(spark, [("a", day(k), 1.0) for k in (0, 1, 5, 6, 10)], "symbol string, date timestamp_ntz, x double")
     got = joins.lookback(data, 5, 4)
@@ -50,6 +65,22 @@ def test_vi_of_equal_maps_is_nearly_zero(spark):
 def test_density_labels_and_axes():
     x = np.array([[0.0, 0], [0.1, 0], [0.2, 0], [5, 5], [5.1, 5], [5.2, 5], [50, 50]])
     assert regimes.density_labels(x, 0.8, 3).tolist() == [0, 0, 0, 1, 1, 1, -1]
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        z = rng.normal(size=(rng.integers(1, 60), rng.integers(1, 4))) * rng.choice([0.5, 1, 2])
+        near = ((z[:, None] - z[None]) ** 2).sum(-1) <= 0.64
+        core, seen, want = near.sum(1) >= 3, set(), np.full(len(z), -1)
+        for first in np.flatnonzero(core):
+            front, label = [first], want.max() + 1
+            while front:
+                k = front.pop()
+                if k not in seen:
+                    seen.add(k)
+                    want[k] = label
+                    front += np.flatnonzero(near[k] & core).tolist()
+        got = regimes.density_labels(z, 0.8, 3, chunk=7)
+        assert (got[core] == want[core]).all()
+        assert all(got[k] in want[near[k] & core] if (near[k] & core).any() else got[k] == -1 for k in np.flatnonzero(~core))
     y = np.random.default_rng(0).normal(size=(40, 4)) @ np.diag([5, 1, 1, 1])
     assert abs(np.corrcoef(regimes.principal_axes(y, 1)[:, 0], y[:, 0])[0, 1]) > 0.98
     s = np.random.default_rng(1).uniform(-1, 1, (400, 2))
@@ -68,6 +99,53 @@ def test_ewma_closed_form_equals_recursion(spark):
     assert np.isnan(volatility.ewma_of(np.zeros(0), 0.94, 10)) and volatility.garch_of(x, 0.94, 10) > 0
 
 
+def test_garch_has_the_greatest_likelihood():
+    rng = np.random.default_rng(7)
+    for omega, alpha, beta in ((0.05, 0.1, 0.85), (0.2, 0.2, 0.5)):
+        r, v = np.zeros(3000), omega / (1 - alpha - beta)
+        for t in range(len(r)):
+            r[t] = np.sqrt(v) * rng.normal()
+            v = omega + alpha * r[t] ** 2 + beta * v
+
+        def loss(omega, alpha, beta):
+            weights = 0.94 ** np.arange(75)
+            v, out = (weights * r[:75] ** 2).sum() / weights.sum(), 0.0
+            for x in r**2:
+                out += np.log(v) + x / v
+                v = omega + alpha * x + beta * v
+            return out, v
+
+        o, a, b, after = volatility.garch_fit(r**2)
+        best, last = loss(o, a, b)
+        assert after == pytest.approx(last, rel=1e-9) and best <= loss(omega, alpha, beta)[0] + 1e-6
+        assert all(best <= loss(o * p, a * q, min(b * s, 0.9999 - a * q))[0] + 1e-3 for p, q, s in ((0.9, 1, 1), (1.1, 1, 1), (1, 0.9, 1), (1, 1.1, 1), (1, 1, 0.98), (1, 1, 1.02)))
+        assert abs(a - alpha) < 0.06 and abs(b - beta) < 0.15
+    flat = np.full(40, 0.01)
+    assert volatility.garch_of(flat, 0.94, 5) == pytest.approx(0.01, rel=0.05) and volatility.garch_of(np.zeros(40), 0.94, 5) == 0.0
+
+
+@pytest.mark.parametrize("model", ["ewma", "garch"])
+def test_cluster_volatility_against_plain_frames(spark, model):
+    rng = np.random.default_rng(2)
+    panel = [(f"s{s}", day(k), None if (s == 5 or k == 0) else float(rng.normal(0, 0.01 * (s + 1)))) for s in range(6) for k in range(60)]
+    members = [(day(on), f"s{s}", regime) for on in (40, 55, 300) for s, regime in ((0, 0), (1, 0), (2, 0), (3, 1), (5, 2), (9, 0))]
+    df, assigned = rows(spark, panel, "symbol string, date timestamp_ntz, log_return double"), rows(spark, members, "date timestamp_ntz, symbol string, regime int")
+    near = volatility.lookback_members(df, assigned.withColumnRenamed("date", "on"), 35)
+    assert "NestedLoop" not in plan_of(near)
+    got = {(r.date, r.symbol): (r.vol_forecast, r.regime) for r in volatility.cluster_volatility(df, assigned, 35, 5, model).collect()}
+    frame, want = pd.DataFrame(panel, columns=["symbol", "date", "x"]), {}
+    for (on, regime), g in pd.DataFrame(members, columns=["on", "symbol", "regime"]).groupby(["on", "regime"]):
+        sub = frame[(frame.date <= on) & (frame.date >= on - pd.Timedelta(days=35)) & frame.symbol.isin(g.symbol)]
+        wide = sub.pivot(index="date", columns="symbol", values="x").dropna(axis=1, how="all").fillna(0.0)
+        if wide.empty:
+            continue
+        x = wide.to_numpy() - wide.to_numpy().mean(0)
+        series = wide.to_numpy()[:, 0] if x.shape[1] == 1 else x @ np.linalg.svd(x, full_matrices=False)[2][0]
+        value = {"ewma": volatility.ewma_of, "garch": volatility.garch_of}[model](series, 0.94, 5)
+        want |= {(on.to_pydatetime(), s): (pytest.approx(value, rel=1e-9), regime) for s in g.symbol}
+    assert got == want and (day(40), "s9") in got and (day(40), "s5") not in got
+
+
 def test_models_learn_a_simple_target():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 3))
@@ -109,6 +187,56 @@ def test_performance_of_daily_returns(spark):
     assert sizing.performance(df.limit(0)).first().sharpe == 0.0
 
 
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 3, 7, 11, 400, 5000):
+        x, y = rng.normal(size=n), rng.integers(0, 4, n).astype(float)
+        df = rows(spark, [(float(a), float(b), None) for a, b in zip(x, y)] + [(None, float("nan"), None)], "x double, y double, z double").repartition(3)
+        got = columns.exact_quantiles(df, ["x", "y", "z"], (0.0, 0.25, 0.5, 0.9, 1.0)).first()
+        for values, found in ((x, got.q_x), (y, got.q_y)):
+            assert found == pytest.approx(np.quantile(values, (0.0, 0.25, 0.5, 0.9, 1.0)).tolist(), abs=1e-12)
+        assert got.q_z == [None] * 5
+
+
+def test_bracket_of_many_values(spark, monkeypatch):
+    """Brackets that hold a part of the values only."""
+    monkeypatch.setattr(columns, "BRACKET_ACCURACY", 200)
+    df = spark.range(40_000).select((F.pmod(F.col("id") * 7919, F.lit(40_000)) / 7).alias("x"))
+    assert columns.exact_quantiles(df, ["x"], (0.25, 0.5)).first().q_x == pytest.approx([39_999 * q / 7 for q in (0.25, 0.5)])
+
+
+def test_ranking_without_a_cap_and_with_reasons(spark):
+    p = rows(spark, [(0.01, 1), (-0.02, -1), (0.03, 0)], "target double, regime int")
+    v = rows(spark, [(0.002,), (0.004,)], "vol_forecast double")
+    got = services.rank_strategies(spark, "stocks", p, v, rows(spark, [(0.5,)], "vi double"), 0.0, 1).collect()
+    assert len(got) == 1 and got[0].strategy_id == "stocks_regime_momentum" and got[0].feasibility == 0.0
+    assert got[0].score == pytest.approx(0.4 + 0.2 / 1.5 + 0.1 * 2 / 3)
+    assert got[0].reasons == ["edge_bps=200.00", "stability=0.667", "execution_feasibility=0.000", "risk_profile=balanced"]
+    assert services.registry(spark).first().required_features == ["log_return", "regime", "vol_forecast"]
+
+
+def test_review_of_orders_that_were_not_executed(spark):
+    df = rows(spark, [("A", day(0), -0.05, 0.3), ("B", day(0), 0.01, -0.1)], "symbol string, date timestamp_ntz, realized_pnl double, position double")
+    got = services.review(df, df).first()
+    assert got.breached_checks == ["max_daily_loss_exceeded", "symbol_exposure_exceeded"] and got.n_orders == 2
+    assert got.worst_day == pytest.approx(-0.04) and got.max_exposure == pytest.approx(0.3)
+
+
+def test_range_of_crossed_prices(spark):
+    got = rows(spark, [(1.0, 4.0, 2.0)], "high double, low double, close double").select(columns.true_range(F.col("high"), F.col("low"), F.col("close")).alias("t"))
+    assert got.first().t == 3.0
+
+
+def test_requests_and_responses(spark):
+    request = '{"orders":[{"order_id":2,"symbol":"B","side":"SELL","size":0.1,"expected_edge_bps":50.0,"forecast_vol":0.01,"pofi":0.1},{"order_id":1,"symbol":"A","side":"BUY","size":0.5,"expected_edge_bps":1.0,"forecast_vol":0.01,"pofi":0.1}],"max_shortfall_bps":20.0}'
+    df = rows(spark, [("r1", request)], "id string, request string")
+    made = services.encode_decisions(services.decide(services.decode_requests(df)), "id").first()
+    decisions = json.loads(made.response)["decisions"]
+    assert [(d["order_id"], d["approve"], d["reason"], d["adjusted_size"]) for d in decisions] == [(1, False, "predicted_shortfall_exceeds_expected_edge", 0.0), (2, True, "ok", 0.1)]
+    with pytest.raises(Exception):
+        services.decode_requests(rows(spark, [("r1", "no json")], "id string, request string")).collect()
+
+
 def test_gross_exposure_of_zero_gives_no_positions(spark):
     df = rows(spark, [("a", day(k), 0.01, 0.0, 0.02) for k in range(3)], "symbol string, date timestamp_ntz, target double, prediction double, vol_forecast double")
     assert {r.position for r in sizing.build_orders(df, None).collect()} == {0.0}
@@ -154,7 +282,7 @@ def test_close_plan_and_registry(spark):
 def test_news_rows_and_equity_json(spark):
     html = '<table id="x"><tr><td>a</td><td>b</td></tr></table><table class="t" id="news-table"><tr><td>Jan-01 <b>09:00</b></td><td><a href="http://n/1">Up &amp; <i>away</i></a></td></tr><tr><td>one cell</td></tr></table>'
     got = services.news_rows(spark.createDataFrame([("AAPL", html), ("MSFT", "<p>none</p>"), ("X", None)], "ticker string, html string")).collect()
-    assert [(r.ticker, r.datetime_text, r.headline, r.url) for r in got] == [("AAPL", "Jan-01 09:00", "Up &amp; away", "http://n/1")]
+    assert [(r.ticker, r.datetime_text, r.headline, r.url) for r in got] == [("AAPL", "Jan-01 09:00", "Up & away", "http://n/1")]
     assert services.equity_rows(services.mock_equity(spark, 30)).count() == 30
 
 

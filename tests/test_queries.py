@@ -27,7 +27,7 @@ def test_query_equals_its_sql(spark, duck, sf_dir, name):
     assert canonical(got) == canonical(want)
 
 
-@pytest.mark.parametrize("name", ["order_payloads", "factor_volatility", "generated_panel"])
+@pytest.mark.parametrize("name", ["factor_volatility", "generated_panel"])
 def test_query_without_sql_runs(spark, sf_dir, name):
     assert Q.QUERIES[name](spark, sf_dir).count() > 0
 

@@ -2,6 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from barloom.operators.services import STATES
 from barloom.streaming.live import order_lifecycle, streamed_bars
 
 
@@ -28,3 +29,17 @@ def test_order_lifecycle(spark, tmp_path):
     df.write.parquet(str(tmp_path / "moves"))
     got = run_to_end(order_lifecycle(spark.readStream.schema(df.schema).parquet(str(tmp_path / "moves"))), "orders_live")
     assert [r.legal for r in got.orderBy("order_id", "ts").collect()] == [True, True, False, True, False]
+
+
+def test_second_life_of_an_order_wherever_batches_end(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    moves = [*STATES, "ACKED", *STATES[:2]]
+    df = spark.createDataFrame([(1, start + dt.timedelta(seconds=k), s) for k, s in enumerate(moves)], "order_id long, ts timestamp, state string").coalesce(1)
+    for name, files in (("one", 1), ("each", len(moves))):
+        path = str(tmp_path / name)
+        for k in range(files):
+            (df if files == 1 else df.where(F.second("ts") == k)).write.mode("append").parquet(path)
+        live = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        got = run_to_end(order_lifecycle(live), f"second_life_{name}").orderBy("ts").collect()
+        assert [r.legal for r in got] == [True] * 7 + [False, True, True]
+        assert [r.previous for r in got] == [None, *STATES[:6], None, None, "DRAFT"]
