@@ -542,7 +542,7 @@ def factor_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered()
 def walk_forward_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features.model_table(bars_features(spark, sf_dir), [1, 2, 5])
-    return walk_forward(rows, ["ret_lag_1", "ret_lag_2", "ret_lag_5", "realized_vol", "dollar_volume"], 100, 50, trees=30)
+    return walk_forward(rows, ["ret_lag_1", "ret_lag_2", "ret_lag_5", "realized_vol", "dollar_volume"], 100, 50)
 
 
 @registered()
