@@ -14,7 +14,8 @@ from barloom.operators import features, joins, regimes, services, sizing, volati
 from barloom.operators.forecast import walk_forward
 from barloom.plans.pipeline import MARKETS, run_pipeline
 from barloom.streaming import live
-from barloom.sources.panel import generated_ohlcv, hourly_bars, table, user_days, weekly_bars
+from barloom.sources import artifacts
+from barloom.sources.panel import generated_ohlcv, hourly_bars, read_ohlcv, table, user_days, weekly_bars
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -202,17 +203,18 @@ def folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("fold", "is_test").agg(F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.max("close").alias("top"))
 
 
-@registered(
-    f"""WITH {BARS}, {STAND_IN}, ds AS (SELECT date, lag(date) OVER (ORDER BY date) AS prev_date FROM (SELECT DISTINCT date FROM reg)),
+VI = f"""ds AS (SELECT date, lag(date) OVER (ORDER BY date) AS prev_date FROM (SELECT DISTINCT date FROM reg)),
 c AS (SELECT n.date, ds.prev_date, n.regime AS x, o.regime AS y, count(*) AS n FROM reg n JOIN ds ON n.date = ds.date JOIN reg o ON o.date = ds.prev_date AND o.symbol = n.symbol GROUP BY 1, 2, 3, 4),
 t AS (SELECT date, prev_date, x, y, n::DOUBLE / sum(n) OVER (PARTITION BY date) AS p, sum(n) OVER (PARTITION BY date) AS total FROM c),
 hx AS (SELECT date, -sum(p * ln(p + 1e-12)) AS h FROM (SELECT date, x, sum(p) AS p FROM t GROUP BY 1, 2) GROUP BY 1),
 hy AS (SELECT date, -sum(p * ln(p + 1e-12)) AS h FROM (SELECT date, y, sum(p) AS p FROM t GROUP BY 1, 2) GROUP BY 1),
 ex AS (SELECT date, -sum(p * ln(p)) AS h FROM (SELECT date, x, sum(p) AS p FROM t GROUP BY 1, 2) GROUP BY 1),
 ey AS (SELECT date, -sum(p * ln(p)) AS h FROM (SELECT date, y, sum(p) AS p FROM t GROUP BY 1, 2) GROUP BY 1),
-exy AS (SELECT date, prev_date, CAST(max(total) AS INTEGER) AS n_overlap, -sum(p * ln(p)) AS h FROM t GROUP BY 1, 2)
-SELECT exy.date, prev_date, n_overlap, {s6("hx.h + hy.h - 2 * (ex.h + ey.h - exy.h)")} AS vi FROM exy JOIN hx USING (date) JOIN hy USING (date) JOIN ex USING (date) JOIN ey USING (date)"""
-)
+exy AS (SELECT date, prev_date, CAST(max(total) AS INTEGER) AS n_overlap, -sum(p * ln(p)) AS h FROM t GROUP BY 1, 2),
+vis AS (SELECT exy.date, prev_date, n_overlap, hx.h + hy.h - 2 * (ex.h + ey.h - exy.h) AS vi FROM exy JOIN hx USING (date) JOIN hy USING (date) JOIN ex USING (date) JOIN ey USING (date))"""
+
+
+@registered(f"WITH {BARS}, {STAND_IN}, {VI} SELECT date, prev_date, n_overlap, {s6('vi')} AS vi FROM vis")
 def variation_of_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(regimes.variation_of_information(stand_in_regimes(hourly_bars(spark, sf_dir))), ("date", "prev_date", "n_overlap"), ("vi",))
 
@@ -225,10 +227,8 @@ def ewma_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(volatility.ewma_vol(bars_features(spark, sf_dir), 0.94, 10), ("symbol",), ("vol_forecast",))
 
 
-PREDICTED = (
-    FEATURES
-    + """, pred AS (SELECT symbol, date, next_return AS target, avg(log_return) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS prediction, realized_vol AS vol_forecast FROM feats),
-pv AS (SELECT * FROM pred WHERE target IS NOT NULL AND prediction IS NOT NULL AND vol_forecast IS NOT NULL),
+#: From predictions with a volatility (pv) to orders.
+CHAIN = """,
 z AS (SELECT *, coalesce(CASE WHEN count(prediction) OVER w >= 5 THEN (prediction - avg(prediction) OVER w) / (stddev_samp(prediction) OVER w + 1e-9) END, 0e0) AS signal_z FROM pv
  WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
 g AS (SELECT *, quantile_cont(vol_forecast, 0.75) OVER (PARTITION BY date) AS date_vol_gate FROM z),
@@ -236,6 +236,11 @@ a AS (SELECT *, vol_forecast <= date_vol_gate AS trade_allowed, CASE WHEN vol_fo
 s AS (SELECT *, sum(abs(raw_weight)) OVER (PARTITION BY date) AS gross FROM a),
 o AS (SELECT *, greatest(-0.08e0, least(0.08e0, CASE WHEN gross > 0 THEN raw_weight / gross * 0.5e0 ELSE 0e0 END)) AS position FROM s),
 ord AS (SELECT *, prediction * 10000e0 AS expected_edge_bps, position * target AS realized_pnl FROM o)"""
+PREDICTED = (
+    FEATURES
+    + """, pred AS (SELECT symbol, date, next_return AS target, avg(log_return) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS prediction, realized_vol AS vol_forecast FROM feats),
+pv AS (SELECT * FROM pred WHERE target IS NOT NULL AND prediction IS NOT NULL AND vol_forecast IS NOT NULL)"""
+    + CHAIN
 )
 
 
@@ -648,3 +653,57 @@ def sellable(spark: SparkSession, sf_dir: str) -> DataFrame:
     # 25 nations for each segment.
     wanted = segments.crossJoin(F.broadcast(nation.select(F.concat(F.lower("n_name"), F.lit("usd")).alias("symbol"))))
     return services.sellable(balances, wanted)
+
+
+@registered(
+    "WITH "
+    + FEATURES
+    + """, vols AS (SELECT symbol, date, realized_vol AS vol_forecast FROM feats WHERE realized_vol IS NOT NULL AND hour(date) % 3 = 0),
+pred AS (SELECT symbol, date, next_return AS target, avg(log_return) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS prediction FROM feats),
+known AS (SELECT * FROM pred WHERE target IS NOT NULL AND prediction IS NOT NULL),
+own AS (SELECT *, coalesce(CASE WHEN count(target) OVER w >= 5 THEN stddev_samp(target) OVER w END, 0.01e0) AS own FROM known WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+pv AS (SELECT own.symbol, own.date, target, prediction, coalesce(vols.vol_forecast, own) AS vol_forecast FROM own LEFT JOIN vols ON own.symbol = vols.symbol AND own.date = vols.date)"""
+    + CHAIN
+    + f" SELECT symbol, date, trade_allowed, {', '.join(f'{s6(c)} AS {c}' for c in ('vol_forecast', 'signal_z', 'position', 'realized_pnl'))} FROM ord"
+)
+def orders_with_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose volatility is joined by date and symbol; where there is none, each symbol's own deviation counts."""
+    df = bars_features(spark, sf_dir)
+    vol = df.where("realized_vol is not null").where(F.hour("date") % 3 == 0).select("symbol", "date", F.col("realized_vol").alias("vol_forecast"), F.lit(0).alias("regime"))
+    predictions = df.select("symbol", "date", F.col("next_return").alias("target"), F.avg("log_return").over(by_symbol().rowsBetween(-2, 0)).alias("prediction")).na.drop()
+    return rounded(sizing.build_orders(predictions, vol, z_window=20), ("symbol", "date", "trade_allowed"), ("vol_forecast", "signal_z", "position", "realized_pnl"))
+
+
+@registered(
+    f"""WITH {FEATURES}, {STAND_IN}, {VI}, pr AS (SELECT symbol, date, next_return AS target FROM feats WHERE next_return IS NOT NULL),
+j AS (SELECT p.*, coalesce(r.regime, -1) AS regime FROM pr p ASOF LEFT JOIN reg r ON p.symbol = r.symbol AND p.date >= r.date),
+fig AS (SELECT (SELECT median(abs(target)) * 10000e0 FROM j) AS edge, (SELECT median(realized_vol) FROM feats) AS vol, (SELECT avg(vi) FROM vis) AS vi, (SELECT avg(CASE WHEN regime >= 0 THEN 1e0 ELSE 0e0 END) FROM j) AS support),
+k AS (SELECT least(edge / 18e0, 1e0) AS edge, 1e0 / (1 + greatest(vi, 0e0)) AS stability, greatest(0e0, 1 - least(vol * 5000e0 / 18e0, 1e0)) AS feas, support FROM fig)
+SELECT 'crypto_24x7_trend' AS strategy_id, {s6("(edge * 0.4e0 + stability * 0.2e0 + feas * 0.3e0 + support * 0.1e0) * 1.15e0")} AS score, {s6("stability")} AS stability, {s6("feas")} AS feasibility FROM k"""
+)
+def rank_with_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best suggestion, with the share of known regimes and the mean variation of information counted in."""
+    df = bars_features(spark, sf_dir)
+    assigned = stand_in_regimes(df)
+    predictions = regimes.attach_regime(df.where("next_return is not null").select("symbol", "date", F.col("next_return").alias("target")), assigned)
+    vol = df.select(F.col("realized_vol").alias("vol_forecast"))
+    best = services.rank_strategies(spark, "crypto", predictions, vol, regimes.variation_of_information(assigned), 18.0, 1)
+    return rounded(best, ("strategy_id",), ("score", "stability", "feasibility"))
+
+
+@registered(f"WITH {BARS} SELECT symbol, date, {', '.join(f'{s6(c)} AS {c}' for c in ('open', 'high', 'low', 'close', 'volume'))} FROM bars")
+def bars_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars written as CSV with a header and read again, types and dates restored."""
+    path = live.scratch(spark, "bars")
+    hourly_bars(spark, sf_dir).withColumn("date", F.date_format("date", "yyyy-MM-dd HH:mm:ss")).write.option("header", True).csv(path)
+    return rounded(read_ohlcv(spark, path), ("symbol", "date"), ("open", "high", "low", "close", "volume"))
+
+
+@registered("SELECT DISTINCT CAST(user_id AS VARCHAR) AS run_id FROM events WHERE event_id % 5 = 0 AND event_id % 2 = 0")
+def terminated_from_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terminated runs of an audit log of JSON lines: live terminations only."""
+    path = live.scratch(spark, "audit")
+    e = table(spark, sf_dir, "events")
+    action = F.when(F.col("event_id") % 5 == 0, "terminate_strategy_run").otherwise("submit_order")
+    artifacts.append_audit(e.select(F.col("ts").cast("string").alias("timestamp_utc"), action.alias("action"), F.col("user_id").cast("string").alias("run_id"), F.when(F.col("event_id") % 2 == 0, "live").otherwise("dry_run").alias("detail")), path)
+    return artifacts.terminated_runs(spark, path)

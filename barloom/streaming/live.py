@@ -28,17 +28,21 @@ def streamed_sessions(ticks: DataFrame, gap: str = "30 minutes", late: str = "1
     return made.select("symbol", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n", "total")
 
 
-def run_once(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over what its source holds now, into a Parquet sink with its own checkpoint, exactly
-    once; both lie in the folder that spark.checkpoint.dir names, which all executors share."""
-    spark = stream.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names, which all executors share. Where that is unset, a
+    local session, whose one machine sees all its files, uses a temporary folder; any other must set it."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        # One machine sees all files of a local session; any other must name a shared folder.
         if spark.sparkContext.master.partition("[")[0] != "local":
             raise ExecutionError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = os.path.join(tempfile.gettempdir(), "barloom-streams")
-    base = f"{shared.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def run_once(stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream over what its source holds now, into a Parquet sink with its own checkpoint, exactly once."""
+    spark = stream.sparkSession
+    base = scratch(spark, f"stream-{name}")
     q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
