@@ -6,8 +6,11 @@ edits. It is cut into k + 1 pieces; an occurrence with at most k edits leaves on
 exact piece hits (an Aho-Corasick automaton over all pieces) miss nothing. Around each hit, Myers'
 bit-parallel algorithm gives the least edit distance of the item to any stretch of the document.
 
-Documents are read in place and never shuffled. Items are sent to the tasks in blocks of about
-BLOCK_CHARS characters; a larger benchmark is matched block after block, each over all documents.
+Up to FEW_BLOCKS blocks of items, of about BLOCK_CHARS characters each, are sent to the tasks, and documents are
+read in place, once for each block, and never shuffled. A larger benchmark is dealt out by piece: a bit array of
+fixed size, which marks the pieces' first GRAM characters, is all that is sent; documents' stretches that it marks
+are joined with the pieces, and the pairs found so are verified, each text once whatever the number of its copies.
+Both ways give the same rows.
 
 Defined results: null and empty texts match nothing; an item of fewer than LEAST_ITEM normal
 characters matches without edits and between word bounds only (any place beside a sign of a script
@@ -24,16 +27,23 @@ import uuid
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.shared import texts_of
+from barloom.llm import text_hash
+from barloom.llm.shared import cut_lineage, texts_of
 
 ERROR_RATE = 0.05
 LEAST_PIECE = 16
 LEAST_ITEM = 20
 BLOCK_CHARS = 4_000_000
+FEW_BLOCKS = 8
+#: Every piece of an item of LEAST_ITEM characters or more has GRAM characters at least.
+GRAM = 16
+#: Bits of the array that marks them (16 MB).
+MARK_BITS = 1 << 27
 
 _SIGNS = re.compile(r"[\W_]+")
 #: Signs of scripts without spaces: Thai, Lao, Burmese, Khmer, kana, Han.
@@ -180,42 +190,143 @@ def _matcher(name: str, items) -> Matcher:
     return _ready[name]
 
 
-def benchmark_blocks(benchmark: DataFrame) -> Iterator[tuple[str, object]]:
-    """(name, broadcast items) of each block; a block holds about BLOCK_CHARS characters."""
-    spark = benchmark.sparkSession
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    chars = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    n = chars // BLOCK_CHARS + 1
+def items_of(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def block_count(items: DataFrame) -> int:
+    return (items.agg(F.sum(F.char_length("text"))).first()[0] or 0) // BLOCK_CHARS + 1
+
+
+def benchmark_blocks(rows: DataFrame, n: int) -> Iterator[tuple[str, object]]:
+    """(name, broadcast items) of each of n blocks."""
     for k in range(n):
         block = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).toArrow()
         items = [(i, normal(t)) for i, t in zip(block["item_id"].to_pylist(), block["text"].to_pylist())]
         items.sort(key=lambda item: (item[0] is None, item[0] or 0, item[1]))
-        held = spark.sparkContext.broadcast(items)
+        held = rows.sparkSession.sparkContext.broadcast(items)
         yield uuid.uuid4().hex, held
 
 
+def gram_hashes(text: str) -> Iterator[np.ndarray]:
+    """Hashes of all stretches of GRAM characters, some hundred thousand at a time."""
+    signs = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    for first in range(0, len(signs) - GRAM + 1, 1 << 18):
+        part = signs[first : first + (1 << 18) + GRAM - 1].astype(np.uint64)
+        value = np.zeros(len(part) - GRAM + 1, np.uint64)
+        for k in range(GRAM):
+            value = value * np.uint64(0x9E3779B97F4A7C15) + part[k : k + len(value)]
+        yield text_hash.mix(value)
+
+
+def _normal_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([normal(t.as_py()) for t in batch.column(1)], pa.string())], names=["item_id", "text"])
+
+
+def _piece_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item_key, gram) of the first GRAM characters of each piece."""
+    for batch in batches:
+        rows = [(key, int(next(gram_hashes(piece[:GRAM]))[0])) for key, item in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for _, piece in pieces(item)]
+        keys, grams = zip(*rows) if rows else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.array(grams, np.uint64).view(np.int64))], names=["item_key", "gram"])
+
+
+def _marked_grams(marks):
+    """(body, gram) of each text's stretches that the array marks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = marks.value
+        for batch in batches:
+            for body, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = []
+                for value in gram_hashes(normal(text.as_py())):
+                    at = value % np.uint64(MARK_BITS)
+                    found.append(np.unique(value[(bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1]))
+                grams = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+                if len(grams):
+                    yield pa.RecordBatch.from_arrays([pa.array([body] * len(grams), pa.string()), pa.array(grams.view(np.int64))], names=["body", "gram"])
+
+    return run
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(body, item_id, item, text) to (body, and what hits() gives)."""
+    for batch in batches:
+        rows = [
+            (body, *hit) for body, i, item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)) for hit in Matcher([(i, item)]).hits(normal(text.as_py()))
+        ]
+        cols = list(zip(*rows)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["body", "item_id", "distance", "span_start", "span_end"])
+
+
+def _body(text: Column) -> Column:
+    return F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256)
+
+
+def hits_by_piece(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """texts: text, with repeats. (body, item_id, distance, span_start, span_end) of each text, by its hash, and item
+    that occurs in it."""
+    spark = items.sparkSession
+    known = cut_lineage(items.mapInArrow(_normal_items, "item_id long, text string").where("text <> ''").withColumn("item_key", F.monotonically_increasing_id()))
+    longer = known.where(F.char_length("text") >= LEAST_ITEM)
+    short = known.where(F.char_length("text") < LEAST_ITEM).select("item_id", "text")
+    grams = cut_lineage(longer.select("item_key", "text").mapInArrow(_piece_grams, "item_key long, gram long"))
+    # hash % MARK_BITS, of the hash as it is without a sign: its low bits. At most MARK_BITS / 64 rows.
+    bit = F.col("gram").bitwiseAND(F.lit(MARK_BITS - 1))
+    words = grams.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(gram & 63 as int))")).alias("bits")).toArrow()
+    marks = np.zeros(MARK_BITS >> 6, np.uint64)
+    marks[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    bodies = cut_lineage(texts.select(_body(F.col("text")).alias("body"), F.coalesce("text", F.lit("")).alias("text")).distinct())
+    marked = bodies.mapInArrow(_marked_grams(spark.sparkContext.broadcast(marks)), "body string, gram long")
+    pairs = marked.join(grams, "gram").select("body", "item_key").distinct()
+    whole = pairs.join(longer.select("item_key", "item_id", F.col("text").alias("item")), "item_key").join(bodies, "body").select("body", "item_id", "item", "text")
+    out = whole.mapInArrow(_verified, "body string, item_id long, distance int, span_start int, span_end int")
+    if not short.isEmpty():
+        for name, held in benchmark_blocks(short, block_count(short)):
+            out = out.unionByName(bodies.mapInArrow(_hits_in_place(name, held, pa.string()), "body string, " + HITS.split(", ", 1)[1]))
+    return cut_lineage(out)
+
+
+def _hits_in_place(name: str, items, key: pa.DataType):
+    """(key, text) to (key, and what hits() gives) for the items of one block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = _matcher(name, items)
+        for batch in batches:
+            rows = [(i, *hit) for i, t in zip(batch.column(0).to_pylist(), batch.column(1)) for hit in matcher.hits(normal(t.as_py()))]
+            cols = list(zip(*rows)) or [[]] * 5
+            kinds = [key, pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[batch.schema.names[0], "item_id", "distance", "span_start", "span_end"])
+
+    return run
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document row and item that occurs in it: doc_id, item_id, distance, span_start, span_end."""
-    texts = texts_of(docs)
+    texts, items = texts_of(docs), items_of(benchmark)
+    n = block_count(items)
+    if n > FEW_BLOCKS:
+        found = hits_by_piece(texts, items)
+        rows = texts.select("doc_id", _body(F.col("text")).alias("body"))
+        return rows.join(found, "body").select("doc_id", "item_id", "distance", "span_start", "span_end")
     out = None
-    for name, items in benchmark_blocks(benchmark):
-
-        def run(batches: Iterator[pa.RecordBatch], name=name, items=items) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(name, items)
-            for batch in batches:
-                rows = [(i, *hit) for i, t in zip(batch.column(0).to_pylist(), batch.column(1)) for hit in matcher.hits(normal(t.as_py()))]
-                cols = list(zip(*rows)) or [[]] * 5
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "distance", "span_start", "span_end"])
-
-        found = texts.mapInArrow(run, HITS)
+    for name, held in benchmark_blocks(items, n):
+        found = texts.mapInArrow(_hits_in_place(name, held, pa.int64()), HITS)
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """docs, all columns, without the rows in which a test item occurs."""
-    for name, items in benchmark_blocks(benchmark):
+    items = items_of(benchmark)
+    n = block_count(items)
+    if n > FEW_BLOCKS:
+        leaky = hits_by_piece(docs.select(F.col(text_col).alias("text")), items).select("body").distinct()
+        # The rows travel as one struct, so that no column's name can clash.
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _body(F.col(text_col)).alias("body"))
+        return rows.join(leaky, "body", "left_anti").select("row.*")
+    for name, items in benchmark_blocks(items, n):
         at = docs.columns.index(text_col)
 
         def run(batches: Iterator[pa.RecordBatch], name=name, items=items, at=at) -> Iterator[pa.RecordBatch]:
