@@ -24,19 +24,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = both.groupBy("id").agg(F.min(rank).alias("low"))
         mine = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("to"))
         up = cut_lineage(low.select("id", F.least("low", mine)["to"].alias("up")))
-        twice = up.join(up.select(F.col("id").alias("up"), F.col("up").alias("top")), "up").select("id", F.col("top").alias("up"))
+        # Merge joins: Spark splits a hub's side of one, and of no other.
+        twice = up.hint("merge").join(up.select(F.col("id").alias("up"), F.col("up").alias("top")), "up").select("id", F.col("top").alias("up"))
         if labels is None:
             moved = twice.select("id", F.col("up").alias("root"))
         else:
-            moved = labels.join(twice.withColumnRenamed("id", "root"), "root", "left").select("id", F.coalesce("up", "root").alias("root"))
+            moved = labels.hint("merge").join(twice.withColumnRenamed("id", "root"), "root", "left").select("id", F.coalesce("up", "root").alias("root"))
         old, labels = labels, cut_lineage(moved)
         ends_a = twice.select(F.col("id").alias("a"), F.col("up").alias("up_a"))
         ends_b = twice.select(F.col("id").alias("b"), F.col("up").alias("up_b"))
-        merged = edges.join(ends_a, "a").join(ends_b, "b").where("up_a <> up_b")
+        merged = edges.hint("merge").join(ends_a, "a").hint("merge").join(ends_b, "b").where("up_a <> up_b")
         before, edges = edges, cut_lineage(merged.select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct())
         forget(old, up, before)
         if edges.isEmpty():
-            smallest = labels.groupBy("root").agg(F.min("id").alias("component"))
-            out = cut_lineage(labels.join(smallest, "root").select("id", "component"))
-            forget(edges, labels)
+            smallest = cut_lineage(labels.groupBy("root").agg(F.min("id").alias("component")))
+            out = cut_lineage(labels.hint("merge").join(smallest, "root").select("id", "component"))
+            forget(edges, labels, smallest)
             return out

@@ -31,12 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import text_hash
 from barloom.llm.components import connected_components
-from barloom.llm.shared import cut_lineage, partitions_for, texts_of
+from barloom.llm.shared import cut_lineage, forget, partitions_for, texts_of
 
 WIDTH = 5
 PERCENT = 75
@@ -50,14 +51,16 @@ MOST_MATCHES = 8
 SHORT_LIST = 5
 BUCKET_POSTINGS = 400_000
 SALT_POSTINGS = 2048
-#: Documents in a block of those that share long lists.
-BLOCK_DOCS = 2048
-#: Postings in open lists for each task that counts them.
+#: Bounds on the postings in a block of documents that share long lists; no document has more than its prefix.
+LEAST_BLOCK_POSTINGS, MOST_BLOCK_POSTINGS = 512, 32_768
+#: Postings for each task that counts shared lists.
 DEAL_ROWS = 20_000
 #: Tokens held before they are counted, and rows of counts kept of each such lot, in one task.
 LOT = 1 << 21
 LOT_KEEPS = 1 << 15
-FLUSH = 1 << 20
+#: Text of pairs that are verified together.
+VERIFY_BYTES = 1 << 21
+FLUSH = 1 << 19
 
 _PROFILE = "doc_id long, k1 long, k2 long, n int, token long, df long"
 _POSTINGS = "bucket int, token binary, doc binary, mark binary"
@@ -260,9 +263,12 @@ def _bucket_pairs(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, text_a, text_b) to (a, b) where 100 * intersection >= PERCENT * union."""
     for batch in batches:
-        rows = batch.num_rows
-        for k in range(0, rows, 256):
-            part = batch.slice(k, min(256, rows - k))
+        size = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 3))
+        so_far, k, rows = np.concatenate([[0], np.cumsum(size)]), 0, batch.num_rows
+        while k < rows:
+            # Pairs of about VERIFY_BYTES of text at once; a longer pair stands alone.
+            at, k = k, min(k + 256, max(k + 1, int(np.searchsorted(so_far, so_far[k] + VERIFY_BYTES, "right")) - 1))
+            part = batch.slice(at, k - at)
             sides = [[], []]
             for side, column in zip(sides, (part.column(2), part.column(3))):
                 for _, _, h, off in text_hash.shingle_sets(column, WIDTH):
@@ -314,30 +320,52 @@ def can_link(x: str, y: str) -> Column:
 def reachable(lists: DataFrame) -> DataFrame:
     """The postings of documents that can still reach the tokens that a link takes: at least the smaller l of
     the two, among documents of about their size in one of their lists. Lists of one document go as well."""
+    # Sums are written down before they are joined: Spark splits a hot list's or document's side of a join only
+    # where both sides come straight from a shuffle.
     band = F.floor(F.col("size") / SIZE_STEPS)
-    least = lists.select("list", F.explode(F.array(band - 1, band, band + 1)).alias("band"), "l").groupBy("list", "band").agg(F.min("l").alias("least"))
+    least = cut_lineage(lists.select("list", F.explode(F.array(band - 1, band, band + 1)).alias("band"), "l").groupBy("list", "band").agg(F.min("l").alias("least")))
     able = lists.withColumn("band", band).join(least, ["list", "band"]).groupBy("rep").agg(F.count("*").alias("reach"), F.min("l").alias("l"), F.min("least").alias("least"))
-    kept = lists.join(able.where(F.col("reach") >= F.least("l", "least")).select("rep"), "rep", "left_semi")
-    return kept.join(kept.groupBy("list").count().where("count > 1").select("list"), "list", "left_semi")
+    able = cut_lineage(able.where(F.col("reach") >= F.least("l", "least")).select("rep"))
+    kept = cut_lineage(lists.join(able, "rep", "left_semi"))
+    several = cut_lineage(kept.groupBy("list").count().where("count > 1").select("list"))
+    out = cut_lineage(kept.join(several, "list", "left_semi"))
+    forget(least, able, kept, several)
+    return out
 
 
 def across_components(lists: DataFrame) -> DataFrame:
     """Pairs (a, b) of documents in different components that share enough of the open lists.
 
-    Documents are dealt into blocks of about BLOCK_DOCS by their smallest list, so that those with the same
-    lists come together; two blocks that meet in a list are compared in one task, which counts the shared
-    lists of all their pairs in a matrix. A list goes to as many tasks as it has pairs of blocks, not of
-    documents."""
-    lists = cut_lineage(reachable(lists))
-    anchors = lists.groupBy("rep").agg(F.min("list").alias("anchor"))
-    sizes = anchors.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK_DOCS).alias("pieces"))
-    blocks = anchors.join(sizes, "anchor").select("rep", F.xxhash64("anchor", F.pmod(F.xxhash64("rep"), F.col("pieces"))).alias("own"))
-    dealt = cut_lineage(lists.join(blocks, "rep"))
-    meets = dealt.select("list", F.col("own").alias("other")).distinct()
+    Documents are dealt into blocks of about equal numbers of postings: those of a component that fills a
+    block into blocks of that component alone, all others by their smallest list, so that those with the
+    same lists come together. Two blocks that meet in a list are compared in one task, which counts the
+    shared lists of all their pairs in a matrix; blocks of one and the same component need no comparison. A
+    list goes to as many tasks as it has pairs of blocks, not of documents."""
+    lists = reachable(lists)
+    block = block_postings(lists.count(), partitions_for(lists))
+    docs = cut_lineage(lists.groupBy("rep", "component").agg(F.min("list").alias("anchor"), F.count("*").alias("weight")))
+    large = cut_lineage(docs.groupBy("component").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= block).select("component", F.col("component").alias("solo")))
+    key = F.when(F.col("solo").isNull(), F.xxhash64(F.lit("list"), "anchor")).otherwise(F.xxhash64(F.lit("component"), "solo"))
+    keyed = cut_lineage(docs.join(large, "component", "left").select("rep", "solo", "weight", key.alias("key")))
+    pieces = cut_lineage(keyed.groupBy("key").agg(F.ceil(F.sum("weight") / block).alias("pieces")))
+    own = F.xxhash64("key", F.pmod(F.xxhash64("rep"), F.col("pieces")))
+    dealt = cut_lineage(lists.join(keyed.join(pieces, "key").select("rep", "solo", own.alias("own")), "rep"))
+    meets = cut_lineage(dealt.select("list", F.col("own").alias("other"), F.col("solo").alias("other_solo")).distinct())
+    rows_out = dealt.groupBy("list").agg((F.count("*") * F.count_distinct("own")).alias("n")).agg(F.sum("n")).first()[0] or 0
+    # Several groups a task, so that pairs of blocks spread evenly over the tasks.
+    groups = max(8 * partitions_for(lists), rows_out // DEAL_ROWS)
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    rows = dealt.join(meets, "list").select("list", "rep", "component", "n", "lone", "level", "l", "size", "own", low.alias("low"), high.alias("high"))
-    groups = max(partitions_for(lists), dealt.count() // DEAL_ROWS)
-    return rows.groupBy(F.pmod(F.xxhash64("low", "high"), F.lit(groups)).alias("deal")).applyInArrow(_count_dealt, "a long, b long")
+    met = dealt.join(meets, "list").where(F.col("solo").isNull() | F.col("other_solo").isNull() | (F.col("solo") != F.col("other_solo")))
+    rows = met.select("list", "rep", "component", "n", "lone", "level", "l", "size", "own", low.alias("low"), high.alias("high"))
+    found = cut_lineage(rows.groupBy(F.pmod(F.xxhash64("low", "high"), F.lit(groups)).alias("deal")).applyInArrow(_count_dealt, "a long, b long"))
+    forget(lists, docs, large, keyed, pieces, dealt, meets)
+    return found
+
+
+def block_postings(postings: int, tasks: int) -> int:
+    """Postings in a block: few enough that hot lists make several pairs of blocks for each task, within bounds
+    that keep a pair's matrix and its postings small."""
+    return int(min(MOST_BLOCK_POSTINGS, max(LEAST_BLOCK_POSTINGS, postings / (32 * tasks) ** 0.5)))
 
 
 def _count_dealt(group: pa.Table) -> pa.Table:
@@ -359,20 +387,27 @@ def _count_shared(column: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray
     place = np.zeros(len(reps), np.int64)
     for side in sides:
         place[side] = np.arange(len(side))
-    counts = np.zeros((len(sides[0]), len(sides[1])), np.int32)
-    left, level, l = column["own"] == low, column["level"], of["l"]
-    cuts = np.append(np.flatnonzero(np.concatenate([[True], column["list"][1:] != column["list"][:-1]])), len(at))
-    for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        if low == high:
-            u = v = np.arange(begin, end)
+    width, level, l = len(sides[1]), column["level"], of["l"]
+    counts = np.zeros(len(sides[0]) * width, np.int32)
+    left, right = (np.flatnonzero(column["own"] == side) for side in (low, high))
+    # Of each left posting, the right ones of its list; taken together in lots.
+    begin, end = (np.searchsorted(column["list"][right], column["list"][left], side) for side in ("left", "right"))
+    mates = np.concatenate([[0], np.cumsum(end - begin)])
+    k = 0
+    while k < len(left):
+        j = max(k + 1, int(np.searchsorted(mates, mates[k] + LOT, "right")) - 1)
+        many = end[k:j] - begin[k:j]
+        u = np.repeat(left[k:j], many)
+        v = right[np.arange(mates[j] - mates[k]) + np.repeat(begin[k:j] - mates[k:j] + mates[k], many)]
+        shared = np.maximum(level[u], level[v]) <= np.minimum(l[at[u]], l[at[v]])
+        cell = place[at[u[shared]]] * width + place[at[v[shared]]]
+        if len(cell) * 8 > len(counts):
+            counts += np.bincount(cell, minlength=len(counts)).astype(np.int32)
         else:
-            inside = left[begin:end]
-            u, v = begin + np.flatnonzero(inside), begin + np.flatnonzero(~inside)
-        if len(u) and len(v):
-            shared = np.maximum.outer(level[u], level[v]) <= np.minimum.outer(l[at[u]], l[at[v]])
-            counts[place[at[u]][:, None], place[at[v]]] += shared
-    i, j = np.nonzero(counts)
-    x, y, hits = sides[0][i], sides[1][j], counts[i, j]
+            np.add.at(counts, cell, 1)
+        k = j
+    i, j = np.divmod(np.flatnonzero(counts), max(width, 1))
+    x, y, hits = sides[0][i], sides[1][j], counts[i * width + j]
     n, lone, l = of["n"], of["lone"], np.minimum(of["l"][x], of["l"][y])
     # As in can_link().
     overlap = np.minimum(n[x] - np.where(n[x] >= n[y], lone[x], 0), n[y] - np.where(n[y] >= n[x], lone[y], 0))
@@ -421,20 +456,27 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         F.col("a").alias("list"), F.col("b").alias("doc"), (F.col("need") / 16).cast("int").alias("level"), (F.col("need") % 16).alias("l"), (F.col("hits") / 128).cast("int").alias("size"), (F.col("hits") % 128).alias("share")
     )
     lists = lists.join(own.withColumnRenamed("doc_id", "doc"), "doc").groupBy("list", "rep", "n").agg(F.min("lone").alias("lone"), *[F.min(c).alias(c) for c in ("level", "l", "size", "share")])
-    known = lists.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    several = known.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("list")
+    known = cut_lineage(lists.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    several = cut_lineage(known.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("list"))
     lists = cut_lineage(known.join(several, "list", "left_semi"))
+    forget(known, several)
     # Tokens of short lists, or of a long list's central document, count as well.
     some = pairs.where("hits < need")
     for side in "ab":
         some = some.join(lists.groupBy(F.col("rep").alias(side)).agg(F.min("component").alias(f"component_{side}")), side)
-    more = across_components(lists).unionByName(some.where("component_a <> component_b").select("a", "b")).distinct()
+    across = across_components(lists)
+    more = across.unionByName(some.where("component_a <> component_b").select("a", "b")).distinct()
     more = cut_lineage(more.join(tried, ["a", "b"], "left_anti"))
+    forget(across, lists, pairs, own, found)
     if not more.isEmpty():
+        forget(labels)
         labels = connected_components(links.unionByName(verified(more, texts)))
+    forget(more, links)
 
     classes = reps.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
-    return sets.join(classes, ["k1", "k2", "n"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    out = cut_lineage(sets.join(classes, ["k1", "k2", "n"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
+    forget(profile, reps, labels)
+    return out
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
