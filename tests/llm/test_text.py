@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import textwrap
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -55,7 +56,9 @@ def test_ngram_classes(spark, sf_dir, texts):
 def test_ngram_classes_of_many_edits(spark, monkeypatch):
     """Large groups of near copies, frequent tokens and long lists, with limits low enough to take every path."""
     monkeypatch.setattr(ngram_join, "FREQUENT", 40)
-    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 8)
+    monkeypatch.setattr(ngram_join, "LEAST_BLOCK_POSTINGS", 60)
+    monkeypatch.setattr(ngram_join, "MOST_BLOCK_POSTINGS", 60)
+    monkeypatch.setattr(ngram_join, "LOT", 500)
     rng = random.Random(7)
     words = [f"w{k}" for k in range(400)]
     bases = [[rng.choice(words) for _ in range(rng.randrange(12, 90))] for _ in range(6)]
@@ -87,6 +90,65 @@ def test_ngram_classes_of_parts(spark):
     assert all(100 * len(a & b) >= 75 * len(a | b) for a, b in ((shingle_set(made[i]), shingle_set(made[i + 1])) for i in range(0, len(made), 2)))
 
 
+def test_ngram_classes_of_short_parts(spark):
+    """Short sets inside larger ones, similarity 0.75 to 0.85, in several draws; none may be lost."""
+    made = {}
+    for seed in range(6):
+        rng = random.Random(100 + seed)
+        for _ in range(500):
+            size = rng.randrange(7, 41)
+            part = rng.randrange(-(-3 * size // 4), max(-(-3 * size // 4), size * 85 // 100) + 1)
+            words = [f"{rng.getrandbits(48):x}" for _ in range(size + 4)]
+            first = rng.choice((0, size - part, rng.randrange(size - part + 1)))
+            made[len(made)] = " ".join(words)
+            made[len(made)] = " ".join(words[first : first + part + 4])
+    got = ngram_join.near_duplicate_classes(spark.createDataFrame(list(made.items()), "doc_id long, text string").repartition(7)).collect()
+    lost = [r.doc_id for r in got if r.component_id != r.doc_id // 2 * 2]
+    assert len(got) == 6000 and not lost
+
+
+@pytest.mark.parametrize("limit", [1, 300, 1 << 21])
+def test_pairs_are_verified_in_bounded_lots(limit, monkeypatch):
+    monkeypatch.setattr(ngram_join, "VERIFY_BYTES", limit)
+    rng, rows = random.Random(3), []
+    for k in range(700):
+        words = [rng.choice("abcdefgh") + str(rng.randrange(50)) for _ in range(rng.randrange(0, 60))]
+        rows.append((k, k + 1000, " ".join(words) if k % 50 else None, " ".join(words[: rng.randrange(len(words) + 1)] if k % 3 else words)))
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["a", "b", "x", "y"])
+    got = [a for out in ngram_join._verify(iter([batch])) for a in out.column(0).to_pylist()]
+    sets = [(shingle_set(x or ""), shingle_set(y)) for _, _, x, y in rows]
+    assert got == [k for k, (x, y) in enumerate(sets) if x and y and 100 * len(x & y) >= 75 * len(x | y)]
+
+
+def test_blocks_of_one_component_and_of_many(spark):
+    """across_components() against counting all pairs: large components, small ones, documents of every size."""
+    rng, rows = random.Random(9), []
+    for rep in range(160):
+        component = 0 if rep < 90 else (1000 if rep < 120 else rep)
+        n = rng.randrange(20, 40)
+        for k in rng.sample(range(60), rng.randrange(1, 25)):
+            rows.append((k, rep, component, n, 0, rng.randrange(1, 5), 3 + rep % 4, n // 8))
+    df = spark.createDataFrame(rows, "list long, rep long, component long, n int, lone long, level int, l int, size int")
+    posted = {r: [(k, x[5]) for k, x in sorted((x[0], x) for x in rows if x[1] == r)] for r in range(160)}
+    of = {x[1]: x for x in rows}
+    want = set()
+    for a in range(160):
+        for b in range(a + 1, 160):
+            x, y = of[a], of[b]
+            l, level = min(x[6], y[6]), dict(posted[b])
+            hits = sum(max(v, level[k]) <= l for k, v in posted[a] if k in level)
+            least = -(-75 * (x[3] + y[3]) // 175)
+            need = max(l, least - max(-(-75 * x[3] // 100), -(-75 * y[3] // 100)) + l)
+            if x[2] != y[2] and abs(x[7] - y[7]) <= 4 and hits >= need and min(x[3], y[3]) >= least:
+                want.add((a, b))
+    with pytest.MonkeyPatch.context() as patch:
+        for least, most in ((30, 30), (200, 200), (1024, 4096)):
+            patch.setattr(ngram_join, "LEAST_BLOCK_POSTINGS", least)
+            patch.setattr(ngram_join, "MOST_BLOCK_POSTINGS", most)
+            got = [(r.a, r.b) for r in ngram_join.across_components(df).collect()]
+            assert set(got) == want and want
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(140)] + [(500 + k, 501 + k) for k in range(40)] + [(900, 901 + k) for k in range(50)]
@@ -130,7 +192,30 @@ def test_ledger_scans_only_unseen_blobs(spark):
     two = one.unionByName(spark.createDataFrame([("c", 1, "token=abcdef1"), ("c", 2, "secret=zzzzzzz")], one.schema))
     second = secret_ledger.scan_history(two, ["path", "version"], ledger=ledger)
     assert second.ledger.count() == 1 and second.findings.where("size(spans) = 1").count() == 4
-    assert secret_ledger.scan_history(two, ["path"], ledger=ledger, rule_version="2").ledger.count() == 3
+    rules = (*secret_ledger.RULES, secret_ledger.Rule("note", "nothing"))
+    third = secret_ledger.scan_history(two, ["path"], ledger=ledger, rules=rules)
+    assert third.ledger.count() == 3 and secret_ledger.version_of(rules) != secret_ledger.version_of(secret_ledger.RULES)
+
+
+def test_ledger_on_disk(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    one = spark.createDataFrame([("a", "token=abcdef1"), ("b", "token=abcdef1"), ("c", "nothing")], "path string, text string")
+    first = secret_ledger.scan_history(one, ["path"], ledger=secret_ledger.read_ledger(spark, path))
+    secret_ledger.append_ledger(first, path)
+    secret_ledger.append_ledger(first, path)  # as a run that is repeated would
+    ledger = secret_ledger.read_ledger(spark, path)
+    assert ledger.count() == 4
+    again = secret_ledger.scan_history(one, ["path"], ledger=ledger)
+    assert again.ledger.count() == 0 and sorted((r.path, len(r.spans)) for r in again.findings.collect()) == [("a", 1), ("b", 1), ("c", 0)]
+
+
+@pytest.mark.parametrize("unit", ["eyJ", "eyJ" * 1000 + ".eyJ", "eyJaaaaaaaa.", "-----BEGIN ", "gho_", "a", "AKIA", "token", "token = ", "0"])
+def test_secrets_of_long_texts(spark, unit):
+    df = spark.createDataFrame([(1, unit * (1_000_000 // len(unit)))], "doc_id long, text string")
+    began = time.time()
+    row = secret_ledger.secret_digest(df).first()
+    assert row.base_sha256 == hashlib.sha256(plain_secrets(unit * (1_000_000 // len(unit))).encode()).hexdigest()
+    assert time.time() - began < 30
 
 
 def plain_personal(text):
@@ -151,13 +236,6 @@ def test_base_patterns_on_random_strings():
         assert pii_crf._joined(pii_crf.base_spans(text)) == plain_personal(text)
 
 
-def test_personal_data(spark, sf_dir, texts):
-    for r in QUERIES["op1_pii_crf"](spark, sf_dir).collect():
-        base = plain_personal(texts[r.doc_id])
-        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
-        assert set(filter(None, base.split(","))) <= set(r.spans.split(","))
-
-
 @pytest.fixture(scope="module")
 def field():
     return pii_crf.train(pii_crf.labelled_table())
@@ -169,6 +247,35 @@ def tagged(field, text):
     return [(pii_crf.KINDS[k], raw[a:b].decode()) for _, k, a, b in pii_crf.decode(field, data, np.array([0, len(data)]))]
 
 
+@pytest.mark.parametrize("unit", ["1", ".", "+", "@", "1.", "+1(", "a@", "1 ", "a.", "\"'", "(1 "])
+def test_personal_data_of_long_texts(field, unit):
+    text = unit * (1_000_000 // len(unit))
+    began = time.time()
+    pii_crf.base_spans(text)
+    tagged(field, text)
+    pii_crf.trimmed(text, 0, len(text))
+    # Under 2 s on an idle machine.
+    assert time.time() - began < 6
+
+
+def test_shapes_of_long_words_and_added_spans(field):
+    words = ["4" * 1500, "1" * 30, "x" * 1200, "x" * 5]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    starts, ends, _ = text_hash.word_spans(data, np.array([0, len(data)]))
+    key = pii_crf.shapes(data, starts, ends)
+    assert key[0] == key[1] and key[2] == key[3]
+    assert not pii_crf.plausible(1, "999.1.1.1") and pii_crf.plausible(1, "(9).1.1.1") and not pii_crf.plausible(1, "1.2.3.x4.5")
+    assert tagged(field, "my phone is 415-555-0134.") == [("phone", "415-555-0134.")]
+    assert pii_crf.trimmed("ring <(415) 555-0134>.", 5, 22) == (6, 20)
+
+
+def test_personal_data(spark, sf_dir, texts):
+    for r in QUERIES["op1_pii_crf"](spark, sf_dir).collect():
+        base = plain_personal(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert set(filter(None, base.split(","))) <= set(r.spans.split(","))
+
+
 def test_field_finds_what_it_was_taught(field):
     wrong = 0
     held_out = pii_crf.labelled_table(3, 99)
@@ -244,6 +351,41 @@ def test_leaks(spark, sf_dir, texts, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in QUERIES["op2_pigeonhole_edit"](spark, sf_dir).collect()} == got
 
 
+def rows_distance(item, text):
+    """As plain_distance(), a row of the table at a time."""
+    text = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    steps, row = np.arange(len(text) + 1), np.zeros(len(text) + 1, np.int64)
+    for i, sign in enumerate(item, 1):
+        new = np.minimum(row + 1, np.concatenate([[i], row[:-1] + (text != ord(sign))]))
+        row = np.minimum.accumulate(new - steps) + steps
+    return int(row.min())
+
+
+def test_leaks_against_plain_edit_distance(spark, sf_dir, texts):
+    """All hits, and a draw of the other (document, item) pairs of the table."""
+    bench = {r.item_id: decontaminate.normal(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    got = {(r.doc_id, r.item_id): r.distance for r in QUERIES["op2_pigeonhole_edit"](spark, sf_dir).collect()}
+    normals, rng = {i: decontaminate.normal(t) for i, t in texts.items()}, random.Random(12)
+    drawn = [(rng.choice(list(normals)), rng.choice(list(bench))) for _ in range(400)]
+    for i, b in {*got, *drawn}:
+        distance = rows_distance(bench[b], normals[i])
+        assert (distance <= decontaminate.budget(len(bench[b]))) == ((i, b) in got)
+        assert got.get((i, b), distance) == distance
+
+
+def test_leaks_by_piece_are_those_by_block(spark, sf_dir, odd, monkeypatch):
+    """A large benchmark is dealt out by piece; both ways give the same rows, odd texts and items included."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    more = [(900, "two words"), (901, "two words"), (902, None), (903, "!!"), (None, "one two three four five six seven eight nine ten"), (904, "one two three for five six seven eight nine ten"), (905, "日本の首都はどこですか")]
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").unionByName(spark.createDataFrame(more, "item_id long, text string"))
+    by_block = sorted(decontaminate.find_leaks(docs, items).collect(), key=str)
+    kept = sorted((r.doc_id or -1, r.text or "") for r in decontaminate.without_leaks(docs, items).collect())
+    monkeypatch.setattr(decontaminate, "FEW_BLOCKS", 0)
+    assert sorted(decontaminate.find_leaks(docs, items).collect(), key=str) == by_block and by_block
+    assert sorted((r.doc_id or -1, r.text or "") for r in decontaminate.without_leaks(docs, items).collect()) == kept
+    assert decontaminate.find_leaks(docs, items.limit(0)).count() == 0 and decontaminate.find_leaks(docs.limit(0), items).count() == 0
+
+
 def test_short_items_inside_documents(spark):
     bench = spark.createDataFrame([(1, "What is 2+2?"), (2, "日本の首都はどこですか"), (3, "cat"), (None, "An item of twenty signs or more")], "item_id long, text string")
     texts = {1: "Q: what is 2 + 2? A: 4", 2: "what is 2 + 22", 3: "問題日本の首都はどこですか答え", 4: "concatenate cats", 5: "bobcat, cat, cat", 6: "here: an item of twenty signs or more.", 7: "nothing"}
@@ -273,6 +415,25 @@ def test_license_rules_in_order():
     assert match(f"{s['gpl_free']}. {far}. {s['gpl3_later']}.") == []
 
 
+def test_every_rule_finds_its_own_sentences():
+    match = license_rules.Recogniser().matches
+    for rule, license_, names in license_rules.RULES:
+        text = "\n\n".join(license_rules.SENTENCES[n] + "." for n in names)
+        got = match(f"Copyright 2020.\n\n{text}\n\nand more.")
+        assert [m[0] for m in got] == [license_] and got[0][1] == rule, (rule, got)
+    for x in license_rules.SPDX:
+        assert [m[0] for m in match(f"# SPDX-License-Identifier: {x}\n")] == [x]
+    lgpl = "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n"
+    assert [m[0] for m in match(lgpl)] == ["LGPL-2.1-or-later"]
+    assert [m[0] for m in match("GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n")] == ["GPL-3.0-only"]
+
+
+def test_licenses_by_other_tables(spark):
+    docs = spark.createDataFrame([(1, "Use it well. Then share it."), (2, "Share it.")], "doc_id long, text string")
+    got = license_rules.find_licenses(docs, {"a": "Use it well", "b": "Then share it"}, (("ab", "Well-1.0", ("a", "b")),), ()).collect()
+    assert [(r.doc_id, r.license, r.rule) for r in got] == [(1, "Well-1.0", "ab")]
+
+
 @pytest.mark.parametrize("width", [1, 20, 40, 56, 200])
 def test_licenses_at_any_width(width):
     s, match = license_rules.SENTENCES, license_rules.Recogniser().matches
@@ -355,6 +516,57 @@ def test_plans_keep_every_capacity(rule):
             assert at <= 60 and len(items) <= limits.documents and sum(n * n for _, n in items) <= limits.attention
 
 
+def placed_one_by_one(counts, limits):
+    capacity, weight = np.array([limits.tokens, limits.documents, limits.attention], float), np.array(limits.weights)
+    bins: list[list[int]] = []
+    for length in sorted(counts, reverse=True):
+        item = np.array([length, 1, length * length], float)
+        for _ in range(counts[length]):
+            best = None
+            for k, held in enumerate(bins):
+                used = (sum(held), len(held), sum(n * n for n in held))
+                rest = capacity - used
+                if (rest >= item).all():
+                    score = -(weight * ((rest - item) / capacity) ** 2).sum() if limits.rule == "norm" else (weight * (rest / capacity) * (item / capacity)).sum()
+                    if best is None or score > best[0] or (score == best[0] and used < best[1]):
+                        best = (score, used, k)
+            if best:
+                bins[best[2]].append(length)
+            else:
+                bins.append([length])
+    return used_capacities(bins)
+
+
+def used_capacities(bins):
+    """Bins that have used the same of every capacity are alike, whatever lies in them."""
+    return sorted((sum(b), len(b), sum(n * n for n in b)) for b in bins)
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_plan_equals_placing_one_by_one(rule):
+    rng = random.Random(8)
+    for _ in range(40):
+        limits = vector_packing.Limits(64, rng.choice([3, 6, 64]), rng.choice([900, 1600, 4096]), rng.choice([(1.0, 0.01, 0.01), (1.0, 1.0, 1.0), (0.3, 0.5, 1.0)]), rule)
+        counts = Counter(rng.randrange(1, limits.longest() + 1) for _ in range(rng.randrange(120)))
+        plan = vector_packing.plan_bins(dict(counts), limits)
+        bins = defaultdict(list)
+        for length, n in counts.items():
+            for rank in range(n):
+                at = np.searchsorted(plan.key, length * vector_packing._RANKS + rank, "right") - 1
+                bins[plan.first_bin[at] + (rank - plan.key[at] % vector_packing._RANKS) // plan.each_bin[at]].append(length)
+        assert used_capacities(bins.values()) == placed_one_by_one(counts, limits)
+
+
+def test_packing_where_every_capacity_binds(spark, sf_dir, texts):
+    limits = vector_packing.BINDING
+    got = QUERIES["vector_packing_limits"](spark, sf_dir).toPandas()
+    assert got.groupby("doc_id").length.sum().to_dict() == {i: len(plain_ids(t, 2)) for i, t in texts.items()}
+    by = got.groupby("sequence_id").length
+    assert by.sum().max() <= limits.tokens and by.size().max() == limits.documents
+    cost = (got.length**2).groupby(got.sequence_id).sum()
+    assert cost.max() <= limits.attention and cost.max() > 0.95 * limits.attention
+
+
 def test_quality_on_held_out_rows(spark, sf_dir):
     sf = sf_dir.replace("sf0.001", "sf0.01")
     scored = QUERIES["op8_quality_net"](spark, sf)
@@ -369,6 +581,25 @@ def test_training_reads_no_held_out_row(documents, spark, sf_dir):
     assert sample.count() > 0 and not any(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in sample.collect())
 
 
+def test_sample_with_a_very_long_labelled_text(spark, sf_dir, documents, monkeypatch):
+    """Long labelled texts are passed over, not those behind them; scores stay learned."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    chars = {r.doc_id: len(r.text) for r in quality_net.training_sample(documents, labels).collect()}
+    first = max(chars, key=chars.get)
+    monkeypatch.setattr(quality_net, "SAMPLE_CHARS", sum(chars.values()) - 1)
+    monkeypatch.setattr(quality_net, "SAMPLE_TEXT", chars[first] - 1)
+    got = {r.doc_id for r in quality_net.training_sample(documents, labels).collect()}
+    assert got == {i for i in chars if i != first}
+    assert quality_net.chosen_rows([(1, 0, 1, 10**9), (2, 1, 2, 5)]) == [(2, 1, 2)]
+    assert quality_net.fit(documents, labels).constant is None
+
+
+def test_scores_by_rank_or_as_they_are():
+    assert token_counts.holds_ranks({"a": 0.0, "b": -1.0}) and not token_counts.holds_ranks({"a": -2.5, "b": -3.0})
+    path = token_counts.default_file()
+    assert token_counts.piece_scores(path) == token_counts.log_scores(token_counts.piece_scores(path, ranks=False))
+
+
 def test_token_counts(spark, sf_dir, texts):
     scores = token_counts.piece_scores(token_counts.default_file())
     known = {}
@@ -385,6 +616,13 @@ def test_token_counts(spark, sf_dir, texts):
             best.append((top[0], -top[1]))
         return best[-1][1]
 
+    counter = token_counts.TrieCounter(scores)
+    rng = random.Random(6)
+    for _ in range(200):
+        word = "".join(rng.choice("abcdeinrst日😀") for _ in range(rng.randrange(1, 60)))
+        assert counter.count_alone(word) == count(word) == counter.totals([[word]])[0]
+    long_word = "ab12" * 500_000
+    assert counter.totals([[long_word, "a"]])[0] == counter.count_alone(long_word) + count("a") and long_word not in counter.counts
     for r in QUERIES["op10_token_counts"](spark, sf_dir).collect():
         words = texts[r.doc_id].split()
         for w in words:

@@ -78,6 +78,14 @@ def test_empty_and_null_ids(spark):
     assert embedding_dedup.near_duplicate_vectors(spark.createDataFrame([(None, [1.0], 1), (3, [1.0], 1)], schema)).count() == 2
 
 
+def test_repeated_ids(spark):
+    """Two vectors under one vec_id have links of their own; a row that is repeated links with its copy."""
+    schema = "vec_id long, embedding array<float>, label int"
+    rows = [(4, [1.0, 0.0, 0.0], 1), (4, [0.0, 1.0, 0.0], 1), (2, [0.0, 1.0, 0.01], 1), (9, [1.0, 0.0, 0.0], 1), (7, [0.0, 0.0, 1.0], 1), (7, [0.0, 0.0, 1.0], 1), (None, [0.0, 0.0, 1.0], 1)]
+    got = embedding_dedup.near_duplicate_vectors(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in got) == [(0, 0, 0, False), (2, 1, 2, True), (4, 1, 2, False), (4, 1, 4, True), (7, 1, 7, True), (7, 1, 7, True), (9, 1, 4, False)]
+
+
 def test_hash_probabilities():
     rng = np.random.default_rng(2)
     for d in (0.374, 1.414):
