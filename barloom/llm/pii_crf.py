@@ -23,8 +23,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -172,7 +174,6 @@ TEMPLATES = (
     "server ({ip:###.###.##.##}) replied",
     "| {ip:###.##.##.###} | up |",
     "Licensed under the Apache License , Version 2.0.",
-    "Licensed under CC BY-NC 4.0.",
     "in #### there were ### people and ## cars",
     "on ##/##/20## at ##:## we met",
     "on 20##-##-## the price was $#,###.##",
@@ -439,6 +440,8 @@ def find_personal_data(docs: DataFrame, table: list[tuple[list[str], list[str]]]
                 added: dict[int, list[tuple[int, int, int]]] = {}
                 for row, kind, start, end in decode(field.value, data, offsets):
                     added.setdefault(row, []).append((kind, start, end))
+                # Code points before each byte.
+                chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 signal = np.concatenate([[0], np.cumsum((data == 64) | ((data >= 48) & (data < 58)))])
                 marked = signal[offsets[1:]] > signal[offsets[:-1]]
                 rows = []
@@ -449,11 +452,11 @@ def find_personal_data(docs: DataFrame, table: list[tuple[list[str], list[str]]]
                     raw = data[offsets[row] : offsets[row + 1]].tobytes()
                     text = raw.decode("utf-8", "replace")
                     base = base_spans(text)
-                    more = []
+                    starts, reach, more = [x for x, _, _ in base], [0, *accumulate((y for _, _, y in base), max)], []
                     for kind, start, end in added.get(row, ()):
-                        begin = len(raw[: start - offsets[row]].decode("utf-8", "replace"))
-                        a, b = trimmed(text, begin, begin + len(raw[start - offsets[row] : end - offsets[row]].decode("utf-8", "replace")))
-                        if a < b and plausible(kind, text[a:b]) and not any(a < y and x < b for x, _, y in base):
+                        begin, until = (int(chars[at] - chars[offsets[row]]) for at in (start, end))
+                        a, b = trimmed(text, begin, until)
+                        if a < b and plausible(kind, text[a:b]) and reach[bisect_left(starts, b)] <= a:
                             more.append((a, kind, b))
                     counts = [sum(k == kind for _, k, _ in base) for kind in range(4)]
                     rows.append((*counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(sorted(base + more)), len(more)))
