@@ -170,7 +170,8 @@ SPDX = (
     "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0", "CC0-1.0", "Unlicense",
 )
 
-_BREAK = re.compile(r"[.!?;:]+(?=\s|$)|\n[^\S\n]*\n")
+#: A run of stops is tried once, from its first sign.
+_BREAK = re.compile(r"(?<![.!?;:])[.!?;:]++(?=\s|$)|\n[^\S\n]*\n")
 _SIGNS = re.compile(r"[\W_]+")
 
 
