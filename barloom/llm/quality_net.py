@@ -19,6 +19,7 @@ scored and counts as not held out; other columns are never read.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -163,6 +164,7 @@ def train(texts: pa.Array, labels: np.ndarray) -> QualityModel:
     blank = QualityModel(vectors, np.zeros(dims), np.ones(dims), np.zeros((dims, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0, 1.0)
     if len(labels) < 10 or labels.min() == labels.max():
         blank.constant = float(labels.mean()) if len(labels) else 1.0
+        warnings.warn(f"{len(labels)} usable labels, fewer than 10 or all alike: every text scores {blank.constant}", stacklevel=2)
         return blank
     x = np.concatenate([pooled(b, r, n, vectors) for (b, r), n in zip(streams, sizes)]).astype(np.float64)
     y = labels.astype(np.float64)
@@ -215,11 +217,12 @@ def chosen_rows(rows: list[tuple[int, int, int, int]]) -> list[tuple[int, int, i
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, quality) of the bounded sample; no held-out row. Rows are chosen by numbers alone, and
-    only the texts of chosen rows travel."""
+    """(doc_id, text, quality) of the bounded sample; no held-out row. Labels of documents that are not at hand
+    are left out before rows are chosen. Rows are chosen by numbers alone, and only the texts of chosen rows travel."""
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     # SAMPLE_ROWS rows of two numbers, and then of four: the broadcasts and the list have fixed bounds.
-    chosen = chosen.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(SAMPLE_ROWS)
+    at_hand = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    chosen = chosen.distinct().join(at_hand, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(SAMPLE_ROWS)
     texts = texts_of(docs).withColumn("h", F.xxhash64("text"))
     sizes = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "h", F.char_length("text").alias("chars")).distinct()
     sizes = sizes.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "h").limit(SAMPLE_ROWS)
