@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ from barloom.llm import (
     url_filter,
     vector_packing,
 )
-from barloom.llm.shared import table
+from barloom.llm.shared import shared_folder, table
 
 
 def op4_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +30,11 @@ def op4_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_ledger.secret_digest(table(spark, sf_dir, "documents"))
+    """Through a ledger on disk: a first run scans and records every blob; the second, whose findings these are, reads
+    the ledger back and scans what it lacks."""
+    docs, path = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    secret_ledger.append_ledger(secret_ledger.scan_history(docs, ["doc_id"], ledger=secret_ledger.read_ledger(spark, path)), path)
+    return secret_ledger.secret_digest(docs, ledger=secret_ledger.read_ledger(spark, path))
 
 
 def op1_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +112,7 @@ SECRET_PATTERNS = (
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),  # a match is a whole run, so short ones need not be listed
     ("pem", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----", 0, 1),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,512}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 1),
+    ("jwt", r"(?:^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+)", 1, 1),
     ("hub", r"gh[opsur]_[0-9A-Za-z]{36,}", 0, 1),
 )
 
@@ -119,7 +124,7 @@ def _secret_sql() -> str:
         p = pattern.replace("'", "''")
         gaps, found = f"string_split_regex(t, '{p}')", f"regexp_extract_all(t, '{p}', 0)"
         spans.append(
-            f"""SELECT doc_id, n, {rank} AS rank, '{kind}' AS kind, i, s AS b, s + length(m) AS e FROM (SELECT doc_id, n, i, m[i] AS m, z[i] AS z,
+            f"""SELECT doc_id, n, {rank} AS rank, '{kind}' AS kind, i, {"s + length(m) - length(z)" if kind == "jwt" else "s"} AS b, s + length(m) AS e FROM (SELECT doc_id, n, i, m[i] AS m, z[i] AS z,
  list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s
  FROM (SELECT doc_id, n, {gaps} AS g, {found} AS m, regexp_extract_all(t, '{p}', {group}) AS z, unnest(range(1, len({found}) + 1)) AS i FROM d)) WHERE length(z) >= {least}"""
         )

@@ -20,8 +20,12 @@ from dataclasses import astuple, dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.llm.shared import cut_lineage
+
 #: Matches whose places are summed in one go.
 CHUNK = 256
+#: Unseen blobs whose identifiers (64 characters each) are sent to all tasks; more are joined by a shuffle.
+FEW_BLOBS = 100_000
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
@@ -44,7 +48,7 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, True, "AKIA"),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24, True),
     Rule("pem", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----", 0, 0, False, "PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,512}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 0, False, ".eyJ"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]+", 0, 0, False, ".eyJ"),
     Rule("hub", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0, False, "gh"),
 )
 
@@ -122,13 +126,20 @@ def scan_history(
     text = F.coalesce(F.col(text_col), F.lit(""))
     # (blob, body) is the key of a hash aggregate, so that no text is sorted; equal blobs have equal bodies.
     blobs = versions.select(blob_id(text).alias("blob"), text.alias("body"))
-    if ledger is not None:
+    seen = None
+    if ledger is not None and not ledger.isEmpty():
         at_hand = versions.select(blob_id(text).alias("blob")).distinct()
         seen = ledger.where(F.col("rule_version") == version).select("blob", F.col("spans").cast(SPANS).alias("spans"))
         seen = seen.join(at_hand, "blob", "left_semi").groupBy("blob").agg(F.first("spans").alias("spans"))
-        blobs = blobs.join(seen.select("blob"), "blob", "left_anti")
+        # Decided on identifiers alone, so that seen texts are neither shuffled nor scanned.
+        unseen = cut_lineage(at_hand.join(seen.select("blob"), "blob", "left_anti"))
+        n = unseen.count()
+        if n == 0:
+            blobs = blobs.limit(0)
+        else:
+            blobs = blobs.join(F.broadcast(unseen) if n <= FEW_BLOBS else unseen.hint("merge"), "blob", "left_semi")
     fresh = blobs.distinct().select("blob", find_spans(F.col("body"), rules).alias("spans"))
-    known = fresh.unionByName(seen) if ledger is not None else fresh
+    known = fresh.unionByName(seen) if seen is not None else fresh
     paths = versions.select(*path_cols, blob_id(text).alias("blob"))
     return LedgerScan(
         paths.join(known, "blob", "left").select(*path_cols, "blob", "spans"),
