@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from barloom.operators.boosting import forecast_folds
 from barloom.operators.joins import fold_rows
 
 SEED = 42
 
 
-def boosted(x: np.ndarray, y: np.ndarray, new: np.ndarray, trees: int = 100, depth: int = 3, rate: float = 0.1, bins: int = 32) -> np.ndarray:
-    """Least-squares boosting on quantile bins; every level of a tree is split for all its nodes at once."""
-    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
+def boosted(x: np.ndarray, y: np.ndarray, new: np.ndarray, trees: int = 100, depth: int = 3, rate: float = 0.1, bins: int = 32, cuts: list[np.ndarray] | None = None) -> np.ndarray:
+    """Least-squares boosting of one fold on quantile bins (or given cuts); every level of a tree is split for all its
+    nodes at once. The plain form of what boosting.py does for all folds."""
+    if cuts is None:
+        cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
+    bins = max(len(c) for c in cuts) + 1
     binned = np.stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)], 1)
     new_binned = np.stack([np.searchsorted(c, new[:, f], "left") for f, c in enumerate(cuts)], 1)
     fit, out = np.full(len(y), y.mean()), np.full(len(new), y.mean())
@@ -79,36 +80,16 @@ def network(x: np.ndarray, y: np.ndarray, new: np.ndarray, sizes: tuple[int, int
 
 
 def walk_forward(rows: DataFrame, features: list[str], train_min: int = 252, step: int = 5, model: str = "gbt", **options) -> DataFrame:
-    """(date, symbol, target, prediction). Folds are fitted in parallel, one group each, so a fold's history must fit
-    a task; `mlp` is the network, `cluster` fits each fold's trees on all executors instead, any other name is
-    boosting. Too few dates give an empty result."""
-    if model == "cluster":
-        return walk_forward_on_cluster(rows, features, train_min, step, **options)
-    fit = network if model == "mlp" else boosted
+    """(date, symbol, target, prediction). Boosted trees of all folds are grown together (see boosting); `mlp` is the
+    network, fitted by fold in parallel, so there a fold's history must fit a task. Too few dates give an empty result."""
+    if model != "mlp":
+        return forecast_folds(rows, features, train_min, step, **options)
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["date", "symbol"])
         train, test = frame[~frame["is_test"]], frame[frame["is_test"]]
-        prediction = fit(train[features].to_numpy(float), train["next_return"].to_numpy(float), test[features].to_numpy(float), **options)
+        prediction = network(train[features].to_numpy(float), train["next_return"].to_numpy(float), test[features].to_numpy(float), **options)
         return pd.DataFrame({"date": test["date"], "symbol": test["symbol"], "target": test["next_return"], "prediction": prediction})
 
     folds = fold_rows(rows, train_min, step).select("fold", "is_test", "date", "symbol", *features, "next_return")
     return folds.groupBy("fold").applyInPandas(one, "date timestamp_ntz, symbol string, target double, prediction double")
-
-
-def walk_forward_on_cluster(rows: DataFrame, features: list[str], train_min: int, step: int, trees: int = 100, depth: int = 3, rate: float = 0.1) -> DataFrame:
-    """The same folds by Spark's own boosted trees: a fold's training part is a filter on the dates' ranks, so no row
-    is copied and no task holds a history. Folds follow one another on the driver; only trees come back to it."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    dates = rows.select("date").distinct().withColumn("rank", F.row_number().over(Window.orderBy("date")) - 1)
-    table = VectorAssembler(inputCols=features, outputCol="_x").transform(rows.join(dates, "date")).select("date", "symbol", "rank", "next_return", "_x").persist()
-    last = table.agg(F.max("rank")).first()[0]
-    made = []
-    for first in range(train_min, (-1 if last is None else last) + 2 - step, step):
-        model = GBTRegressor(featuresCol="_x", labelCol="next_return", predictionCol="prediction", maxIter=trees, maxDepth=depth, stepSize=rate, seed=SEED).fit(table.where(F.col("rank") < first))
-        made.append(model.transform(table.where((F.col("rank") >= first) & (F.col("rank") < first + step))).select("date", "symbol", F.col("next_return").alias("target"), "prediction"))
-    if not made:
-        return rows.sparkSession.createDataFrame([], "date timestamp_ntz, symbol string, target double, prediction double")
-    return reduce(DataFrame.unionByName, made)

@@ -7,10 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.density import hierarchical_labels, neighbour_layout
 from barloom.operators.joins import asof_backward, lookback
 
 STATS = ["mean_ret", "std_ret", "mean_vol", "mean_dv"]
 UNKNOWN = -1
+MANIFOLD_LEAST = 20
 
 
 def lookback_stats(panel: DataFrame, days: int, every: int, least_symbols: int) -> DataFrame:
@@ -101,9 +103,14 @@ def density_labels(x: np.ndarray, radius: float, least: int, chunk: int = 256) -
     return labels
 
 
-def discover_regimes(panel: DataFrame, rebalance_days: int = 7, lookback_days: int = 126, pca: int = 4, ica: int = 4, min_cluster_size: int = 6) -> DataFrame:
+def discover_regimes(
+    panel: DataFrame, rebalance_days: int = 7, lookback_days: int = 126, pca: int = 4, ica: int = 4, min_cluster_size: int = 6, manifold: int = 2, radius: float | None = None
+) -> DataFrame:
     """(date, symbol, regime). Each rebalance date's cross-section of symbols is one group; its size is
-    the number of symbols, not of rows."""
+    the number of symbols, not of rows.
+
+    Principal and independent axes of the lookback statistics; from MANIFOLD_LEAST symbols on, their neighbour-keeping
+    layout on `manifold` axes (0: never); then hierarchical density clusters, or clusters of one fixed radius."""
     stats = lookback_stats(panel, lookback_days, rebalance_days, max(3, min_cluster_size))
 
     def cluster(frame: pd.DataFrame) -> pd.DataFrame:
@@ -111,7 +118,9 @@ def discover_regimes(panel: DataFrame, rebalance_days: int = 7, lookback_days: i
         x = frame[STATS].to_numpy(float)
         cap = min(x.shape)
         points = np.hstack([principal_axes(x, min(pca, cap)), independent_axes(x, min(ica, cap))])
-        labels = density_labels(points, 0.8, max(2, min_cluster_size // 2))
+        if manifold and len(points) >= MANIFOLD_LEAST:
+            points = neighbour_layout(points, manifold, min(15, len(points) - 1))
+        labels = hierarchical_labels(points, min_cluster_size) if radius is None else density_labels(points, radius, max(2, min_cluster_size // 2))
         return pd.DataFrame({"date": frame["rebalance_date"], "symbol": frame["symbol"], "regime": labels.astype("int32")})
 
     return stats.groupBy("rebalance_date").applyInPandas(cluster, "date timestamp_ntz, symbol string, regime int")

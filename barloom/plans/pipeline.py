@@ -31,6 +31,7 @@ class Market:
     pca: int = 4
     ica: int = 4
     min_cluster_size: int = 6
+    manifold: int = field(default=2, kw_only=True)
     vol_lookback: int = 252
     vol_horizon: int = 10
     vol_model: str = "ewma"
@@ -86,7 +87,7 @@ def run_pipeline(panel: DataFrame, config: Market = Market(), variant: str = "ru
     # Read again by each of the five steps below.
     base = base.persist()
     scaled = base.select("date", "symbol", *[F.col(f"{c}_scaled").alias(c) for c in SCALED]).na.drop()
-    regimes = discover_regimes(scaled, config.rebalance_days, config.lookback_days, config.pca, config.ica, config.min_cluster_size).persist()
+    regimes = discover_regimes(scaled, config.rebalance_days, config.lookback_days, config.pca, config.ica, config.min_cluster_size, config.manifold).persist()
     with_regime = attach_regime(base, regimes)
     extra = tuple(feature_columns(base, list(INDICATORS))) if config.indicators else ()
     rows = model_table(with_regime, list(config.return_lags), (*extra, "regime"))

@@ -550,6 +550,20 @@ def walk_forward_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk_forward(rows, ["ret_lag_1", "ret_lag_2", "ret_lag_5", "realized_vol", "dollar_volume"], 100, 50)
 
 
+@registered()
+def walk_forward_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As walk_forward_gbt, one job a tree level for all folds, as a panel of any size is grown."""
+    rows = features.model_table(bars_features(spark, sf_dir), [1, 2, 5])
+    return walk_forward(rows, ["ret_lag_1", "ret_lag_2", "ret_lag_5", "realized_vol", "dollar_volume"], 100, 50, small_cells=0)
+
+
+@registered()
+def fixed_radius_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = features.robust_scale(features.preprocess(weekly_bars(spark, sf_dir), 12), ["log_return", "realized_vol", "dollar_volume"])
+    scaled = panel.select("date", "symbol", *[F.col(f"{c}_scaled").alias(c) for c in ("log_return", "realized_vol", "dollar_volume")]).na.drop()
+    return regimes.discover_regimes(scaled, 7, 126, 4, 4, 6, manifold=0, radius=0.8)
+
+
 @registered()
 def research_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole pipeline on hourly bars with the smoke market's settings."""

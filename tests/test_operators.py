@@ -155,20 +155,6 @@ def test_models_learn_a_simple_target():
     assert np.corrcoef(forecast.network(x[:300], z[:300], x[300:], epochs=100), z[300:])[0, 1] > 0.95
 
 
-def test_forecasts_on_the_cluster_follow_the_folds(spark):
-    rng = np.random.default_rng(6)
-    x = rng.normal(size=(60, 2))
-    y = np.where(x[:, 0] > 0, 1.0, -1.0)
-    data = rows(spark, [(day(k // 3), f"s{k % 3}", float(x[k, 0]), float(x[k, 1]), float(y[k])) for k in range(60)], "date timestamp_ntz, symbol string, a double, b double, next_return double")
-    got = forecast.walk_forward(data, ["a", "b"], 12, 4, "cluster", trees=3).toPandas()
-    want = forecast.walk_forward(data, ["a", "b"], 12, 4, trees=3).toPandas()
-    key = ["date", "symbol"]
-    got, want = got.sort_values(key), want.sort_values(key)
-    assert got[key].values.tolist() == want[key].values.tolist() and len(got) == 24
-    assert np.corrcoef(got.prediction, got.target)[0, 1] > 0.9 and np.corrcoef(got.prediction, want.prediction)[0, 1] > 0.9
-    assert forecast.walk_forward(data.limit(0), ["a", "b"], 12, 4, "cluster").count() == 0
-
-
 ORDER = "symbol string, date timestamp_ntz, position double, expected_edge_bps double, vol_forecast double, target double"
 
 
