@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import by_symbol, clip, ewm_mean, exact_quantiles, linear_fill, rolling_std, safe_log, true_range
+from barloom.functions.segments import SEG, Ewm, with_ewm, with_previous
 
 INDICATORS = ("rsi_14", "atr_14", "macd_line", "macd_signal", "macd_hist")
 PRICES = ["open", "high", "low", "close", "volume"]
@@ -20,39 +21,52 @@ def preprocess(panel: DataFrame, vol_window: int, fill: bool = True) -> DataFram
     return df.withColumns({"realized_vol": rolling_std(F.col("log_return"), w, vol_window), "dollar_volume": F.col("close") * F.col("volume"), "next_return": F.lead("log_return").over(w)})
 
 
-def rsi(df: DataFrame, period: int = 14) -> DataFrame:
-    w = by_symbol()
-    change = F.col("close") - F.lag("close").over(w)
-    df = df.withColumn("_d", change).withColumns({"_up": clip(F.col("_d"), low=0.0), "_down": clip(-F.col("_d"), low=0.0)})
-    for side in ("_up", "_down"):
-        df = ewm_mean(df, side, 1 / period, f"_mean{side}", least=period)
+def _previous(df: DataFrame, columns: dict[str, str], segment: Column | None) -> DataFrame:
+    if segment is None:
+        return df.withColumns({new: F.lag(old).over(by_symbol()) for new, old in columns.items()})
+    return with_previous(df.withColumn(SEG, segment), columns).drop(SEG)
+
+
+def _means(df: DataFrame, means: list[Ewm], segment: Column | None) -> DataFrame:
+    if segment is not None:
+        return with_ewm(df.withColumn(SEG, segment), means).drop(SEG)
+    for m in means:
+        df = ewm_mean(df, m.value, m.alpha, m.out, least=m.least)
+    return df
+
+
+def rsi(df: DataFrame, period: int = 14, segment: Column | None = None) -> DataFrame:
+    """With a segment (segments.segment_of), here and below, a long series is scanned by many tasks."""
+    df = _previous(df, {"_d": "close"}, segment).withColumn("_d", F.col("close") - F.col("_d"))
+    df = df.withColumns({"_up": clip(F.col("_d"), low=0.0), "_down": clip(-F.col("_d"), low=0.0)})
+    df = _means(df, [Ewm(side, 1 / period, f"_mean{side}", period) for side in ("_up", "_down")], segment)
     value = 100 - 100 / (1 + F.col("_mean_up") / (F.col("_mean_down") + 1e-12))
     return df.withColumn(f"rsi_{period}", value).drop("_d", "_up", "_down", "_mean_up", "_mean_down")
 
 
-def atr(df: DataFrame, period: int = 14) -> DataFrame:
-    df = df.withColumn("_tr", true_range(F.col("high"), F.col("low"), F.lag("close").over(by_symbol())))
-    return ewm_mean(df, "_tr", 1 / period, f"atr_{period}", least=period).drop("_tr")
+def atr(df: DataFrame, period: int = 14, segment: Column | None = None) -> DataFrame:
+    df = _previous(df, {"_tr": "close"}, segment)
+    df = df.withColumn("_tr", true_range(F.col("high"), F.col("low"), F.col("_tr")))
+    return _means(df, [Ewm("_tr", 1 / period, f"atr_{period}", period)], segment).drop("_tr")
 
 
-def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    df = ewm_mean(df, "close", 2 / (fast + 1), "_fast")
-    df = ewm_mean(df, "close", 2 / (slow + 1), "_slow")
+def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, segment: Column | None = None) -> DataFrame:
+    df = _means(df, [Ewm("close", 2 / (fast + 1), "_fast"), Ewm("close", 2 / (slow + 1), "_slow")], segment)
     df = df.withColumn("macd_line", F.col("_fast") - F.col("_slow"))
-    df = ewm_mean(df, "macd_line", 2 / (signal + 1), "macd_signal")
+    df = _means(df, [Ewm("macd_line", 2 / (signal + 1), "macd_signal")], segment)
     return df.withColumn("macd_hist", F.col("macd_line") - F.col("macd_signal")).drop("_fast", "_slow")
 
 
-def add_indicators(df: DataFrame, enabled: bool = True, columns: tuple[str, ...] = INDICATORS, source: str = "native") -> DataFrame:
+def add_indicators(df: DataFrame, enabled: bool = True, columns: tuple[str, ...] = INDICATORS, source: str = "native", segment: Column | None = None) -> DataFrame:
     """Any source other than the native one falls back to it; one MACD column asks for all three."""
     if not enabled:
         return df
     if "rsi_14" in columns:
-        df = rsi(df)
+        df = rsi(df, segment=segment)
     if "atr_14" in columns:
-        df = atr(df)
+        df = atr(df, segment=segment)
     if any(c.startswith("macd") for c in columns):
-        df = macd(df)
+        df = macd(df, segment=segment)
     return df
 
 

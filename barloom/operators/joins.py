@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.segments import SEG, with_last_known
 
-def asof_backward(left: DataFrame, right: DataFrame, values: list[str], key: str = "symbol", date: str = "date") -> DataFrame:
+
+def asof_backward(left: DataFrame, right: DataFrame, values: list[str], key: str = "symbol", date: str = "date", segment: Column | None = None) -> DataFrame:
     """Each left row with the values of the latest right row of its key at or before its date; NULL
-    without one. Both sides are stacked and scanned once in date order: one shuffle by key, no join."""
+    without one. Both sides are stacked and scanned once in date order: one shuffle by key, no join.
+    With a segment (of the date, see segments) rows are shuffled by key and segment instead."""
     names = [c for c in left.columns if c not in (key, date)]
     top = left.select(key, date, F.lit(1).alias("_side"), F.struct(*names).alias("_row") if names else F.lit(0).alias("_row"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("_value"))
     low = right.select(key, date, F.lit(0).alias("_side"), F.lit(None).cast(top.schema["_row"].dataType).alias("_row"), F.struct(*values).alias("_value"))
-    scan = Window.partitionBy(key).orderBy(date, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    seen = top.unionByName(low).withColumn("_value", F.last("_value", ignorenulls=True).over(scan)).where("_side = 1")
+    stacked = top.unionByName(low)
+    if segment is None:
+        scan = Window.partitionBy(key).orderBy(date, "_side").rowsBetween(Window.unboundedPreceding, 0)
+        seen = stacked.withColumn("_value", F.last("_value", ignorenulls=True).over(scan)).where("_side = 1")
+    else:
+        seen = with_last_known(stacked.withColumn(SEG, segment), "_value", [date, "_side"], key).where("_side = 1")
     return seen.select(key, date, *([F.col(f"_row.{c}") for c in names]), *[F.col(f"_value.{v}") for v in values])
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.density import hierarchical_labels, neighbour_layout
@@ -142,7 +142,7 @@ def variation_of_information(assignments: DataFrame) -> DataFrame:
     return cells.groupBy("date", "prev_date").agg(F.max("total").cast("int").alias("n_overlap"), (F.sum(entropy) - 2 * F.sum(mutual)).alias("vi"))
 
 
-def attach_regime(panel: DataFrame, assignments: DataFrame) -> DataFrame:
+def attach_regime(panel: DataFrame, assignments: DataFrame, segment: Column | None = None) -> DataFrame:
     """The panel with the latest regime at or before each row, -1 without one."""
-    out = asof_backward(panel, assignments.select("date", "symbol", "regime"), ["regime"])
+    out = asof_backward(panel, assignments.select("date", "symbol", "regime"), ["regime"], segment=segment)
     return out.withColumn("regime", F.coalesce("regime", F.lit(UNKNOWN)))

@@ -9,6 +9,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.segments import segment_of
 from barloom.operators import execution_tables
 from barloom.operators.features import INDICATORS, add_indicators, feature_columns, model_table, preprocess, robust_scale
 from barloom.operators.forecast import walk_forward
@@ -83,12 +84,13 @@ def config_hash(config: Market) -> str:
 
 def run_pipeline(panel: DataFrame, config: Market = Market(), variant: str = "rust") -> Run:
     base = preprocess(panel, config.vol_window)
-    base = robust_scale(add_indicators(base, config.indicators), [*SCALED, *(INDICATORS if config.indicators else ())])
+    segment = segment_of(panel)
+    base = robust_scale(add_indicators(base, config.indicators, segment=segment), [*SCALED, *(INDICATORS if config.indicators else ())])
     # Read again by each of the five steps below.
     base = base.persist()
     scaled = base.select("date", "symbol", *[F.col(f"{c}_scaled").alias(c) for c in SCALED]).na.drop()
     regimes = discover_regimes(scaled, config.rebalance_days, config.lookback_days, config.pca, config.ica, config.min_cluster_size, config.manifold).persist()
-    with_regime = attach_regime(base, regimes)
+    with_regime = attach_regime(base, regimes, segment)
     extra = tuple(feature_columns(base, list(INDICATORS))) if config.indicators else ()
     rows = model_table(with_regime, list(config.return_lags), (*extra, "regime"))
     features = [c for c in rows.columns if c not in ("date", "symbol", "next_return")]

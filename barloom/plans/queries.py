@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import by_symbol, cross_section, linear_fill, rolling_std, rolling_zscore
+from barloom.functions.segments import wall_seconds
 from barloom.operators import features, joins, regimes, services, sizing, volatility
 from barloom.operators.forecast import walk_forward
 from barloom.plans.pipeline import MARKETS, run_pipeline
@@ -56,6 +57,11 @@ feats AS (SELECT *, CASE WHEN count(log_return) OVER r >= 5 THEN stddev_samp(log
 )
 
 
+def by_week() -> Column:
+    """The segments of the scans below: a series' weeks lie in tasks of their own."""
+    return F.floor(wall_seconds(F.col("date")) / (7 * 86400)).cast("long")
+
+
 def bars_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.preprocess(hourly_bars(spark, sf_dir), 20, fill=False)
 
@@ -130,7 +136,7 @@ u AS (SELECT symbol, date, CASE WHEN d IS NOT NULL THEN greatest(d, 0e0) END AS
 SELECT symbol, date, {s6("100e0 - 100e0 / (1 + gain / (loss + 1e-12))")} AS rsi_14 FROM loss_t"""
 )
 def rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(features.rsi(hourly_bars(spark, sf_dir)), ("symbol", "date"), ("rsi_14",))
+    return rounded(features.rsi(hourly_bars(spark, sf_dir), segment=by_week()), ("symbol", "date"), ("rsi_14",))
 
 
 @registered(
@@ -139,7 +145,7 @@ tr AS (SELECT symbol, date, greatest(abs(high - low), abs(high - pc), abs(low -
 SELECT symbol, date, {s6("atr")} AS atr_14 FROM atr_t"""
 )
 def atr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(features.atr(hourly_bars(spark, sf_dir)), ("symbol", "date"), ("atr_14",))
+    return rounded(features.atr(hourly_bars(spark, sf_dir), segment=by_week()), ("symbol", "date"), ("atr_14",))
 
 
 @registered(
@@ -148,7 +154,7 @@ line AS (SELECT symbol, date, fast - slow AS macd_line FROM slow_t), {ewm_sql("l
 SELECT symbol, date, {s6("macd_line")} AS macd_line, {s6("sig")} AS macd_signal, {s6("macd_line - sig")} AS macd_hist FROM sig_t"""
 )
 def macd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(features.macd(hourly_bars(spark, sf_dir)), ("symbol", "date"), ("macd_line", "macd_signal", "macd_hist"))
+    return rounded(features.macd(hourly_bars(spark, sf_dir), segment=by_week()), ("symbol", "date"), ("macd_line", "macd_signal", "macd_hist"))
 
 
 # A stand-in for regimes that SQL can express: on every 24th hour, whether a symbol traded above its day's mean.
@@ -164,7 +170,7 @@ def stand_in_regimes(bars: DataFrame) -> DataFrame:
 @registered(f"WITH {BARS}, {STAND_IN} SELECT b.symbol, b.date, b.close, CAST(coalesce(r.regime, -1) AS INTEGER) AS regime FROM bars b ASOF LEFT JOIN reg r ON b.symbol = r.symbol AND b.date >= r.date")
 def asof_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = hourly_bars(spark, sf_dir)
-    return regimes.attach_regime(bars.select("symbol", "date", "close"), stand_in_regimes(bars))
+    return regimes.attach_regime(bars.select("symbol", "date", "close"), stand_in_regimes(bars), by_week())
 
 
 @registered(
