@@ -30,6 +30,15 @@ def rebalance_dates(panel: DataFrame, every: int) -> DataFrame:
     return dates.withColumn("_n", F.row_number().over(Window.orderBy("date"))).where((F.col("_n") - 1) % every == 0).select(F.col("date").alias("rebalance_date"))
 
 
+def lookback_spans(panel: DataFrame, days: int, every: int) -> DataFrame:
+    """(date, first, last): the numbers, from 0, of the first and last rebalance date in whose lookback of `days` days a
+    date lies; dates in none are left out. Windows run over distinct dates, not over rows."""
+    dates = panel.select("date").distinct().withColumn("_n", F.row_number().over(Window.orderBy("date")))
+    reach = F.expr(f"max(_n) over (order by date range between current row and interval {days} days following)")
+    spans = dates.select("date", F.ceil((F.col("_n") - 1) / every).cast("int").alias("first"), F.floor((reach - 1) / every).cast("int").alias("last"))
+    return spans.where("first <= last")
+
+
 def lookback(panel: DataFrame, days: int, every: int) -> DataFrame:
     """Panel rows within `days` calendar days before each rebalance date, both ends included. Both sides
     are cut into buckets of `days` days, so the range join is an equi-join on one or two buckets."""

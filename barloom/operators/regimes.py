@@ -8,19 +8,52 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.density import hierarchical_labels, neighbour_layout
-from barloom.operators.joins import asof_backward, lookback
+from barloom.operators.joins import asof_backward, lookback_spans, rebalance_dates
 
 STATS = ["mean_ret", "std_ret", "mean_vol", "mean_dv"]
 UNKNOWN = -1
 MANIFOLD_LEAST = 20
 
 
+def lookback_moments(panel: DataFrame, values: tuple[str, ...], days: int, every: int) -> DataFrame:
+    """(rebalance_date, symbol, for each value a struct of n, mean and m2) over the `days` days up to each rebalance
+    date. Rows of one symbol that lie in the same lookbacks become one set of moments (number, mean, sum of squared
+    deviations) before anything is repeated; only those are, inside the tasks that hold the symbol, and merged."""
+    spans = lookback_spans(panel, days, every)
+    near = panel.select("date", "symbol", *values).join(spans, "date")
+    # First the map side, so that a symbol that holds most rows travels as moments.
+    parts = [F.struct(F.count(v).alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("m2")).alias(v) for v in values]
+    classes = near.groupBy("symbol", "first", "last").agg(*parts).repartition("symbol")
+    spread = classes.withColumn("k", F.explode(F.sequence("first", "last")))
+    merged = spread.groupBy("symbol", "k").agg(*[F.collect_list(v).alias(v) for v in values])
+    out = merged.select("symbol", "k", *[merge_moments(F.col(v)).alias(v) for v in values])
+    dates = rebalance_dates(panel, every).withColumn("k", F.row_number().over(Window.orderBy("rebalance_date")) - 1)
+    return out.join(dates, "k").select("rebalance_date", "symbol", *values)
+
+
+def merge_moments(parts: Column) -> Column:
+    """One set of moments of an array of them; none of them known: n 0, mean NULL."""
+    known = F.filter(parts, lambda p: p["n"] > 0)
+
+    def total(x: Column, f) -> Column:
+        return F.aggregate(x, F.lit(0.0), lambda acc, p: acc + f(p))
+
+    n = F.aggregate(known, F.lit(0).cast("long"), lambda acc, p: acc + p["n"])
+    mean = total(known, lambda p: p["n"] * p["mean"]) / F.nullif(n, F.lit(0))
+    return F.transform(F.array(mean), lambda m: F.struct(n.alias("n"), m.alias("mean"), total(known, lambda p: p["m2"] + p["n"] * (p["mean"] - m) * (p["mean"] - m)).alias("m2")))[0]
+
+
 def lookback_stats(panel: DataFrame, days: int, every: int, least_symbols: int) -> DataFrame:
     """Per rebalance date and symbol: mean and deviation of returns, mean volatility, mean dollar volume;
     dates with fewer than least_symbols complete symbols are left out."""
-    near = lookback(panel.select("date", "symbol", "log_return", "realized_vol", "dollar_volume"), days, every)
-    stats = near.groupBy("rebalance_date", "symbol").agg(
-        F.avg("log_return").alias("mean_ret"), F.stddev_samp("log_return").alias("std_ret"), F.avg("realized_vol").alias("mean_vol"), F.avg("dollar_volume").alias("mean_dv")
+    values = ("log_return", "realized_vol", "dollar_volume")
+    stats = lookback_moments(panel, values, days, every).select(
+        "rebalance_date",
+        "symbol",
+        F.col("log_return.mean").alias("mean_ret"),
+        F.when(F.col("log_return.n") > 1, F.sqrt(F.col("log_return.m2") / (F.col("log_return.n") - 1))).alias("std_ret"),
+        F.col("realized_vol.mean").alias("mean_vol"),
+        F.col("dollar_volume.mean").alias("mean_dv"),
     )
     full = stats.na.drop()
     return full.withColumn("_n", F.count("*").over(Window.partitionBy("rebalance_date"))).where(F.col("_n") >= least_symbols).drop("_n")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import by_symbol, finite, rolling_std
+from barloom.functions.segments import wall_seconds
 from barloom.operators.joins import asof_backward
 from barloom.operators.regimes import UNKNOWN, principal_axes
 
@@ -90,23 +91,45 @@ def lookback_members(panel: DataFrame, members: DataFrame, days: int) -> DataFra
     return near.where((F.col("date") <= F.col("on")) & (F.col("date") >= F.col("on") - F.expr(f"INTERVAL {days} DAYS")))
 
 
+def lookback_blocks(panel: DataFrame, members: DataFrame, days: int) -> tuple[DataFrame, DataFrame]:
+    """Panel rows (_b, regime, date, symbol, log_return) and members (_b_, regime_, on_, symbol_), such that all rows of a
+    member's lookback lie in its block of `days` days and regime. A row goes to its own block and the next, once for each
+    regime that its symbol has there, however many lookbacks overlap."""
+    width = days * 86400
+    asked = members.withColumn("_b", F.floor(wall_seconds(F.col("on")) / width))
+    rows = panel.select("date", "symbol", "log_return").withColumn("_b", F.floor(wall_seconds(F.col("date")) / width))
+    rows = rows.withColumn("_b", F.explode(F.array("_b", F.col("_b") + 1)))
+    return rows.join(asked.select("symbol", "_b", "regime").distinct(), ["symbol", "_b"]), asked.toDF(*[f"{c}_" for c in asked.columns])
+
+
 def cluster_volatility(panel: DataFrame, assignments: DataFrame, lookback_days: int = 252, horizon: int = 10, model: str = "ewma", decay: float = 0.94) -> DataFrame:
     """(date, symbol, vol_forecast, regime): per assignment date and regime, the volatility of the members'
     common factor (a lone member's own returns) over the lookback; every member has it, those without returns
     too. A group without any known return has no rows. -1 is a regime like any other."""
+    members = assignments.select(F.col("date").alias("on"), "symbol", F.col("regime").cast("int").alias("regime"))
+    rows, spread = lookback_blocks(panel, members, lookback_days)
+    forecast, span = {"ewma": ewma_of, "garch": garch_of}[model], np.timedelta64(lookback_days, "D")
+
+    def factors(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(rows):
+            rows = rows.sort_values(["symbol", "date", "log_return"]).drop_duplicates(["symbol", "date"])
+            dates, symbols = np.unique(rows["date"].to_numpy()), np.unique(rows["symbol"].to_numpy())
+            at = np.searchsorted(dates, rows["date"].to_numpy()), np.searchsorted(symbols, rows["symbol"].to_numpy())
+            returns, there = np.full((len(dates), len(symbols)), np.nan), np.zeros((len(dates), len(symbols)), bool)
+            returns[at], there[at] = rows["log_return"].to_numpy(float), True
+            for on, group in asked.groupby("on_"):
+                now = np.datetime64(on)
+                low, high = np.searchsorted(dates, now - span, "left"), np.searchsorted(dates, now, "right")
+                mine = np.isin(symbols, group["symbol_"].to_numpy())
+                wide = returns[low:high, mine][there[low:high, mine].any(1)]
+                wide = np.nan_to_num(wide[:, ~np.isnan(wide).all(0)], nan=0.0)
+                if wide.size:
+                    out.append((on, principal_axes(wide, 1)[:, 0] if wide.shape[1] > 1 else wide[:, 0]))
+        return pd.DataFrame({"on": pd.Series([on for on, _ in out], dtype="datetime64[ns]"), "regime": np.int32(asked["regime_"].iloc[0] if len(asked) else 0), "vol_forecast": [forecast(x, decay, horizon) for _, x in out]})
+
+    found = rows.groupBy("_b", "regime").cogroup(spread.groupBy("_b_", "regime_")).applyInPandas(factors, "on timestamp_ntz, regime int, vol_forecast double")
     members = assignments.select(F.col("date").alias("on"), "symbol", "regime")
-    rows = lookback_members(panel, members, lookback_days)
-    forecast = {"ewma": ewma_of, "garch": garch_of}[model]
-
-    def factor(frame: pd.DataFrame) -> pd.DataFrame:
-        wide = frame.pivot_table(index="date", columns="symbol", values="log_return", aggfunc="first", dropna=False).sort_index().dropna(axis=1, how="all").fillna(0.0).to_numpy(float)
-        one = pd.DataFrame({"on": frame["on"].iloc[:1], "regime": np.int32(frame["regime"].iloc[0])})
-        if not wide.shape[1]:
-            return one.assign(vol_forecast=0.0).iloc[:0]
-        series = principal_axes(wide, 1)[:, 0] if wide.shape[1] > 1 else wide[:, 0]
-        return one.assign(vol_forecast=forecast(series, decay, horizon))
-
-    found = rows.groupBy("on", "regime").applyInPandas(factor, "on timestamp_ntz, regime int, vol_forecast double")
     return members.join(found, ["on", "regime"]).select(F.col("on").alias("date"), "symbol", "vol_forecast", "regime")
 
 

@@ -88,6 +88,29 @@ def test_density_labels_and_axes():
     assert np.abs(np.corrcoef(found.T, s.T)[:2, 2:]).max(1).min() > 0.95
 
 
+@pytest.mark.parametrize("days, every", [(5, 4), (12, 3), (1, 1), (40, 7)])
+def test_lookback_moments_against_plain_frames(spark, days, every):
+    rng = np.random.default_rng(days)
+    data = [(f"s{s}", day(k) + dt.timedelta(hours=int(rng.integers(0, 3)) * 6), None if rng.random() < 0.15 else float(1e6 + rng.normal()), float(k)) for s in range(4) for k in range(45) if rng.random() < 0.7 and not (s == 3 and k > 10)]
+    df = rows(spark, data, "symbol string, date timestamp_ntz, x double, y double")
+    got = {(r.rebalance_date, r.symbol): (r.x.n, r.x.mean, r.x.m2, r.y.n, r.y.mean) for r in regimes.lookback_moments(df, ("x", "y"), days, every).collect()}
+    frame, want = pd.DataFrame(data, columns=["symbol", "date", "x", "y"]), {}
+    for on in sorted(set(frame.date))[::every]:
+        for s, g in frame[(frame.date <= on) & (frame.date >= on - pd.Timedelta(days=days))].groupby("symbol"):
+            x = g.x.dropna()
+            want[on.to_pydatetime(), s] = (len(x), pytest.approx(x.mean(), rel=1e-12) if len(x) else None, pytest.approx(((x - x.mean()) ** 2).sum(), rel=1e-5, abs=1e-7), len(g), pytest.approx(g.y.mean()))
+    assert got == want
+
+
+def test_moments_repeat_no_rows(spark):
+    """126 days every 7: what is repeated are classes of rows in the same lookbacks, made before the repetition."""
+    df = spark.range(3000).selectExpr("concat('s', id % 3) as symbol", "timestamp_ntz '2020-01-01' + make_dt_interval(cast(id div 3 as int)) as date", "rand(1) as x")
+    classes = joins.lookback_spans(df, 126, 7).groupBy("first", "last").count()
+    assert classes.count() < 300 < df.select("date").distinct().count()
+    plan = plan_of(regimes.lookback_moments(df, ("x",), 126, 7))
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and plan.index("Generate explode") < plan.index("partial_var_pop")
+
+
 def test_ewma_closed_form_equals_recursion(spark):
     x = np.random.default_rng(3).normal(0, 0.01, 50)
     v = x.var()
@@ -132,6 +155,9 @@ def test_cluster_volatility_against_plain_frames(spark, model):
     df, assigned = rows(spark, panel, "symbol string, date timestamp_ntz, log_return double"), rows(spark, members, "date timestamp_ntz, symbol string, regime int")
     near = volatility.lookback_members(df, assigned.withColumnRenamed("date", "on"), 35)
     assert "NestedLoop" not in plan_of(near)
+    blocks, _ = volatility.lookback_blocks(df, assigned.withColumnRenamed("date", "on"), 35)
+    # At most twice for each regime of its symbol, where a lookback each would be three times.
+    assert blocks.groupBy("symbol", "date", "regime").count().where("count > 2").isEmpty()
     got = {(r.date, r.symbol): (r.vol_forecast, r.regime) for r in volatility.cluster_volatility(df, assigned, 35, 5, model).collect()}
     frame, want = pd.DataFrame(panel, columns=["symbol", "date", "x"]), {}
     for (on, regime), g in pd.DataFrame(members, columns=["on", "symbol", "regime"]).groupby(["on", "regime"]):
