@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.streaming.live import scratch
+from barloom.streaming.live import delete, scratch
 
 BLOCK = 4096
 FOLDS = 64
@@ -286,8 +286,7 @@ def grow_on_cluster(ranked: DataFrame, plan: Plan, features: list[str], mean: np
             for r in found.collect():
                 _set_level(out, r["fold"], tree, level, depth, rate, (np.frombuffer(r["feature"], np.int16), np.frombuffer(r["cut"], np.uint16), np.frombuffer(r["means"]).reshape(-1, 2)))
     state.unpersist()
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    delete(spark, base)
     return out
 
 

@@ -15,6 +15,7 @@ from barloom.operators import features, joins, regimes, services, sizing, volati
 from barloom.operators.forecast import walk_forward
 from barloom.plans.pipeline import MARKETS, run_pipeline
 from barloom.streaming import live
+from barloom.streaming.order_life import order_life
 from barloom.sources import artifacts
 from barloom.sources.panel import generated_ohlcv, hourly_bars, read_ohlcv, table, user_days, weekly_bars
 
@@ -537,6 +538,48 @@ def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("symbol", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n", f6("total").alias("total"))
 
 
+@registered(
+    """WITH m AS (SELECT event_id // 7 AS order_id, ts, event_id % 7 AS k FROM events WHERE event_type <> 'error' OR event_id % 3 > 0),
+c AS (SELECT *, count(*) OVER o AS before, max(CASE WHEN k = 3 THEN ts END) OVER o AS t3, count(*) FILTER (k < 4) OVER (PARTITION BY order_id) AS ahead, max(CASE WHEN k = 4 THEN ts END) OVER (PARTITION BY order_id) AS t4, max(ts) OVER (PARTITION BY order_id) AS t_last
+ FROM m WINDOW o AS (PARTITION BY order_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+e AS (SELECT *, ahead = 4 AND (t4 IS NULL OR t4 > t3 + INTERVAL 240 SECOND) AS runs_out, least(before, CASE WHEN ahead = 4 AND (t4 IS NULL OR t4 > t3 + INTERVAL 240 SECOND) THEN 4 ELSE 7 END) AS most FROM c),
+p AS (SELECT *, (SELECT count(*) FROM m n WHERE n.order_id = e.order_id AND n.k < e.k AND (SELECT count(*) FROM m x WHERE x.order_id = n.order_id AND x.k < n.k) = n.k) AS reached FROM e),
+s AS (SELECT ['DRAFT', 'CALCULATING', 'READY_FOR_REVIEW', 'COUNTDOWN', 'CONFIRMED', 'SUBMITTED', 'ACKED'] AS names)
+SELECT order_id, ts, names[k + 1] AS state, CASE WHEN k >= 4 AND runs_out AND ts > t3 + INTERVAL 240 SECOND THEN NULL WHEN reached > 0 THEN names[CASE WHEN runs_out THEN least(reached, 4) ELSE reached END] END AS previous,
+ before = k AND NOT (k >= 4 AND runs_out) AS legal FROM p, s
+UNION ALL SELECT DISTINCT order_id, t3 + INTERVAL 240 SECOND, 'EXPIRED', 'COUNTDOWN', TRUE FROM (SELECT order_id, max(t3) OVER (PARTITION BY order_id) AS t3, runs_out, t_last FROM e)
+ WHERE runs_out AND (t_last > t3 + INTERVAL 240 SECOND OR t3 + INTERVAL 240 SECOND <= (SELECT max(ts) FROM m) - INTERVAL 1 HOUR)"""
+)
+def streamed_order_life(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven events in a row are an order's moves, some of them missing; a countdown runs out after four minutes."""
+    state = F.element_at(F.array(*[F.lit(s) for s in services.STATES]), (F.col("event_id") % 7 + 1).cast("int"))
+    moves = live.event_ticks(spark, sf_dir).where("symbol <> 'error' or event_id % 3 > 0").select(F.floor(F.col("event_id") / 7).alias("order_id"), "ts", state.alias("state"))
+    return live.run_once(order_life(moves, 240), "order-life", live.KEYED_STORE).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@registered(
+    """WITH o AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), f AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click')
+SELECT o.event_id AS order_id, o.user_id AS account, o.ts, f.event_id AS fill_id, f.ts AS filled FROM o LEFT JOIN f ON o.user_id = f.user_id AND f.ts >= o.ts AND f.ts <= o.ts + INTERVAL 2 HOUR
+WHERE f.event_id IS NOT NULL OR o.ts + INTERVAL 2 HOUR < least((SELECT max(ts) FROM o), (SELECT max(ts) FROM f)) - INTERVAL 1 HOUR"""
+)
+def streamed_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases with the same user's clicks of the next two hours, both from file streams."""
+    orders = live.event_ticks(spark, sf_dir).where("symbol = 'purchase'").select(F.col("event_id").alias("order_id"), F.col("user_id").alias("account"), "ts")
+    fills = live.event_ticks(spark, sf_dir).where("symbol = 'click'").select(F.col("event_id").alias("fill_id"), F.col("user_id").alias("account"), F.col("ts").alias("filled"))
+    made = live.run_once(live.orders_with_fills(orders, fills), "fills")
+    return made.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "filled")})
+
+
+@registered(
+    f"""WITH s AS (SELECT event_type AS symbol, value, unnest(generate_series(0, 3)) AS k, time_bucket(INTERVAL 15 MINUTE, ts) AS b FROM events)
+SELECT symbol, b - k * INTERVAL 15 MINUTE AS "start", b - k * INTERVAL 15 MINUTE + INTERVAL 1 HOUR AS "end", max(value) AS high, min(value) AS low, {s6("avg(value)")} AS mean, count(*) AS n
+FROM s GROUP BY 1, 2, 3 HAVING b - k * INTERVAL 15 MINUTE + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""".replace("HAVING b - k * INTERVAL 15 MINUTE + INTERVAL 1 HOUR", 'HAVING "end"')
+)
+def streamed_sliding_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = live.run_once(live.sliding_bars(live.event_ticks(spark, sf_dir)), "sliding")
+    return made.withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz"), "mean": f6("mean")})
+
+
 @registered()
 def discovered_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = features.robust_scale(features.preprocess(weekly_bars(spark, sf_dir), 12), ["log_return", "realized_vol", "dollar_volume"])
