@@ -16,7 +16,7 @@ from barloom.operators.forecast import walk_forward
 from barloom.plans.pipeline import MARKETS, run_pipeline
 from barloom.streaming import live
 from barloom.streaming.order_life import order_life
-from barloom.sources import artifacts
+from barloom.sources import artifacts, brokers, html_tables
 from barloom.sources.panel import generated_ohlcv, hourly_bars, read_ohlcv, table, user_days, weekly_bars
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -580,6 +580,61 @@ def streamed_sliding_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz"), "mean": f6("mean")})
 
 
+@registered(
+    """WITH o AS (SELECT ['gemini', 'tradingview', 'robinhood_crypto'][CAST(o_custkey % 3 AS INTEGER) + 1] AS adapter, CAST(o_orderkey AS VARCHAR) AS order_id, o_orderpriority AS symbol, CASE o_orderstatus WHEN 'O' THEN 'open' ELSE 'filled' END AS state FROM orders),
+h AS (SELECT ['gemini', 'robinhood_crypto'][CAST(c_nationkey % 2 AS INTEGER) + 1] AS adapter, c_mktsegment AS symbol, CAST(count(*) AS DOUBLE) AS quantity FROM customer GROUP BY 1, 2),
+s AS (SELECT adapter, 'get_open_orders' AS action, 'ok' AS status, order_id AS target FROM o WHERE state = 'open'
+ UNION ALL SELECT adapter, 'cancel_all_orders', 'ok', order_id FROM o WHERE state = 'open' AND adapter <> 'tradingview'
+ UNION ALL SELECT adapter, 'get_positions', 'ok', symbol FROM h)
+SELECT adapter, action, status, count(*) AS n, min(target) AS low, max(target) AS high FROM s GROUP BY 1, 2, 3
+UNION ALL SELECT * FROM (VALUES ('tradingview', 'cancel_all_orders', 'cancel_all_orders_not_supported', 0, NULL, NULL), ('tradingview', 'get_positions', 'get_positions_not_supported', 0, NULL, NULL), ('nobody', 'get_positions', 'not_registered', 0, NULL, NULL), ('gemini', 'get_recent_fills', 'get_recent_fills_not_supported', 0, NULL, NULL))"""
+)
+def broker_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and customers recorded as brokers' tables, and reads, cancel-all and holdings through the router."""
+    path = live.scratch(spark, "brokers")
+    orders = table(spark, sf_dir, "orders").select(
+        F.element_at(F.array(*map(F.lit, ("gemini", "tradingview", "robinhood_crypto"))), (F.col("o_custkey") % 3 + 1).cast("int")).alias("adapter"),
+        F.col("o_orderkey").cast("string").alias("order_id"), F.col("o_orderpriority").alias("symbol"), F.lit("buy").alias("side"), F.col("o_totalprice").alias("quantity"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("filled").alias("state"),
+    )
+    held = table(spark, sf_dir, "customer").select(F.element_at(F.array(F.lit("gemini"), F.lit("robinhood_crypto")), (F.col("c_nationkey") % 2 + 1).cast("int")).alias("adapter"), F.col("c_mktsegment").alias("symbol")).groupBy("adapter", "symbol").agg(F.count("*").cast("double").alias("quantity"))
+    for adapter in ("gemini", "tradingview", "robinhood_crypto"):
+        orders.where(F.col("adapter") == adapter).drop("adapter").write.json(f"{path}/{adapter}.orders.jsonl")
+    held.where("adapter = 'gemini'").drop("adapter").write.json(f"{path}/gemini.positions.jsonl")
+    held.where("adapter = 'robinhood_crypto'").drop("adapter").write.json(f"{path}/robinhood_crypto.holdings.jsonl")
+    asked = [(a, x) for a in ("gemini", "tradingview", "robinhood_crypto") for x in ("get_open_orders", "cancel_all_orders", "get_positions")] + [("nobody", "get_positions"), ("gemini", "get_recent_fills")]
+    found = brokers.router_reads(spark, path, spark.createDataFrame(asked, "adapter string, action string"))
+    target = F.coalesce(F.get_json_object("item", "$.order_id"), F.get_json_object("item", "$.symbol"))
+    return found.groupBy("adapter", "action", "status").agg(F.count("item").alias("n"), F.min(target).alias("low"), F.max(target).alias("high"))
+
+
+@registered(
+    r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a\b[^>]*?href="[^"]*"[^>]*>.*?</a>', 0, 'is')) AS a, generate_subscripts(regexp_extract_all(html, '<a\b[^>]*?href="[^"]*"[^>]*>.*?</a>', 0, 'is'), 1) - 1 AS position FROM pages)
+SELECT page_id, CAST(position AS INTEGER) AS position, regexp_extract(a, 'href="([^"]*)"', 1, 'is') AS href,
+trim(replace(replace(replace(replace(replace(regexp_replace(a, '<[^>]*>', '', 'gs'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&')) AS link FROM l"""
+)
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's links by a table function."""
+    html_tables.register(spark)
+    return spark.sql("SELECT page_id, position, href, link FROM {pages}, LATERAL html_links(html)", pages=table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
+@registered(
+    r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a\b[^>]*?href="[^"]*"[^>]*>.*?</a>', 0, 'is')) AS a, generate_subscripts(regexp_extract_all(html, '<a\b[^>]*?href="[^"]*"[^>]*>.*?</a>', 0, 'is'), 1) - 1 AS position FROM pages),
+c AS (SELECT page_id, position, regexp_extract(a, 'href="([^"]*)"', 1, 'is') AS href, trim(regexp_replace(a, '<[^>]*>', '', 'gs')) AS link FROM l)
+SELECT page_id, 1 AS depth, 'inner' AS table_id, CAST(position AS INTEGER) AS row_no, 'No. ' || position || ' é' AS label, link, href FROM c"""
+)
+def nested_news_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's links laid out as a table inside a table's cell, unquoted, in single quotes and unclosed, read back."""
+    html_tables.register(spark)
+    anchors = F.regexp_extract_all("html", F.lit(r'(?is)<a\b[^>]*?href="[^"]*"[^>]*>.*?</a>'), F.lit(0))
+    rows = F.transform(anchors, lambda a, k: F.concat(F.lit("<TR class=x><td>No. "), k.cast("string"), F.lit(" &eacute;<td align='left'>"), a))
+    html = F.concat(F.lit("<table><tr><td>outer<table id=inner>"), F.array_join(rows, ""), F.lit("</table><td>end"))
+    laid = table(spark, sf_dir, "pages").select("page_id", html.alias("html"))
+    return spark.sql(
+        "SELECT page_id, depth, table_id, row_no, cells[0].text AS label, cells[1].link AS link, cells[1].href AS href FROM {laid}, LATERAL html_rows(html) WHERE table_id = 'inner'", laid=laid
+    )
+
+
 @registered()
 def discovered_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = features.robust_scale(features.preprocess(weekly_bars(spark, sf_dir), 12), ["log_return", "realized_vol", "dollar_volume"])
