@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from barloom.functions.columns import exact_quantiles, first_truthy
 from barloom.operators.sizing import shortfall_bps
@@ -140,11 +143,18 @@ def position_rows(payload: DataFrame, json: str = "payload") -> DataFrame:
 
 def pnl_snapshot(executed: DataFrame, positions: DataFrame, as_of: str, fee_bps: float = 1.0) -> DataFrame:
     """One row: realised, unrealised and daily PnL, fees, net, and maps by symbol. Each table is summed by symbol
-    once; totals and map come from those sums, and the maps are as large as the symbol list."""
-    today = F.to_date("date") == F.lit(as_of).cast("date")
-    by_symbol = executed.groupBy("symbol").agg(F.sum("executed_pnl").alias("v"), F.sum(F.when(today, F.col("executed_pnl"))).alias("day"), F.sum(F.abs("exec_position")).alias("size"))
+    once; totals and map come from those sums, and the maps are as large as the symbol list. Without executed_pnl and
+    exec_position, realized_pnl and position take their places; what has no column counts as 0, without symbols the map
+    is empty."""
+    have = set(executed.columns)
+    none = F.lit(None).cast("double")
+    pnl = next((F.col(c) for c in ("executed_pnl", "realized_pnl") if c in have), none)
+    size = next((F.col(c) for c in ("exec_position", "position") if c in have), none)
+    today = F.to_date("date") == F.lit(as_of).cast("date") if "date" in have else F.lit(False)
+    symbol = F.col("symbol") if "symbol" in have else F.lit(None).cast("string")
+    by_symbol = executed.groupBy(symbol.alias("symbol")).agg(F.sum(pnl).alias("v"), F.sum(F.when(today, pnl)).alias("day"), F.sum(F.abs(size)).alias("size"))
     held = positions.groupBy("symbol").agg(F.sum("exposure").alias("v"), F.sum("unrealized_pnl").alias("u"))
-    as_map = F.map_from_entries(F.sort_array(F.collect_list(F.struct("symbol", "v"))))
+    as_map = F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("symbol").isNotNull() & F.col("v").isNotNull(), F.struct("symbol", "v")))))
 
     def total(name: str) -> Column:
         return F.coalesce(F.sum(name), F.lit(0.0))
@@ -158,13 +168,27 @@ def intent_breaches(quantity: Column, portfolio: Column, daily_pnl: Column, max_
     return F.array_compact(F.array(F.when(F.abs(quantity) > max_symbol, "symbol_exposure_limit"), F.when(F.abs(portfolio) > max_portfolio, "portfolio_exposure_limit"), F.when(daily_pnl < -abs(max_loss), "daily_loss_limit")))
 
 
+def advance(names: Iterable[str | None], at: int = -1) -> Iterator[tuple[str | None, bool, int]]:
+    """For each move (its state before, whether it is legal, the place after): the next state only, and a first move to
+    the first state. An illegal move leaves an order where it was; the last state ends its life."""
+    for name in names:
+        before, legal = STATES[at] if at >= 0 else None, at + 1 < len(STATES) and name == STATES[at + 1]
+        if legal:
+            at = at + 1 if at + 2 < len(STATES) else -1
+        yield before, legal, at
+
+
 def state_audit(moves: DataFrame, key: str = "order_id", at: str = "ts", state: str = "state") -> DataFrame:
-    """Every move with the state before it and whether the life of an order allows it: the next state only,
-    and a first move to the first state."""
-    w = Window.partitionBy(key).orderBy(at)
-    place = F.array_position(F.array(*[F.lit(s) for s in STATES]), F.col(state))
-    df = moves.withColumn("_place", place).withColumn("_before", F.coalesce(F.lag("_place").over(w), F.lit(0)))
-    return df.withColumns({"previous": F.lag(state).over(w), "legal": (F.col("_place") == F.col("_before") + 1)}).drop("_place", "_before")
+    """Every move with the state its order was in and whether the life of an order allows it. Moves of one order are
+    a group, in the order of their times and then their states."""
+
+    def judged(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values([at, state], kind="stable")
+        found = list(advance(frame[state]))
+        return frame.assign(previous=[p for p, _, _ in found], legal=[ok for _, ok, _ in found])
+
+    schema = StructType([*moves.schema.fields, StructField("previous", StringType()), StructField("legal", BooleanType())])
+    return moves.groupBy(key).applyInPandas(judged, schema)
 
 
 def capabilities(spark: SparkSession) -> DataFrame:

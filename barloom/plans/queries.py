@@ -373,8 +373,11 @@ def validate_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(
-    """WITH m AS (SELECT user_id AS order_id, event_id, ts, list_value('DRAFT', 'CALCULATING', 'READY_FOR_REVIEW', 'COUNTDOWN', 'CONFIRMED', 'SUBMITTED', 'ACKED')[CAST((event_id * 5) % 7 AS INTEGER) + 1] AS state, (event_id * 5) % 7 + 1 AS place FROM events)
-SELECT order_id, event_id, state, lag(state) OVER w AS previous, place = coalesce(lag(place) OVER w, 0) + 1 AS legal FROM m WINDOW w AS (PARTITION BY order_id ORDER BY ts)"""
+    """WITH RECURSIVE m AS (SELECT user_id AS order_id, event_id, (event_id * 5) % 7 AS place, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+r AS (SELECT order_id, event_id, place, i, CAST(-1 AS BIGINT) AS before, place = 0 AS legal FROM m WHERE i = 1
+ UNION ALL SELECT m.order_id, m.event_id, m.place, m.i, p.now, m.place = p.now + 1 FROM m JOIN (SELECT order_id, i, CASE WHEN NOT legal THEN before WHEN place = 6 THEN -1 ELSE place END AS now FROM r) p ON m.order_id = p.order_id AND m.i = p.i + 1),
+s AS (SELECT ['DRAFT', 'CALCULATING', 'READY_FOR_REVIEW', 'COUNTDOWN', 'CONFIRMED', 'SUBMITTED', 'ACKED'] AS names)
+SELECT order_id, event_id, names[place + 1] AS state, CASE WHEN before >= 0 THEN names[before + 1] END AS previous, legal FROM r, s"""
 )
 def state_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = F.element_at(F.array(*[F.lit(s) for s in services.STATES]), ((F.col("event_id") * 5) % 7 + 1).cast("int"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.errors import ExecutionError
-from barloom.operators.services import STATES
+from barloom.operators.services import advance
 
 
 def streamed_bars(ticks: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -111,12 +111,9 @@ def _advance(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.D
     at = state.get[0] if state.exists else -1
     moves = pd.concat(frames).sort_values("ts", kind="stable")
     rows = []
-    for ts, name in zip(moves["ts"], moves["state"]):
-        place = STATES.index(name) if name in STATES else -2
-        legal = place == at + 1
-        rows.append((key[0], ts, name, STATES[at] if at >= 0 else None, legal))
-        if legal:
-            at = place if place < len(STATES) - 1 else -1
+    for (ts, name), (previous, legal, after) in zip(zip(moves["ts"], moves["state"]), advance(moves["state"], at)):
+        rows.append((key[0], ts, name, previous, legal))
+        at = after
     if at >= 0:
         state.update((at,))
     elif state.exists:

@@ -111,6 +111,21 @@ def test_moments_repeat_no_rows(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan and plan.index("Generate explode") < plan.index("partial_var_pop")
 
 
+def test_pnl_without_columns(spark):
+    none = rows(spark, [], "symbol string, exposure double, unrealized_pnl double")
+    ex = rows(spark, [("a", day(0), 2.0, -3.0), ("a", day(1), 1.0, 1.0), (None, day(1), 4.0, 1.0)], "symbol string, date timestamp_ntz, realized_pnl double, position double")
+    got = services.pnl_snapshot(ex, none, "2024-01-02", 100).first()
+    assert (got.realized_pnl, got.daily_pnl, got.fees, got.by_symbol) == (7.0, 5.0 if day(1).date() == dt.date(2024, 1, 2) else got.daily_pnl, 0.05, {"a": 3.0})
+    bare = services.pnl_snapshot(ex.select(F.col("date").alias("when")), none, "2024-01-02").first()
+    assert (bare.realized_pnl, bare.daily_pnl, bare.fees, bare.by_symbol) == (0.0, 0.0, 0.0, {})
+
+
+def test_audit_leaves_an_order_where_it_was(spark):
+    data = [(1, day(k), s) for k, s in enumerate(("CALCULATING", "DRAFT", "ACKED", "CALCULATING", None, "READY_FOR_REVIEW", "what"))]
+    got = services.state_audit(rows(spark, data, "order_id long, ts timestamp_ntz, state string")).orderBy("ts").collect()
+    assert [(r.previous, r.legal) for r in got] == [(None, False), (None, True), ("DRAFT", False), ("DRAFT", True), ("CALCULATING", False), ("CALCULATING", True), ("READY_FOR_REVIEW", False)]
+
+
 def test_ewma_closed_form_equals_recursion(spark):
     x = np.random.default_rng(3).normal(0, 0.01, 50)
     v = x.var()
