@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,5 +61,20 @@ def forget(*tables: DataFrame | None) -> None:
             delete(df.sparkSession, df.table_path)
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """What runs inside sends at most so many rows at once to a Python worker: with whole texts in them, the default
+    of 10,000 rows holds hundreds of MB in the executor and its worker. The session's setting is put back."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def partitions_for(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

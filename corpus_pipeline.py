@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import decontaminate, ngram_join, quality_net, secret_ledger, vector_packing
-from barloom.llm.shared import cut_lineage, forget, table
+from barloom.llm.shared import cut_lineage, forget, small_batches, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +55,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other; each one's table goes once the next is written."""
     docs, before = table(spark, sf_dir, "documents"), None
-    for _, stage in STAGES:
-        docs = cut_lineage(stage(spark, docs, sf_dir))
-        forget(before)
-        before = docs
+    with small_batches(spark):
+        for _, stage in STAGES:
+            docs = cut_lineage(stage(spark, docs, sf_dir))
+            forget(before)
+            before = docs
     return docs
