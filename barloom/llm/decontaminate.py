@@ -1,10 +1,12 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Text is compared in a normal form: lower case, every run of signs other than letters and digits one
-space. A test item of m characters may occur with up to k = min(ERROR_RATE * m, m / LEAST_PIECE - 1)
-edits. It is cut into k + 1 pieces; an occurrence with at most k edits leaves one of them unchanged, so
+space. A test item of m characters may occur with up to k = ERROR_RATE * m edits, rounded down. It is cut
+into k + 1 pieces; an occurrence with at most k edits leaves one of them unchanged, so
 exact piece hits (an Aho-Corasick automaton over all pieces) miss nothing. Around each hit, Myers'
-bit-parallel algorithm gives the least edit distance of the item to any stretch of the document.
+bit-parallel algorithm gives the least edit distance of the item to any stretch of the document; where many
+windows are to be searched, as with items made from one template, they are searched together, a column of
+all of them in a step.
 
 Up to FEW_BLOCKS blocks of items, of about BLOCK_CHARS characters each, are sent to the tasks, and documents are
 read in place, once for each block, and never shuffled. A larger benchmark is dealt out by piece: a bit array of
@@ -12,8 +14,8 @@ fixed size, which marks the pieces' first GRAM characters, is all that is sent;
 are joined with the pieces, and the pairs found so are verified, each text once whatever the number of its copies.
 Both ways give the same rows.
 
-Defined results: null and empty texts match nothing; an item of fewer than LEAST_ITEM normal
-characters matches without edits and between word bounds only (any place beside a sign of a script
+Defined results: null and empty texts match nothing; an item without a budget (fewer than 20 normal
+characters) matches without edits and between word bounds only (any place beside a sign of a script
 without spaces is one), so an item of one common word matches all documents with that word; an item
 without letters or digits matches none; an item without an item_id matches like all others and is reported
 with a null item_id; equal items each match; repeated document rows match alike; of an item's occurrences in a document
@@ -22,6 +24,7 @@ the one with the least distance, then the earliest, is reported, as offsets in t
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections.abc import Iterator
@@ -36,14 +39,17 @@ from barloom.llm import text_hash
 from barloom.llm.shared import cut_lineage, texts_of
 
 ERROR_RATE = 0.05
-LEAST_PIECE = 16
-LEAST_ITEM = 20
 BLOCK_CHARS = 4_000_000
 FEW_BLOCKS = 8
-#: Every piece of an item of LEAST_ITEM characters or more has GRAM characters at least.
-GRAM = 16
+#: Every piece of an item with a budget has GRAM characters at least: of 20 characters, ten.
+GRAM = 10
+#: Characters of windows from which on they are searched together.
+TOGETHER = 6_000
+#: Characters of windows that are searched together at once.
+LOT_CHARS = 4_000_000
 #: Bits of the array that marks them (16 MB).
 MARK_BITS = 1 << 27
+LEAST_WITH_BUDGET = math.ceil(1 / ERROR_RATE)
 
 _SIGNS = re.compile(r"[\W_]+")
 #: Signs of scripts without spaces: Thai, Lao, Burmese, Khmer, kana, Han.
@@ -56,7 +62,8 @@ def normal(text: str | None) -> str:
 
 
 def budget(m: int) -> int:
-    return max(0, min(int(ERROR_RATE * m), m // LEAST_PIECE - 1))
+    """Errors allowed in an item of m characters; with none (fewer than 20 characters) it must stand there as words."""
+    return int(ERROR_RATE * m)
 
 
 def pieces(item: str) -> list[tuple[int, str]]:
@@ -90,6 +97,58 @@ def myers(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
     return best, end
 
 
+def myers_together(items: list[str], which: np.ndarray, text: str, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As myers() for many windows of one text at once: window w is text[starts[w]:ends[w]], searched for
+    items[which[w]]. All windows move on by one character in a step; a row of 64-bit words holds a window's column."""
+    best, end = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
+    alphabet = np.array(sorted({ord(c) for item in items for c in item}), np.uint32)
+    signs = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    place = np.searchsorted(alphabet, signs)
+    codes = np.where(alphabet[np.minimum(place, len(alphabet) - 1)] == signs, place, len(alphabet)).astype(np.int32)
+    sizes = np.array([len(item) for item in items])
+    words = -(-sizes // 64)
+    for n in np.unique(words[which]):
+        of = np.unique(which[words[which] == n])
+        peq = np.zeros((len(of), len(alphabet) + 1, n), np.uint64)
+        for row, k in enumerate(of):
+            item = np.searchsorted(alphabet, np.frombuffer(items[k].encode("utf-32-le", "surrogatepass"), np.uint32))
+            at = np.arange(len(item))
+            np.bitwise_or.at(peq[row], (item, at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
+        mine = np.nonzero(words[which] == n)[0]
+        # Windows of about one length go together.
+        mine = mine[np.argsort(ends[mine] - starts[mine], kind="stable")]
+        lot = max(1, LOT_CHARS // int((ends[mine] - starts[mine]).max(initial=1)))
+        for first in range(0, len(mine), lot):
+            rows = mine[first : first + lot]
+            best[rows], end[rows] = _columns(peq, np.searchsorted(of, which[rows]), sizes[which[rows]], codes, starts[rows], ends[rows])
+    return best, end
+
+
+def _columns(peq: np.ndarray, item: np.ndarray, m: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    one, n = np.uint64(1), peq.shape[2]
+    up, down = np.full((n, len(item)), ~np.uint64(0)), np.zeros((n, len(item)), np.uint64)
+    last = ((m - 1) % 64).astype(np.uint64)
+    distance, best, end, length = m.copy(), m.copy(), np.zeros(len(m), np.int64), ends - starts
+    for t in range(int(length.max(initial=0))):
+        sign = codes[np.minimum(starts + t, len(codes) - 1)]
+        rise, fall = np.zeros(len(item), np.uint64), np.zeros(len(item), np.uint64)
+        for w in range(n):
+            eq = peq[item, sign, w]
+            vertical = eq | down[w]
+            eq |= fall
+            across = (((eq & up[w]) + up[w]) ^ up[w]) | eq
+            plus, minus = down[w] | ~(across | up[w]), up[w] & across
+            if w == n - 1:
+                distance += ((plus >> last) & one).astype(np.int64) - ((minus >> last) & one).astype(np.int64)
+            next_rise, next_fall = plus >> np.uint64(63), minus >> np.uint64(63)
+            plus, minus = (plus << one) | rise, (minus << one) | fall
+            up[w], down[w] = minus | ~(vertical | plus), plus & vertical
+            rise, fall = next_rise, next_fall
+        better = (distance < best) & (t < length)
+        best[better], end[better] = distance[better], t + 1
+    return best, end
+
+
 def is_bound(text: str, at: int) -> bool:
     """Whether a word can begin or end at that place of the normal text."""
     if at in (0, len(text)) or " " in text[at - 1 : at + 1]:
@@ -116,24 +175,32 @@ class Matcher:
         self.empty = not found
 
     def windows(self, text: str) -> dict[int, list[list[int]]]:
-        """For each item that a piece hit, the stretches that can hold it, merged where they meet."""
+        """For each item that a piece hit, the stretches that can hold it: one for the pieces of one occurrence, so none
+        is longer than the item and four times its budget."""
         out: dict[int, list[list[int]]] = {}
+        begins: dict[int, list[int]] = {}
         for end, (size, places) in self.automaton.iter(text):
             for n, offset in places:
                 m = len(self.items[n][1])
                 k = budget(m)
                 begin = end + 1 - size - offset
-                if m < LEAST_ITEM:
+                if not k:
                     # The piece is the whole item; its first place is the result.
                     if n not in out and is_bound(text, begin) and is_bound(text, end + 1):
                         out[n] = [[begin, end + 1]]
                     continue
-                a, b = max(0, begin - k), min(len(text), begin + m + k)
-                spans = out.setdefault(n, [])
-                if spans and a <= spans[-1][1] and b >= spans[-1][0]:
-                    spans[-1][0], spans[-1][1] = min(a, spans[-1][0]), max(b, spans[-1][1])
-                else:
-                    spans.append([a, b])
+                begins.setdefault(n, []).append(begin)
+        for n, places in begins.items():
+            m = len(self.items[n][1])
+            k = budget(m)
+            spans = out[n] = []
+            places.sort()
+            first = None
+            for begin in places:
+                if first is None or begin > first + 2 * k:
+                    first = begin
+                    spans.append([max(0, begin - k), 0])
+                spans[-1][1] = min(len(text), begin + m + k)
         return out
 
     def hits(self, text: str) -> list[tuple[int | None, int, int, int]]:
@@ -141,24 +208,39 @@ class Matcher:
         out: list[tuple[int | None, int, int, int]] = []
         if self.empty:
             return out
+        near = {}
         for n, spans in self.windows(text).items():
+            if budget(len(self.items[n][1])):
+                near[n] = spans
+            else:
+                out.append((self.items[n][0], 0, *spans[0]))
+        for n, (distance, end) in sorted(self.nearest(text, near).items()):
             item_id, item = self.items[n]
-            if len(item) < LEAST_ITEM:
-                out.append((item_id, 0, *spans[0]))
-                continue
+            if distance <= budget(len(item)):
+                # The same search backwards from the end finds where the stretch starts.
+                stretch = text[max(0, end - len(item) - distance) : end]
+                out.append((item_id, distance, end - myers_prefix(item[::-1], stretch[::-1], distance), end))
+        return out
+
+    def nearest(self, text: str, near: dict[int, list[list[int]]]) -> dict[int, tuple[int, int]]:
+        """(distance, end) of each item: the least distance in its windows, and the first end with it."""
+        out: dict[int, tuple[int, int]] = {}
+        if sum(b - a for spans in near.values() for a, b in spans) >= TOGETHER:
+            order = list(near)
+            which = np.repeat(np.arange(len(order)), [len(near[n]) for n in order])
+            starts, ends = np.array([span for n in order for span in near[n]], np.int64).T
+            best, end = myers_together([self.items[n][1] for n in order], which, text, starts, ends)
+            for k, d, e in zip(which.tolist(), best.tolist(), (starts + end).tolist()):
+                out[order[k]] = min(out.get(order[k], (d, e)), (d, e))
+            return out
+        for n, spans in near.items():
+            item = self.items[n][1]
             masks = self.masks.get(n)
             if masks is None:
                 masks = self.masks[n] = masks_of(item)
-            least = None
-            for a, b in sorted(spans):
+            for a, b in spans:
                 distance, end = myers(masks, len(item), text[a:b])
-                if distance <= budget(len(item)) and (least is None or distance < least[0]):
-                    # The same search backwards from the end finds where the stretch starts.
-                    stretch = text[max(0, a + end - len(item) - distance) : a + end]
-                    size = myers_prefix(item[::-1], stretch[::-1], distance)
-                    least = (distance, a + end - size, a + end)
-            if least:
-                out.append((item_id, *least))
+                out[n] = min(out.get(n, (distance, a + end)), (distance, a + end))
         return out
 
 
@@ -269,8 +351,8 @@ def hits_by_piece(texts: DataFrame, items: DataFrame) -> DataFrame:
     that occurs in it."""
     spark = items.sparkSession
     known = cut_lineage(items.mapInArrow(_normal_items, "item_id long, text string").where("text <> ''").withColumn("item_key", F.monotonically_increasing_id()))
-    longer = known.where(F.char_length("text") >= LEAST_ITEM)
-    short = known.where(F.char_length("text") < LEAST_ITEM).select("item_id", "text")
+    longer = known.where(F.char_length("text") >= LEAST_WITH_BUDGET)
+    short = known.where(F.char_length("text") < LEAST_WITH_BUDGET).select("item_id", "text")
     grams = cut_lineage(longer.select("item_key", "text").mapInArrow(_piece_grams, "item_key long, gram long"))
     # hash % MARK_BITS, of the hash as it is without a sign: its low bits. At most MARK_BITS / 64 rows.
     bit = F.col("gram").bitwiseAND(F.lit(MARK_BITS - 1))
