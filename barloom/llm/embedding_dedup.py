@@ -5,10 +5,11 @@ floor((a.x + b) / WIDTH). The number of projections grows with the log of the la
 that chance bucket mates stay few, and the number of tables with it so that a pair at the threshold is
 missed with probability MISS at most. Inside a bucket all cosines are computed, in double precision.
 
-Equal vectors of a label form one class, counted once with its number. A bucket of more than BLOCK
+Equal vectors of a label form one class, counted once with its number. Numbers and buckets alone are dealt out; a
+vector, in the width it came in, is fetched only for buckets that hold another one. A bucket of more than BLOCK
 classes is dealt out to tasks as pairs of blocks, so that no task holds more than two blocks of it and no
-pair is left out. A pair that shares several buckets counts in the first table where it does. Tasks
-return sums of links and a spanning set of edges, never all pairs.
+pair is left out. A pair that shares several buckets counts in the first table where it does, decided on whole 64-bit
+buckets. Tasks return sums of links and a spanning set of edges, never all pairs.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows with a null
 label, link with nothing and are their own components; vectors of different lengths never link; repeated
@@ -55,23 +56,29 @@ def table_sizes(rows: int, threshold: float = THRESHOLD) -> tuple[int, int]:
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(vec_id, label, vector as bytes of doubles scaled to length one, or null)."""
+    """(vec_id, label, vector as bytes of its floats or doubles, or null)."""
     for batch in batches:
         vectors = []
         for label, values in zip(batch.column(1).to_pylist(), batch.column(2)):
             vector = None
             if label is not None and values.is_valid and len(values) and not values.values.null_count:
-                x = values.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                if np.isfinite(x).all() and (top := np.abs(x).max()) > 0:
-                    x = x / top
-                    vector = (x / np.linalg.norm(x)).tobytes()
+                x = values.values.to_numpy(zero_copy_only=False)
+                if np.isfinite(x).all() and np.abs(x).max() > 0:
+                    vector = x.tobytes()
             vectors.append(vector)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(vectors, pa.binary())], names=["vec_id", "label", "vector"])
 
 
-def _buckets(hashes: int, tables: int):
-    """(id, number, vector, signature, table, bucket): a row for each table. The signature holds the
-    bucket of every table in four bytes each."""
+def _unit(vectors: list[bytes], kind: str) -> np.ndarray:
+    """Vectors of one size as doubles, scaled to length one."""
+    x = np.frombuffer(b"".join(vectors), kind).reshape(len(vectors), -1).astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def _buckets(hashes: int, tables: int, kind: str):
+    """(id, number, vector, signature): the signature holds the bucket of every table."""
+    width = np.dtype(kind).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -81,36 +88,26 @@ def _buckets(hashes: int, tables: int):
                 raw = part.column(3).to_pylist()
                 by_size: dict[int, list[int]] = {}
                 for row, x in enumerate(raw):
-                    by_size.setdefault(len(x) // 8, []).append(row)
+                    by_size.setdefault(len(x) // width, []).append(row)
                 for size, rows in by_size.items():
                     if size not in planes:
                         rng = np.random.Generator(np.random.PCG64([SEED, size]))
                         planes[size] = (rng.normal(size=(size, tables * hashes)), rng.uniform(0, WIDTH, tables * hashes), rng.integers(1, 1 << 62, hashes, dtype=np.int64) * 2 + 1)
                     a, b, turn = planes[size]
-                    x = np.frombuffer(b"".join(raw[r] for r in rows)).reshape(-1, size)
+                    x = _unit([raw[r] for r in rows], kind)
                     cell = np.floor((x @ a + b) / WIDTH).astype(np.int64).reshape(len(rows), tables, hashes)
                     value = (cell * turn).sum(2)
                     labels = np.array(part.column(1).take(pa.array(rows)).to_pylist(), np.int64)
                     value = (value ^ (value >> 29)) * 0x1B873593CC9E2D51 + (labels * 1_000_003 + size)[:, None] * 0x2545F4914F6CDD1D
                     value ^= value >> 32
-                    signature = (value & 0xFFFFFFFF).astype(np.uint32)
-                    at = pa.array(np.repeat(rows, tables))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            part.column(0).take(at),
-                            part.column(2).take(at),
-                            part.column(3).take(at),
-                            pa.array([s.tobytes() for s in signature], pa.binary()).take(pa.array(np.repeat(np.arange(len(rows)), tables))),
-                            pa.array(np.tile(np.arange(tables, dtype=np.int32), len(rows))),
-                            pa.array(value.ravel()),
-                        ],
-                        names=["id", "number", "vector", "signature", "table", "bucket"],
-                    )
+                    at = pa.array(rows)
+                    signature = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * tables), pa.array(value.ravel()))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(2).take(at), part.column(3).take(at), signature], names=["id", "number", "vector", "signature"])
 
     return run
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, kind: str):
     """One group of buckets (or block pairs of them) to (id, links, other): sums of links, and edges."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -121,15 +118,17 @@ def _compare(threshold: float):
         by = np.lexsort(keys.T[::-1])
         cuts = np.append(np.flatnonzero(np.concatenate([[True], (keys[by[1:]] != keys[by[:-1]]).any(axis=1)])), len(by))
         out_id, out_links, edge_a, edge_b = [], [], [], []
-        vector, signature = column["vector"].to_pylist(), column["signature"].to_pylist()
+        vector = column["vector"].to_pylist()
+        signature = column["signature"].combine_chunks()
+        signature = signature.flatten().to_numpy().reshape(len(ids), -1)
         for c0, c1 in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             rows = by[c0:c1]
             table, _, low, high = keys[rows[0]].tolist()
             sides = [rows[own[rows] == low], rows[own[rows] == high]] if low != high else [rows, rows]
             if not all(map(len, sides)) or len(rows) < 2:
                 continue
-            x, y = (np.frombuffer(b"".join(vector[r] for r in side)).reshape(len(side), -1) for side in sides)
-            sx, sy = (np.frombuffer(b"".join(signature[r] for r in side), np.uint32).reshape(len(side), -1)[:, :table] for side in sides)
+            x, y = (_unit([vector[r] for r in side], kind) for side in sides)
+            sx, sy = (signature[side][:, :table] for side in sides)
             links = [np.zeros(len(side), np.int64) for side in sides]
             first = np.full(len(y), -1)  # of each right row, the first left row that it links to
             for k in range(0, len(x), 256):
@@ -193,7 +192,10 @@ def _spanning(pairs: np.ndarray) -> np.ndarray:
 
 def near_duplicate_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """embeddings: vec_id, embedding, label. Returns vec_id, n_links, component_id, kept for each row."""
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    single = embeddings.schema["embedding"].dataType.simpleString() == "array<float>"
+    kind = "<f4" if single else "<f8"
+    vector = F.col("embedding").cast("array<float>" if single else "array<double>")
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), vector.alias("embedding"))
     rows = cut_lineage(rows.mapInArrow(_clean, "vec_id long, label long, vector binary"))
     valid = rows.where("vector is not null")
     # Written down, so that a class keeps its number.
@@ -201,16 +203,17 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = THRESHOLD)
     classes = cut_lineage(classes.withColumn("id", F.monotonically_increasing_id()))
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     hashes, tables = table_sizes(most, threshold)
-    dealt = classes.select("id", "label", "number", "vector").mapInArrow(_buckets(hashes, tables), "id long, number long, vector binary, signature binary, table int, bucket long")
-    dealt = cut_lineage(dealt)
+    signed = cut_lineage(classes.select("id", "label", "number", "vector").mapInArrow(_buckets(hashes, tables, kind), "id long, number long, vector binary, signature array<long>"))
+    dealt = signed.select("id", F.posexplode("signature").alias("table", "bucket"))
     sizes = dealt.groupBy("table", "bucket").agg(F.count("*").alias("mates")).where("mates > 1")
     pieces = F.ceil(F.col("mates") / BLOCK)
     shared = dealt.join(sizes, ["table", "bucket"]).withColumn("own", F.pmod(F.xxhash64("id"), pieces)).withColumn("mate", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
+    shared = shared.join(signed, "id")
     blocks = shared.select("id", "number", "vector", "signature", F.col("table").cast("long").alias("table"), "bucket", "own", F.least("own", "mate").alias("low"), F.greatest("own", "mate").alias("high"))
     # Every row of a bucket goes to each of the bucket's pieces.
     rows_out = sizes.agg(F.sum(F.col("mates") * pieces)).first()[0] or 0
     groups = max(partitions_for(embeddings), rows_out // GROUP_ROWS)
-    compared = blocks.groupBy(F.pmod(F.xxhash64("table", "bucket", "low", "high"), F.lit(groups)).alias("deal")).applyInArrow(_compare(threshold), "id long, links long, other long")
+    compared = blocks.groupBy(F.pmod(F.xxhash64("table", "bucket", "low", "high"), F.lit(groups)).alias("deal")).applyInArrow(_compare(threshold, kind), "id long, links long, other long")
     compared = cut_lineage(compared)
     links = compared.where("other is null").groupBy("id").agg(F.sum("links").alias("links"))
     components = connected_components(compared.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
@@ -221,5 +224,5 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = THRESHOLD)
     known = rows.where("vec_id is not null").join(known, ["label", "vector"], "left").unionByName(rows.where("vec_id is null").withColumns({"n_links": F.lit(0).cast("long"), "component": F.lit(None).cast("long")}))
     out = known.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
     out = cut_lineage(out)
-    forget(rows, classes, dealt, compared, components)
+    forget(rows, classes, signed, compared, components)
     return out
