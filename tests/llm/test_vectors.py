@@ -52,8 +52,8 @@ def test_groups_of_many_labels(spark, monkeypatch):
     """Groups stay near GROUP_ROWS when many labels of like size share them."""
     compare = embedding_dedup._compare
 
-    def watched(threshold):
-        run = compare(threshold)
+    def watched(*options):
+        run = compare(*options)
 
         def small(group):
             assert group.num_rows <= 200, group.num_rows
@@ -72,6 +72,15 @@ def test_groups_of_many_labels(spark, monkeypatch):
     assert all(r.component_id == r.vec_id // 6 * 6 and r.n_links == 5 for r in got) and len(got) == len(made)
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_scaled_copies_and_signs_of_zero(spark, kind):
+    base = [1.0, 0.0, -2.5, 0.0, 3.25, 1e-3]
+    made = [(1, base), (2, [2 * x for x in base]), (3, [-0.0 if x == 0 else x for x in base]), (4, [1e30 * x for x in base]), (5, [-x for x in base]), (6, [1e-30 * x for x in base]), (7, base)]
+    df = spark.createDataFrame([(i, v, 3) for i, v in made], f"vec_id long, embedding array<{kind}>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicate_vectors(df).collect()}
+    assert got == {i: (0, 5) if i == 5 else (5, 1) for i in range(1, 8)}
+
+
 def test_empty_and_null_ids(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert embedding_dedup.near_duplicate_vectors(spark.createDataFrame([], schema)).collect() == []
