@@ -107,34 +107,34 @@ def level_sums(plan: Plan, folds: slice, rank: np.ndarray, left: np.ndarray, bin
     return out.reshape(len(first), nodes, 2, starts[-1])
 
 
-def best_splits(plan: Plan, fold: int, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each node of a fold: feature, cut, and the mean residual left and right of it. sums: (node, 2, bin)."""
-    starts, nodes = plan.starts, len(sums)
-    n_all, s_all = sums[:, 0, : starts[1]].sum(1), sums[:, 1, : starts[1]].sum(1)
-    best, feature, cut = np.full(nodes, LEAST_GAIN), np.zeros(nodes, np.int16), np.full(nodes, 65535, np.uint16)
+def best_splits(plan: Plan, folds: slice, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each (fold, node): feature, cut, and the mean residual left and right of it. sums: (fold, node, 2, bin)."""
+    starts = plan.starts
+    n_all, s_all = sums[:, :, 0, : starts[1]].sum(2), sums[:, :, 1, : starts[1]].sum(2)
+    best, feature, cut = np.full(n_all.shape, LEAST_GAIN), np.zeros(n_all.shape, np.int16), np.full(n_all.shape, 65535, np.uint16)
     n_left, s_left = n_all.copy(), s_all.copy()
-    of = np.arange(nodes)
     for f in range(len(plan.cuts)):
         if not len(plan.cuts[f]):
             continue
-        n, s = (sums[:, k, starts[f] : starts[f + 1] - 1].cumsum(1) for k in (0, 1))
-        m, t = n_all[:, None] - n, s_all[:, None] - s
-        known = plan.since[f] <= plan.first[fold]
-        gain = np.where((n > 0) & (m > 0) & known[None, :], s**2 / np.maximum(n, 1) + t**2 / np.maximum(m, 1) - (s_all**2 / np.maximum(n_all, 1))[:, None], -1)
-        at = gain.argmax(1)
-        better = gain[of, at] > best
-        best[better], feature[better], cut[better] = gain[of, at][better], f, at[better]
-        n_left[better], s_left[better] = n[of, at][better], s[of, at][better]
-    means = np.stack([s_left / np.maximum(n_left, 1), (s_all - s_left) / np.maximum(n_all - n_left, 1)], 1)
+        n, s = (sums[:, :, k, starts[f] : starts[f + 1] - 1].cumsum(2) for k in (0, 1))
+        m, t = n_all[:, :, None] - n, s_all[:, :, None] - s
+        known = plan.since[f][None, :] <= plan.first[folds][:, None]
+        gain = np.where((n > 0) & (m > 0) & known[:, None, :], s**2 / np.maximum(n, 1) + t**2 / np.maximum(m, 1) - (s_all**2 / np.maximum(n_all, 1))[:, :, None], -1)
+        at = gain.argmax(2)
+        here = [np.take_along_axis(x, at[:, :, None], 2)[:, :, 0] for x in (gain, n, s)]
+        better = here[0] > best
+        best[better], feature[better], cut[better] = here[0][better], f, at[better]
+        n_left[better], s_left[better] = here[1][better], here[2][better]
+    means = np.stack([s_left / np.maximum(n_left, 1), (s_all - s_left) / np.maximum(n_all - n_left, 1)], 2)
     return feature, cut, means
 
 
-def _set_level(trees: Trees, fold: int, tree: int, level: int, depth: int, rate: float, split: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+def _set_level(trees: Trees, folds: slice, tree: int, level: int, depth: int, rate: float, split: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
     feature, cut, means = split
     at = slice(2**level - 1, 2 ** (level + 1) - 1)
-    trees.feature[fold, tree, at], trees.cut[fold, tree, at] = feature, cut
+    trees.feature[folds, tree, at], trees.cut[folds, tree, at] = feature, cut
     if level == depth - 1:
-        trees.value[fold, tree] = rate * means.reshape(-1)
+        trees.value[folds, tree] = rate * means.reshape(len(means), -1)
 
 
 def grow_here(plan: Plan, folds: slice, rank: np.ndarray, y: np.ndarray, bins: np.ndarray, mean: np.ndarray, trees: int, depth: int, rate: float) -> Trees:
@@ -148,8 +148,7 @@ def grow_here(plan: Plan, folds: slice, rank: np.ndarray, y: np.ndarray, bins: n
             total = np.zeros((high - low, 2**level, 2, plan.starts[-1]))
             for b in blocks:
                 total += level_sums(plan, folds, rank[b], y[b] - fit[b.start], bins[b], out.nodes(folds, tree, bins[b], level), 2**level)
-            for k in range(low, high):
-                _set_level(out, k, tree, level, depth, rate, best_splits(plan, k, total[k - low]))
+            _set_level(out, folds, tree, level, depth, rate, best_splits(plan, folds, total))
         for b in blocks:
             fit[b.start] += out.value[folds, tree][np.arange(high - low)[:, None], out.nodes(folds, tree, bins[b], depth)]
     return out
@@ -227,7 +226,7 @@ def _split(plan: Plan, level: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
         now, total = None, None
 
         def out() -> pa.RecordBatch:
-            feature, cut, means = best_splits(plan, now, total)
+            feature, cut, means = best_splits(plan, slice(now, now + 1), total[None])
             return pa.RecordBatch.from_pylist([{"fold": now, "feature": feature.tobytes(), "cut": cut.tobytes(), "means": means.tobytes()}], pa.schema([("fold", pa.int32()), *[(c, pa.binary()) for c in ("feature", "cut", "means")]]))
 
         for batch in batches:
@@ -284,7 +283,7 @@ def grow_on_cluster(ranked: DataFrame, plan: Plan, features: list[str], mean: np
             sums = state.mapInArrow(_summed(plan, out.slice(slice(done, tree + 1)), level, depth), "fold int, sums binary")
             found = sums.repartition("fold").sortWithinPartitions("fold").mapInArrow(_split(plan, level), "fold int, feature binary, cut binary, means binary")
             for r in found.collect():
-                _set_level(out, r["fold"], tree, level, depth, rate, (np.frombuffer(r["feature"], np.int16), np.frombuffer(r["cut"], np.uint16), np.frombuffer(r["means"]).reshape(-1, 2)))
+                _set_level(out, slice(r["fold"], r["fold"] + 1), tree, level, depth, rate, (np.frombuffer(r["feature"], np.int16)[None], np.frombuffer(r["cut"], np.uint16)[None], np.frombuffer(r["means"]).reshape(1, -1, 2)))
     state.unpersist()
     delete(spark, base)
     return out
@@ -296,16 +295,17 @@ def grow_in_tasks(ranked: DataFrame, plan: Plan, features: list[str], mean: np.n
     at_hand = ranked.where(F.col("rank") < int(plan.first[-1])).select("rank", "symbol", "next_return", *features).orderBy("rank", "symbol").toArrow()
     rank, y, x = _rows_of(at_hand.combine_chunks(), features)
     sent = spark.sparkContext.broadcast((rank, y, plan.binned(x)))
-    deal = min(len(plan.first), 4 * spark.sparkContext.defaultParallelism)
+    together = min(FOLDS, -(-len(plan.first) // (2 * spark.sparkContext.defaultParallelism)))
+    deal = -(-len(plan.first) // together)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in batch.column(0).to_pylist():
-                # Early folds are small and late ones large, so every task takes one of each kind.
-                for k in range(part, len(plan.first), deal):
-                    rank, y, bins = sent.value
-                    mine = rank < plan.first[k]
-                    made = grow_here(plan, slice(k, k + 1), rank[mine], y[mine], bins[mine], mean, trees, depth, rate)
+                folds = slice(part * together, min(len(plan.first), (part + 1) * together))
+                rank, y, bins = sent.value
+                mine = rank < plan.first[folds.stop - 1]
+                made = grow_here(plan, folds, rank[mine], y[mine], bins[mine], mean, trees, depth, rate)
+                for k in range(folds.start, folds.stop):
                     yield pa.RecordBatch.from_pylist([{"fold": k, "feature": made.feature[k].tobytes(), "cut": made.cut[k].tobytes(), "value": made.value[k].tobytes()}], pa.schema([("fold", pa.int32()), *[(c, pa.binary()) for c in ("feature", "cut", "value")]]))
 
     out = Trees.blank(mean, trees, depth)

@@ -212,16 +212,15 @@ def neighbour_layout(x: np.ndarray, axes: int = 2, neighbours: int = 15, epochs:
         gap = y[i] - y[j]
         d2 = (gap**2).sum(1)
         pull = np.clip((-2 * p * q * np.where(d2 > 0, d2, 1) ** (q - 1) / (1 + p * d2**q))[:, None] * gap, -4, 4) * rate
-        step, count = np.zeros_like(y), np.zeros(n)
-        for ends, sign in ((i, 1.0), (j, -1.0)):
-            np.add.at(step, ends, sign * pull)
-            np.add.at(count, ends, 1)
-            for _ in range(repel):
-                other = rng.integers(0, n, len(ends))
-                away = y[ends] - y[other]
-                r2 = (away**2).sum(1)
-                push = np.clip((2 * q / ((0.001 + r2) * (1 + p * r2**q)))[:, None] * away, -4, 4) * rate
-                np.add.at(step, ends, np.where((other != ends)[:, None], push, 0))
+        ends = np.concatenate([i, j])
+        other = rng.integers(0, n, (repel, len(ends)))
+        away = y[ends] - y[other]
+        r2 = (away**2).sum(2)
+        # A point drawn against itself is no distance away, and no push comes of it.
+        push = np.clip((2 * q / ((0.001 + r2) * (1 + p * r2**q)))[:, :, None] * away, -4, 4).sum(0) * rate
+        moved = np.concatenate([pull, -pull]) + push
+        step = np.stack([np.bincount(ends, moved[:, k], n) for k in range(axes)], 1)
+        count = np.bincount(ends, minlength=n)
         # All edges move at once, so a point with many takes their mean, at the pace of a few.
         y = y + step / np.maximum(1, count / 3)[:, None]
     return y

@@ -562,15 +562,15 @@ def streamed_order_life(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     """WITH o AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), f AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click')
-SELECT o.event_id AS order_id, o.user_id AS account, o.ts, f.event_id AS fill_id, f.ts AS filled FROM o LEFT JOIN f ON o.user_id = f.user_id AND f.ts >= o.ts AND f.ts <= o.ts + INTERVAL 2 HOUR
+SELECT o.event_id AS order_id, o.user_id AS account, o.ts, coalesce(f.event_id, -1) AS fill_id, f.ts AS filled FROM o LEFT JOIN f ON o.user_id = f.user_id AND f.ts >= o.ts AND f.ts <= o.ts + INTERVAL 2 HOUR
 WHERE f.event_id IS NOT NULL OR o.ts + INTERVAL 2 HOUR < least((SELECT max(ts) FROM o), (SELECT max(ts) FROM f)) - INTERVAL 1 HOUR"""
 )
 def streamed_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases with the same user's clicks of the next two hours, both from file streams."""
+    """Purchases with the same user's clicks of the next two hours (fill_id -1: none), both from file streams."""
     orders = live.event_ticks(spark, sf_dir).where("symbol = 'purchase'").select(F.col("event_id").alias("order_id"), F.col("user_id").alias("account"), "ts")
     fills = live.event_ticks(spark, sf_dir).where("symbol = 'click'").select(F.col("event_id").alias("fill_id"), F.col("user_id").alias("account"), F.col("ts").alias("filled"))
     made = live.run_once(live.orders_with_fills(orders, fills), "fills")
-    return made.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "filled")})
+    return made.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "filled")} | {"fill_id": F.coalesce("fill_id", F.lit(-1).cast("long"))})
 
 
 @registered(
