@@ -256,14 +256,17 @@ def _refitted(newer: Trees, depth: int) -> Callable[[Iterator[pa.RecordBatch]],
 
 
 def grow_on_cluster(ranked: DataFrame, plan: Plan, features: list[str], mean: np.ndarray, trees: int, depth: int, rate: float) -> Trees:
-    """One job for each level of each tree; fits are written every STATE_EVERY trees."""
+    """One job for each level of each tree; fits are written every STATE_EVERY trees. As many tasks as there are blocks,
+    the session's shuffle partitions at most."""
     spark = ranked.sparkSession
     base, written = scratch(spark, "trees"), 0
     fields = ["rank", "next_return", *features]
     # By date, so that a block's rows lie close in time and most blocks concern few chunks of folds.
-    table = ranked.where(F.col("rank") < int(plan.first[-1])).select(*fields).repartitionByRange(F.col("rank")).sortWithinPartitions("rank")
+    rows = ranked.where(F.col("rank") < int(plan.first[-1])).select(*fields)
+    most, blocks = int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // BLOCK)
+    table = rows.repartitionByRange(max(1, min(most, blocks)), "rank").sortWithinPartitions("rank")
     table = table.mapInArrow(_blocks(plan, features, mean), RECORD)
-    deal = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    deal = max(1, min(most, blocks * -(-len(plan.first) // FOLDS)))
 
     def store(records: DataFrame) -> DataFrame:
         nonlocal written
