@@ -84,6 +84,32 @@ def test_countdown_runs_out_wherever_batches_end(spark, tmp_path):
     assert kept <= 3 and kept_too <= 3
 
 
+def test_orders_share_state_by_groups(spark, tmp_path):
+    """900 orders, each judged as if alone: in time, too late, or left open; one move without an order, one without a time."""
+    moves, expected = [], []
+    for o in range(900):
+        late = 11 if o % 3 == 1 else 5
+        steps = [(0, 0), (1, 1), (2, 2), (3, 3), (4, 3 + late)] if o % 3 < 2 else [(0, 0), (2, 1)]
+        moves += [(o, START + dt.timedelta(seconds=t, microseconds=o), STATES[k]) for k, t in steps]
+        expected += [(o, STATES[k], STATES[k - 1] if k and not (k == 4 and late > 10) else None, not (k == 4 and late > 10)) for k, _ in steps if o % 3 < 2]
+        expected += [(o, "EXPIRED", "COUNTDOWN", True)] * (o % 3 == 1) + [(o, "DRAFT", None, True), (o, "READY_FOR_REVIEW", "DRAFT", False)] * (o % 3 == 2)
+    moves += [(None, START, "DRAFT"), (2**60 + 1, None, "DRAFT")]
+    expected += [(None, "DRAFT", None, True), (2**60 + 1, "DRAFT", None, True)]
+    path = str(tmp_path / "moves")
+    for part in ("ts is null or ts < '2024-01-01 00:00:02'", "ts >= '2024-01-01 00:00:02'"):
+        spark.createDataFrame(moves, MOVES).where(part).coalesce(1).write.mode("append").parquet(path)
+    stream = order_life(spark.readStream.schema(MOVES).option("maxFilesPerTrigger", 1).parquet(path), 10, "1 hour", groups=8)
+    with live.state_store(spark, live.KEYED_STORE):
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "rows")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = spark.read.schema(stream.schema).parquet(str(tmp_path / "rows")).collect()
+    assert sorted(((r.order_id, r.state, r.previous, r.legal) for r in got), key=str) == sorted(expected, key=str)
+    assert {r.ts for r in got if r.state == "EXPIRED" and r.order_id == 1} == {START + dt.timedelta(seconds=13, microseconds=1)}
+    assert [r.order_id for r in got if r.ts is None] == [2**60 + 1]
+    # A value and two entries of a timer for a group, not for an order.
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 27
+
+
 def test_fills_join_their_orders(spark, tmp_path):
     def at(minutes):
         return START + dt.timedelta(minutes=minutes)
