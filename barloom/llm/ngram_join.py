@@ -65,6 +65,8 @@ FLUSH = 1 << 19
 _PROFILE = "doc_id long, k1 long, k2 long, n int, token long, df long"
 _POSTINGS = "bucket int, token binary, doc binary, mark binary"
 _PAIRS = "kind int, a long, b long, need int, hits int"
+#: What is known of a document in an open list.
+POSTING = ("rep", "component", "n", "lone", "level", "l", "size")
 
 
 def _set_keys(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -336,30 +338,54 @@ def reachable(lists: DataFrame) -> DataFrame:
 def across_components(lists: DataFrame) -> DataFrame:
     """Pairs (a, b) of documents in different components that share enough of the open lists.
 
+    Two blocks of documents that meet in a list are compared in one task, which counts the shared lists of all
+    their pairs in a matrix. Where every document is like every other but few are linked, each block meets each:
+    the counting is quadratic then, and its memory bounded by a block's size."""
+    lists = reachable(lists)
+    packed = packed_blocks(lists)
+    rows_out = packed.groupBy("list").agg((F.sum("postings") * F.count("*")).alias("n")).agg(F.sum("n")).first()[0] or 0
+    # Several groups a task, so that pairs of blocks spread evenly over the tasks.
+    groups = max(8 * partitions_for(lists), rows_out // DEAL_ROWS)
+    deal = F.pmod(F.xxhash64("low", "high"), F.lit(groups)).alias("deal")
+    found = cut_lineage(meeting_blocks(packed).groupBy(deal).applyInArrow(_count_dealt, "a long, b long"))
+    forget(lists, packed)
+    return found
+
+
+def packed_blocks(lists: DataFrame) -> DataFrame:
+    """A row for each list and block of documents in it, with the block's postings of that list in an array.
+
     Documents are dealt into blocks of about equal numbers of postings: those of a component that fills a
     block into blocks of that component alone, all others by their smallest list, so that those with the
-    same lists come together. Two blocks that meet in a list are compared in one task, which counts the
-    shared lists of all their pairs in a matrix; blocks of one and the same component need no comparison. A
-    list goes to as many tasks as it has pairs of blocks, not of documents."""
-    lists = reachable(lists)
+    same lists come together; smallest lists of few postings share blocks."""
     block = block_postings(lists.count(), partitions_for(lists))
     docs = cut_lineage(lists.groupBy("rep", "component").agg(F.min("list").alias("anchor"), F.count("*").alias("weight")))
     large = cut_lineage(docs.groupBy("component").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= block).select("component", F.col("component").alias("solo")))
     key = F.when(F.col("solo").isNull(), F.xxhash64(F.lit("list"), "anchor")).otherwise(F.xxhash64(F.lit("component"), "solo"))
-    keyed = cut_lineage(docs.join(large, "component", "left").select("rep", "solo", "weight", key.alias("key")))
-    pieces = cut_lineage(keyed.groupBy("key").agg(F.ceil(F.sum("weight") / block).alias("pieces")))
-    own = F.xxhash64("key", F.pmod(F.xxhash64("rep"), F.col("pieces")))
-    dealt = cut_lineage(lists.join(keyed.join(pieces, "key").select("rep", "solo", own.alias("own")), "rep"))
-    meets = cut_lineage(dealt.select("list", F.col("own").alias("other"), F.col("solo").alias("other_solo")).distinct())
-    rows_out = dealt.groupBy("list").agg((F.count("*") * F.count_distinct("own")).alias("n")).agg(F.sum("n")).first()[0] or 0
-    # Several groups a task, so that pairs of blocks spread evenly over the tasks.
-    groups = max(8 * partitions_for(lists), rows_out // DEAL_ROWS)
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    met = dealt.join(meets, "list").where(F.col("solo").isNull() | F.col("other_solo").isNull() | (F.col("solo") != F.col("other_solo")))
-    rows = met.select("list", "rep", "component", "n", "lone", "level", "l", "size", "own", low.alias("low"), high.alias("high"))
-    found = cut_lineage(rows.groupBy(F.pmod(F.xxhash64("low", "high"), F.lit(groups)).alias("deal")).applyInArrow(_count_dealt, "a long, b long"))
-    forget(lists, docs, large, keyed, pieces, dealt, meets)
-    return found
+    keyed = cut_lineage(docs.join(large, "component", "left").select("rep", "weight", key.alias("key")))
+    pieces = cut_lineage(keyed.groupBy("key").agg(F.sum("weight").alias("weight")).select("key", F.ceil(F.col("weight") / block).alias("pieces"), (F.col("weight") < block / 8).alias("small")))
+    light = keyed.join(pieces.where("small"), "key", "left_semi").agg(F.sum("weight")).first()[0] or 0
+    # Half full on average, so that few exceed a block.
+    bins = 2 * light // block + 1
+    own = F.when(F.col("small"), F.xxhash64(F.lit("bin"), F.pmod("key", F.lit(bins)))).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("rep"), F.col("pieces"))))
+    dealt = cut_lineage(lists.join(keyed.join(pieces, "key").select("rep", own.alias("own")), "rep"))
+    spans = [f(c).alias(f"{k}_{c}") for c in ("component", "size", "level", "l") for k, f in (("low", F.min), ("high", F.max))]
+    packed = cut_lineage(dealt.groupBy("list", "own").agg(F.count("*").alias("postings"), *spans, F.collect_list(F.struct(*POSTING)).alias("docs")))
+    forget(docs, large, keyed, pieces, dealt)
+    return packed
+
+
+def meeting_blocks(packed: DataFrame) -> DataFrame:
+    """The rows of packed_blocks(), once for each block that they meet in their list and can have a pair with: of
+    another component, about the same size and prefixes long enough. A list gives as many rows as it has pairs of
+    blocks, however many documents these hold."""
+    spans = ("low_component", "high_component", "low_size", "high_size", "low_level", "high_l")
+    meets = packed.select("list", F.col("own").alias("other"), *[F.col(c).alias(f"other_{c}") for c in spans])
+    one = (F.col("low_component") == F.col("high_component")) & (F.col("other_low_component") == F.col("other_high_component")) & (F.col("low_component") == F.col("other_low_component"))
+    near = (F.col("low_size") - F.col("other_high_size") <= SIZE_STEPS) & (F.col("other_low_size") - F.col("high_size") <= SIZE_STEPS)
+    deep = (F.col("low_level") <= F.col("other_high_l")) & (F.col("other_low_level") <= F.col("high_l"))
+    met = packed.join(meets, "list").where(~one & near & deep)
+    return met.select("list", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "docs")
 
 
 def block_postings(postings: int, tasks: int) -> int:
@@ -369,7 +395,11 @@ def block_postings(postings: int, tasks: int) -> int:
 
 
 def _count_dealt(group: pa.Table) -> pa.Table:
-    column = {c: group.column(c).to_numpy() for c in group.column_names}
+    docs = group.column("docs")
+    many = pc.list_value_length(docs).to_numpy()
+    column = {c: np.repeat(group.column(c).to_numpy(), many) for c in ("list", "own", "low", "high")}
+    postings = pa.Table.from_struct_array(pc.list_flatten(docs))
+    column |= {c: postings.column(c).to_numpy() for c in POSTING}
     by = np.lexsort((column["list"], column["high"], column["low"]))
     column = {c: v[by] for c, v in column.items()}
     cuts = np.flatnonzero((column["low"][1:] != column["low"][:-1]) | (column["high"][1:] != column["high"][:-1])) + 1

@@ -149,6 +149,21 @@ def test_blocks_of_one_component_and_of_many(spark):
             assert set(got) == want and want
 
 
+def test_rows_sent_for_a_list_do_not_grow_with_its_documents(spark):
+    """Unlinked documents, all in the same lists: as many rows for a list as it has pairs of blocks."""
+    sent = []
+    for reps in (1200, 4800):
+        df = spark.range(reps).selectExpr("explode(sequence(0L, 9L)) AS list", "id AS rep", "id AS component", "100 AS n", "0L AS lone", "1 AS level", "8 AS l", "12 AS size")
+        packed = ngram_join.packed_blocks(df)
+        met = ngram_join.meeting_blocks(packed)
+        blocks = packed.select("own").distinct().count()
+        assert packed.agg({"postings": "sum"}).first()[0] == reps * 10
+        assert met.count() == 10 * blocks**2
+        sent.append(met.count())
+    # Sixteen times as many pairs of documents; as rows, each posting would go to each block.
+    assert sent[1] <= 1.2 * sent[0] and sent[0] < 1200 * 10
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(140)] + [(500 + k, 501 + k) for k in range(40)] + [(900, 901 + k) for k in range(50)]
